@@ -1,0 +1,155 @@
+"""URL filters, token counts, WARC fixity and vector searches."""
+
+import math
+import random
+from fnmatch import fnmatchcase
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from strandweave.llm import token_counts, url_filters, vectors, warc
+from strandweave.llm.url_filters import Automaton, Rule
+
+# ------------------------------------------------------------ URL filters
+
+
+def test_automaton_equals_fnmatch_on_many_globs():
+    rng = random.Random(3)
+    globs = ["".join(rng.choice("ab*?c") for _ in range(rng.randint(1, 40))) for _ in range(40)]
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 60))) for _ in range(300)] + ["", "a" * 5000]
+    raw = [t.encode() for t in texts]
+    got = Automaton(globs).match(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    for i, t in enumerate(texts):
+        for j, g in enumerate(globs):
+            assert got[i, j] == fnmatchcase(t, g), (t, g)
+
+
+def plain(url, rules):
+    if url is None or "://" not in url:
+        return "", "", None, "allow"
+    rest = url.split("://", 1)[1]
+    cut = min((rest.find(c) for c in "/?#" if c in rest), default=len(rest))
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:cut])
+    path = rest[cut:]
+    path = path[: min((path.find(c) for c in "?#" if c in path), default=len(path))]
+    best = None
+    for r in rules:
+        h, _, p = r.text.partition("/")
+        if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(r.text) > len(best.text)):
+            best = r
+    return host, path, best and best.text, best.verdict if best else "allow"
+
+
+def test_url_rules(spark):
+    urls = [None, "", "nonsense", "http://", "http://NET/", "http://a.net", "http://a.net/", "https://x.Example.NET/en/1?q=://", "http://example.net/english", "http://evil.com/a.net/", "http://xexample.net/en/", "ftp://b.example.com/de/#x", "http://example.com?/de/", "http://o.org/fr/", "http://o.org/fr", "http://é.net/", "http://a.net/" + "y" * 9000, "http://" + "a." * 4000 + "net/x", "http://a.net/", "http://a.org//fr/", "://net/"]
+    df = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(urls)] + [(None, "http://a.net/", "h", "r")], "page_id long, url string, host string, rule string").repartition(3)
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filters.filter_urls(df, url_filters.RULES).collect()}
+    assert len(got) == len(urls) + 1
+    for i, u in enumerate(urls):
+        assert got[i] == plain(u, url_filters.RULES), u
+    assert url_filters.filter_urls(df.where("false"), url_filters.RULES).count() == 0
+    many = [Rule(f"h{i}.example/{'p' * i}/", "block") for i in range(80)]
+    row = url_filters.filter_urls(spark.createDataFrame([(1, "http://h70.example/" + "p" * 70 + "/x")], "page_id long, url string"), many).first()
+    assert row["rule"] == many[70].text
+
+
+# ------------------------------------------------------------ token counts
+
+
+def test_rollup_is_idempotent_and_additive(spark, tmp_path):
+    rows = spark.createDataFrame([("s", "en", "v1", 5), ("s", "en", "v1", 7), (None, None, "v1", None), ("t", "de", "v1", 3)], "source string, lang string, tokenizer string, tokens long")
+    r = token_counts.TokenRollup(spark, str(tmp_path / "rollup"))
+    assert r.totals().count() == 0
+    assert r.apply("a/1", token_counts.inserts(rows)) and not r.apply("a/1", token_counts.inserts(rows))
+    as_set = lambda: {tuple(x) for x in r.totals().collect()}
+    assert as_set() == {("s", "en", "v1", 2, 12), (None, None, "v1", 1, 0), ("t", "de", "v1", 1, 3)}
+    r.apply("b", token_counts.deletes(rows.where("source = 't'")))
+    r.apply("c", token_counts.revisions(rows.where("tokens = 7").withColumn("old_tokens", F.col("tokens")).withColumn("tokens", F.lit(1))))
+    r.apply("none", token_counts.inserts(rows.where("false")))
+    want = {("s", "en", "v1", 2, 6), (None, None, "v1", 1, 0)}
+    assert as_set() == want
+    r.compact()
+    assert as_set() == want and not r.apply("b", token_counts.inserts(rows)) and as_set() == want
+
+
+# ------------------------------------------------------------ WARC
+
+
+@pytest.fixture(scope="module")
+def made(spark):
+    rows = [(i, f"http://h/{i}", "x" * (i % 50) + str(i)) for i in range(700)] + [(None, None, None), (5, "http://h/5", "x" * 5 + "5"), (6, None, ""), (701, "u", "y" * 200_000)]
+    return warc.records(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4))
+
+
+def test_offsets_are_gapless(made):
+    by_file = {}
+    for r in sorted(made.collect(), key=lambda r: (r["file"], r["ordinal"])):
+        at, n = by_file.get(r["file"], (0, 0))
+        assert (r["offset"], r["ordinal"]) == (at, n) and r["length"] == len(r["record"].encode())
+        by_file[r["file"]] = (at + r["length"], n + 1)
+
+
+def test_audit_finds_exactly_what_differs(spark, made):
+    base = warc.leaves(made)
+    assert warc.audit(base, base).count() == 0
+    hurt = base.withColumn("digest", F.when(F.col("ordinal") == 3, "zz").otherwise(F.col("digest"))).where("not (file = 2 and ordinal = 100)")
+    extra = hurt.unionByName(spark.createDataFrame([(1, 5000, 9, 9, "e")], hurt.schema))
+    got = {(r["file"], r["ordinal"], r["status"]) for r in warc.audit(base, extra, fanout=4).collect()}
+    want = {(r["file"], 3, "corrupt") for r in base.where("ordinal = 3").collect()} | {(2, 100, "missing"), (1, 5000, "extra")}
+    assert got == want
+    assert warc.audit(base.where("false"), base.where("false")).count() == 0
+    assert warc.audit(base, base.where("false")).where("status = 'missing'").count() == base.count()
+
+
+# ------------------------------------------------------------ vectors
+
+
+@pytest.fixture(scope="module")
+def points(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.standard_normal(16).astype(float).tolist(), "r") for i in range(400)]
+    rows += [(1000 + i, rows[i][1], "r") for i in range(20)]  # ties
+    rows += [(50, rows[7][1], "r"), (2000, None, "r"), (2050, [], "r"), (2100, [0.0] * 16, "r"), (2150, [math.nan] * 16, "r"), (2200, [math.inf] + [0.0] * 15, "r"), (2250, [None] + [1.0] * 15, "r"), (2300, [1.0, 2.0], "r"), (2301, [1.0, 2.5], "r"), (None, rows[8][1], "r")]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string").repartition(3), rows
+
+
+def brute(rows, every, k, score, zero):
+    ok = [(i, np.array(v)) for i, v, _ in rows if i is not None and v and None not in v and np.isfinite(v).all() and (zero or np.any(v))]
+    out = []
+    for i, q in ok:
+        if i % every == 0:
+            hits = sorted((-score(q, v), j) for j, v in ok if j != i and len(v) == len(q))[:k]
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(hits)]
+    return sorted(out)
+
+
+def test_exact_top_k_equals_brute_force(points):
+    df, rows = points
+    got = sorted(tuple(r) for r in vectors.exact_top_k(df, vectors.query_rows(df, 50), 5).collect())
+    assert got == brute(rows, 50, 5, lambda a, b: int((np.floor(256 * a) * np.floor(256 * b)).sum()), True)
+    assert vectors.exact_top_k(df.where("false"), df.where("false")).count() == 0
+
+
+def test_nearest_reaches_its_recall_with_exact_scores(points):
+    df, rows = points
+    got = sorted(tuple(r) for r in vectors.nearest(df, vectors.query_rows(df, 50), 5).collect())
+    want = brute(rows, 50, 5, lambda a, b: float((a * b).sum() / (np.linalg.norm(a) * np.linalg.norm(b))), False)
+    assert len(got) == len(want)
+    same = {(a, c) for a, _, c, _ in got} & {(a, c) for a, _, c, _ in want}
+    assert len(same) >= 0.95 * len({(a, c) for a, _, c, _ in want})
+    truth = {i: np.array(v) for i, v, _ in rows if v}
+    for q, _, j, s in got:
+        if q != 50:
+            a, b = truth[q], truth[j]
+            assert abs(s - float((a * b).sum() / (np.linalg.norm(a) * np.linalg.norm(b)))) < 1e-12
+
+
+def test_small_blocks_and_large_values(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(1)
+    rows = [(i, (rng.standard_normal(4) * 1e5).tolist(), "r") for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string").repartition(2)
+    got = sorted(tuple(r) for r in vectors.exact_top_k(df, vectors.query_rows(df, 10), 4).collect())
+    assert got == brute(rows, 10, 4, lambda a, b: sum(int(x) * int(y) for x, y in zip(np.floor(256 * a), np.floor(256 * b))), True)
