@@ -42,6 +42,8 @@ HASHES, ROWS, BANDS = 128, 5, 25
 LOW_BITS, WORDS = 4, HASHES * 4 // 64
 #: Estimates may lie this far below the threshold (4.5 standard errors at 0.85) and still be confirmed.
 SLACK = 0.145
+#: Members of a bucket that one task compares with as many others.
+CELL = 512
 _CHUNK = 1 << 15
 SIGNATURE = [f"s{i}" for i in range(WORDS)]
 _SKETCH = "doc_id long, node binary, n_shingles long, bands array<long>, " + ", ".join(f"{s} long" for s in SIGNATURE)
@@ -179,7 +181,7 @@ def _relabel(df: DataFrame, forest: DataFrame, column: str) -> DataFrame:
     return df.join(f, column, "left").select(*rest, F.coalesce("_root", column).alias(column))
 
 
-def duplicate_classes(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (4, 5), rounds: int = 8) -> DataFrame:
+def duplicate_classes(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (4, 5), rounds: int = 3) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id of its class), kept.
 
     ``similarity`` is the fraction num/den two sets must reach; ``rounds``
@@ -217,20 +219,18 @@ def duplicate_classes(docs: DataFrame, width: int = 5, similarity: tuple[int, in
         forest = _flatten(scratch, links.select(F.col("class").alias("child"), F.col("other").alias("parent")), f"forest{step}")
         classes = scratch.save(_relabel(classes, forest, "class"), f"classes{step}")
         scratch.drop(f"members{step}")
+        scratch.release()
 
-    rest = _possible(scratch, _open_buckets(buckets, classes), signed, sets, num, den)
-    rest = scratch.save(rest.join(signed, "node"), "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.class") < F.col("y.class")) & _sizes_pass(F.col("x.n"), F.col("y.n"), num, den) & _estimate_passes("x", "y", num / den)
-    pairs = x.join(y, on).select(F.col("x.node").alias("a"), F.col("x.class").alias("class"), F.col("y.node").alias("b"), F.col("y.class").alias("other")).distinct()
-    links = scratch.save(_confirmed(pairs, sets, num, den).select("class", "other").distinct(), "links")
+    rest = _possible(scratch, _open_buckets(buckets, classes), wanted.select("node", "n"), sets, num, den)
+    links = scratch.save(_compared(rest, sets, num, den), "links")
+    scratch.release()
     if links.limit(1).count():
         classes = _merge(scratch, classes, links, "merge")
 
     label = nodes.select("node", "doc_id").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     smallest = label.groupBy("class").agg(F.min("doc_id").alias("component_id"))
     label = scratch.save(label.join(smallest, "class").select("node", "component_id"), "labels")
-    for name in ("buckets", "sets", "rest"):
+    for name in ("buckets", "sets"):
         scratch.drop(name)
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = sketch.select("doc_id", "node", "n_shingles").join(label, "node", "left").select("doc_id", "n_shingles", component.alias("component_id"))
@@ -250,25 +250,89 @@ def _estimated(pairs: DataFrame, signed: DataFrame, num: int, den: int) -> DataF
     return joined.select("a", "class", "b", "other")
 
 
-def _possible(scratch: Scratch, members: DataFrame, signed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Members without those that cannot have a link inside their buckets.
+def _possible(scratch: Scratch, members: DataFrame, numbers: DataFrame, sets: DataFrame, num: int, den: int, passes: int = 3) -> DataFrame:
+    """(key, node, class) without members that cannot have a link inside their buckets.
 
     A link between sets of sizes m and n needs num (m + n) / (num + den) common
-    shingles; a member whose shingles shared with any other member are fewer,
-    for the smallest size that its buckets hold and that its own size allows,
-    is left out.
+    shingles.  Where the number of a member's shingles that any other member has
+    is too small for the smallest size that the member's
+    buckets hold and its own size allows, the member is left out.  What is left
+    is counted again.
     """
-    members = scratch.save(members.join(signed.select("node", "n"), "node"), "open")
-    least = members.groupBy("key").agg(F.min("n").alias("least"))
-    need = members.join(least, "key").groupBy("node").agg(F.first("n").alias("n"), F.min("least").alias("least"))
-    size = F.greatest(F.col("least"), F.ceil(F.col("n") * num / den))
-    need = scratch.save(need.select("node", F.ceil((F.col("n") + size) * num / (num + den) - 1e-9).alias("need")), "need")
-    own = sets.join(need, "node").select("node", "need", F.explode("shingles").alias("shingle"))
-    shared = own.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").select("shingle")
-    able = own.join(shared, "shingle").groupBy("node").agg(F.count("*").alias("common"), F.first("need").alias("need")).where("common >= need").select("node")
-    members = scratch.save(members.select("key", "node", "class").join(able, "node"), "able")
-    still = members.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
-    return members.join(still, "key")
+    for step in range(passes):
+        members = scratch.save(members.select("key", "node", "class").join(numbers, "node"), f"open{step}")
+        least = members.groupBy("key").agg(F.min("n").alias("least"))
+        need = members.join(least, "key").groupBy("node").agg(F.first("n").alias("n"), F.min("least").alias("least"))
+        size = F.greatest(F.col("least"), F.ceil(F.col("n") * num / den))
+        need = scratch.save(need.select("node", F.ceil((F.col("n") + size) * num / (num + den) - 1e-9).alias("need")), f"need{step}")
+        own = sets.join(need, "node").select("node", "need", F.explode("shingles").alias("shingle"))
+        shared = own.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").select("shingle")
+        able = own.join(shared, "shingle").groupBy("node").agg(F.count("*").alias("common"), F.first("need").alias("need")).where("common >= need").select("node")
+        able = scratch.save(members.join(able, "node"), f"able{step}")
+        still = able.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
+        before, members = members.count(), scratch.save(able.join(still, "key").select("key", "node", "class"), f"left{step}")
+        scratch.release()
+        if members.count() > 0.9 * before:
+            break
+    return members
+
+
+def _compared(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (class, other) among the members of each bucket, on full sets.
+
+    A bucket of more than CELL members is cut into blocks; a task compares the
+    members of two blocks and returns only links that join classes.
+    """
+    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / CELL).alias("blocks"))
+    dealt = members.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = dealt.select("key", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "node", "class")
+    cells = cells.join(sets, "node").select("key", "lo", "hi", "class", "shingles").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return cells.mapInArrow(lambda it: _cells(it, num, den), "class binary, other binary").distinct()
+
+
+def _cells(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    cell, classes, members = None, [], []
+    found: list[tuple[bytes, bytes]] = []
+    for batch in batches:
+        keys = np.stack([np.asarray(batch.column(i)) for i in range(3)], axis=1)
+        cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]]) if len(keys) else [0]
+        offsets, values = np.asarray(batch.column(4).offsets), np.asarray(batch.column(4).values)
+        names = batch.column(3).to_pylist()
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if cell != tuple(keys[lo]):
+                found += _linked(classes, members, num, den)
+                cell, classes, members = tuple(keys[lo]), [], []
+            classes += names[lo:hi]
+            members += [values[offsets[i] : offsets[i + 1]].copy() for i in range(lo, hi)]
+    found += _linked(classes, members, num, den)
+    yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], names=["class", "other"])
+
+
+def _linked(classes: list[bytes], members: list[np.ndarray], num: int, den: int) -> list[tuple[bytes, bytes]]:
+    """A spanning set of links between the classes of a cell."""
+    names = sorted(set(classes))
+    if len(names) < 2:
+        return []
+    at = np.array([names.index(c) for c in classes]) if len(names) < 9 else np.searchsorted(np.array(names, object), np.array(classes, object))
+    sizes = np.array([len(m) for m in members])
+    starts = np.cumsum(sizes) - sizes
+    vocabulary, flat = np.unique(np.concatenate(members), return_inverse=True)
+    mark = np.zeros(len(vocabulary), np.int32)
+    root, found = np.arange(len(names)), []
+    # members of the largest class last: what they share with the rest has been counted by then
+    order = np.argsort(np.bincount(at)[at], kind="stable")
+    for i in order[: len(order) - np.bincount(at).max()]:
+        own = flat[starts[i] : starts[i] + sizes[i]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[flat], starts)
+        mark[own] = 0
+        near = both * den >= (sizes + sizes[i] - both) * num
+        for c in np.unique(root[at[near]]):
+            if c != root[at[i]]:
+                found.append((names[c], names[root[at[i]]]))
+                root[root == c] = root[at[i]]
+    return found
 
 
 def near_duplicate_query(spark, sf_dir: str) -> DataFrame:
