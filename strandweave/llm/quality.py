@@ -61,16 +61,16 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     doc = np.repeat(np.arange(n), np.diff(offsets))
     out[:, : len(_KINDS)] = np.bincount(doc * len(_KINDS) + kind, minlength=n * len(_KINDS)).reshape(n, -1) / size[:, None]
     starts, lengths, counts = tx.words(data, offsets)
-    if not len(starts):
-        return out
     bounds = np.concatenate([[0], np.cumsum(counts)])
     some = np.maximum(counts, 1).astype(float)
     put = lambda name, values: out.__setitem__((slice(None), FEATURES.index(name)), values)
+    put("lines_per_word", _sums(data == 10, offsets) / some)
+    if not len(starts):
+        return out
     mean = _sums(lengths, bounds) / some
     put("log_words", np.log1p(counts))
     put("word_mean", mean)
     put("word_sd", np.sqrt(np.maximum(_sums(lengths**2, bounds) / some - mean**2, 0)))
-    put("lines_per_word", _sums(data == 10, offsets) / some)
     final = kind[starts + lengths - 1]
     initial = kind[starts]
     marked = np.isin(final, [_KINDS.index("symbol"), _KINDS.index("mark")])

@@ -91,10 +91,10 @@ def _raise(scratch: Scratch, levels: list[DataFrame], depth: int, name: str) ->
 
 
 def damaged(made: DataFrame) -> DataFrame:
-    """A replica with reproducible damage: records whose digest begins with 00 have a byte
-    more, those that begin with 01 are gone (their place in the index is empty)."""
-    hurt = F.col("digest").startswith("00")
-    return made.where(~F.col("digest").startswith("01")).withColumn("digest", F.when(hurt, F.sha2(F.concat("record", F.lit("!")), 256)).otherwise(F.col("digest")))
+    """A replica with reproducible damage: records whose digest begins with 0 have a byte
+    more, those that begin with 10 are gone (their place in the index is empty)."""
+    hurt = F.col("digest").startswith("0")
+    return made.where(~F.col("digest").startswith("10")).withColumn("digest", F.when(hurt, F.sha2(F.concat("record", F.lit("!")), 256)).otherwise(F.col("digest")))
 
 
 def fixity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +115,7 @@ WITH r AS (
 d AS (SELECT *, CAST(octet_length(encode(record)) AS BIGINT) AS length, sha256(record) AS expected FROM r),
 o AS (SELECT *, CAST(row_number() OVER w - 1 AS BIGINT) AS ordinal, CAST(sum(length) OVER w - length AS BIGINT) AS "offset" FROM d
       WINDOW w AS (PARTITION BY file ORDER BY page_id, expected ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-SELECT page_id, file, ordinal, "offset", length, expected, CASE WHEN expected LIKE '00%' THEN sha256(record || '!') END AS found,
-       CASE WHEN expected LIKE '00%' THEN 'corrupt' ELSE 'missing' END AS status
-FROM o WHERE expected LIKE '00%' OR expected LIKE '01%'
+SELECT page_id, file, ordinal, "offset", length, expected, CASE WHEN expected LIKE '0%' THEN sha256(record || '!') END AS found,
+       CASE WHEN expected LIKE '0%' THEN 'corrupt' ELSE 'missing' END AS status
+FROM o WHERE expected LIKE '0%' OR expected LIKE '10%'
 """

@@ -271,7 +271,10 @@ def test_mixing_edge_cases(odd, none):
     assert mixing.mix(none).count() == 0
 
 
-def test_raking_as_a_table_equals_the_driver(odd):
-    a = {r["doc_id"]: r["_m"] for r in mixing.mix(odd, column="_m").collect()}
-    b = {r["doc_id"]: r["_m"] for r in mixing.mix(odd, column="_m", most_cells=0).collect()}
-    assert all(abs(a[d]["probability"] - b[d]["probability"]) < 0.02 for d in a)
+def test_raking_as_a_table_equals_the_driver(spark):
+    rng = random.Random(5)
+    rows = [(a, b, c, rng.randint(100, 5000)) for a in ("s0", "s1", None) for b in ("en", "de") for c in range(4)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic long, tokens long")
+    found = [{tuple(r)[:3]: r["probability"] for r in mixing.cell_probabilities(cells, mixing.TEMPER, 0.6, most).collect()} for most in (1000, 0)]
+    assert found[0].keys() == found[1].keys() == {r[:3] for r in rows}
+    assert all(abs(found[0][k] - found[1][k]) < 1e-6 for k in found[0])
