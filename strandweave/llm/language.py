@@ -34,13 +34,13 @@ from strandweave.llm.sampling import held_out, fold, sample_of
 
 BUCKET_BITS, GRAMS = 16, (1, 2, 3)
 BUCKETS = 1 << BUCKET_BITS
-MOST_DOCS, EPOCHS = 6_000, 3
+MOST_DOCS, EPOCHS = 3_000, 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
 UNKNOWN = "und"
 #: Shares are small numbers; features are this many times larger.
 SCALE = 20.0
 #: Characters of one pass over a text.
-PASSAGE = 1 << 20
+PASSAGE = 1 << 18
 _LETTER = regex.compile(r"\p{L}")
 _U = np.uint32
 
@@ -145,12 +145,13 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, lang, grams): buckets and counts of a text as two runs of 32-bit integers."""
     for batch in batches:
         for row in batch.to_pylist():
             c = counts(row["text"] or "")
             at = np.flatnonzero(c)
-            lists = [pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([c[at].tolist()], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([pa.array([row["doc_id"]], pa.int64()), pa.array([row["lang"]]), *lists], names=["doc_id", "lang", "at", "count"])
+            raw = at.astype(np.int32).tobytes() + c[at].astype(np.int32).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([row["doc_id"]], pa.int64()), pa.array([row["lang"]]), pa.array([raw], pa.binary())], names=["doc_id", "lang", "grams"])
 
 
 def train(docs: DataFrame, most: int = MOST_DOCS, seed: int = 10) -> Model:
@@ -163,15 +164,17 @@ def train(docs: DataFrame, most: int = MOST_DOCS, seed: int = 10) -> Model:
     # bounded: at most ``most`` ids travel, then the n-grams of as many texts
     chosen = sample_of(usable.select("doc_id", "lang").distinct(), most, seed)
     texts = usable.join(F.broadcast(chosen), ["doc_id", "lang"])
-    sample = texts.mapInArrow(_sparse, "doc_id long, lang string, at array<int>, count array<int>")
-    sample = sample.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "lang").limit(most).toPandas()
-    languages = sorted(set(sample["lang"]))
-    y = np.array([languages.index(v) for v in sample["lang"]], np.int64)
+    sample = texts.mapInArrow(_sparse, "doc_id long, lang string, grams binary")
+    sample = sample.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "lang").limit(most).select("lang", "grams").toArrow()
+    known = sample.column("lang").to_pylist()
+    languages = sorted(set(known))
+    y = np.array([languages.index(v) for v in known], np.int64)
     rows = []
-    for at, c in zip(sample["at"], sample["count"]):
-        at, c = np.append(np.asarray(at, np.int64), BUCKETS), np.asarray(c, float)
-        x = np.append(c / max(c.sum(), 1) * idf[at[:-1]] * SCALE, 1.0)
-        rows.append((at, x))
+    for cell in sample.column("grams"):
+        at, c = np.frombuffer(cell.as_buffer(), np.int32).reshape(2, -1)
+        x = c / max(c.sum(), 1) * idf[at] * SCALE
+        rows.append((np.append(at, np.int32(BUCKETS)), np.append(x, 1.0).astype(np.float32)))
+    del sample
     aside = np.arange(len(rows)) % 5 == 0 if len(rows) >= 50 else np.zeros(len(rows), bool)
     learn = np.flatnonzero(~aside)
     weights, bias = ftrl([rows[i] for i in learn], y[learn], len(languages))

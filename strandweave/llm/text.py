@@ -1,6 +1,6 @@
 """Vectorised kernels over the UTF-8 bytes of an Arrow string column.
 
-They work on whole texts, a few megabytes at a time, so that a worker's memory
+They work on whole texts, half a megabyte at a time, so that a worker's memory
 does not depend on the size of a batch (one very long text is one slice).
 """
 
@@ -17,7 +17,7 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACES)] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 _U = np.uint64
 
 

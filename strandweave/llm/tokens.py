@@ -9,7 +9,7 @@ import unicodedata
 import numpy as np
 
 #: The words whose ids a worker keeps; beyond it the cache starts afresh.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 400_000
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
