@@ -55,9 +55,9 @@ def random_regular(n: int, seed: int, degree: int = 4) -> list[tuple[int, int]]:
 
 
 def planted_chain(arcs: Counter, vertex, r: int, s: int) -> Counter:
-    """Split a vertex of degree r into a bundle chain of s vertices (s-1 bundles of r parallel arcs)."""
-    names = [(vertex, i) for i in range(s)]
-    out = Counter({(names[-1] if u == vertex else u, names[0] if v == vertex else v): m for (u, v), m in arcs.items()})
+    """Split a vertex of degree r into a bundle chain of s vertices (s-1 bundles of r parallel arcs); names become text."""
+    names = [f"{vertex}.{i}" for i in range(s)]
+    out = Counter({(names[-1] if u == vertex else str(u), names[0] if v == vertex else str(v)): m for (u, v), m in arcs.items()})
     for a, b in zip(names, names[1:]):
         out[(a, b)] += r
     return out
