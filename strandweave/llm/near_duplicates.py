@@ -42,6 +42,8 @@ HASHES, ROWS, BANDS = 128, 5, 25
 LOW_BITS, WORDS = 4, HASHES * 4 // 64
 #: Estimates may lie this far below the threshold (4.5 standard errors at 0.85) and still be confirmed.
 SLACK = 0.145
+#: Bits of the set that marks the candidates' texts; beyond it more texts are read again, none is missed.
+MOST_BITS = 1 << 26
 #: Members of a bucket that one task compares with as many others.
 CELL = 512
 _CHUNK = 1 << 15
@@ -111,14 +113,26 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n_shingles", "bands", *SIGNATURE])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], width: int, chosen: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(node, shingles) of the texts whose place in the bit set ``chosen`` is taken."""
     for batch in batches:
-        for _, sizes, values, ends in _shingled(batch, width):
+        at = np.asarray(batch.column(0))
+        hit = np.flatnonzero(chosen[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+        for _, sizes, values, ends in _shingled(batch.take(pa.array(hit)), width):
             offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
             arrays = pa.ListArray.from_arrays(offsets, pa.array(values.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(_nodes(sizes, values, ends), pa.binary()), arrays], names=["node", "shingles"])
 
 
+def _bit_set(ids: DataFrame, bits: int) -> np.ndarray:
+    """Bytes with the bit at hash(doc_id) mod ``bits`` set for every id: ``bits`` / 8 bytes, whatever the input."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    taken = ids.select(at.alias("at")).groupBy(F.shiftright("at", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(at & 7 as int))")).alias("bits")).toArrow()
+    out = np.zeros(bits // 8, np.uint8)
+    out[taken.column("byte").to_numpy()] = taken.column("bits").to_numpy().astype(np.uint8)
+    return out
+
+
 def _estimate_passes(a: str, b: str, threshold: float):
     """Condition: the collision-corrected estimate of two signatures is not clearly below the threshold."""
     ones = F.lit(0x1111111111111111)
@@ -199,10 +213,12 @@ def duplicate_classes(docs: DataFrame, width: int = 5, similarity: tuple[int, in
     shared = bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     buckets = scratch.save(bands.join(shared, "key"), "buckets")
     wanted = scratch.save(buckets.select("node").distinct().join(nodes.drop("bands"), "node"), "candidates")
-    # the sets of candidates only, from their texts: one text of each node
-    chosen = wanted.select(F.col("doc_id").alias("chosen"), F.col("node").alias("own"))
-    again = texts.join(chosen.select("chosen").distinct(), F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi")
-    sets = again.mapInArrow(lambda it: _sets(it, width), "node binary, shingles array<long>").where("node is not null")
+    # the sets of candidates, from one text of each node: a bit set of bounded size tells tasks
+    # which texts to read (false hits are dropped by the join on the node), so no text is shuffled
+    bits = min(MOST_BITS, max(1 << 16, 1 << (16 * wanted.count()).bit_length()))
+    chosen = _bit_set(wanted, bits)
+    placed = texts.select(F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("at"), "text")
+    sets = placed.mapInArrow(lambda it: _sets(it, width, chosen), "node binary, shingles array<long>").where("node is not null")
     sets = sets.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.max("shingles").alias("shingles"))
     sets = scratch.save(sets, "sets")
 
