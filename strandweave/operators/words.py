@@ -119,11 +119,11 @@ def compacted_arcs(seqs: DataFrame, k: int) -> DataFrame:
     return next_on_circle(occ).select("seq_id", "pos", F.col("kmer").alias("tail"), "head", "span")
 
 
-def cover_occurrences(seqs: DataFrame, k: int) -> DataFrame:
-    """(seq_id, strand, pos, kmer, n) of words that occur twice or more on the two strands of a sequence together.
+def cover_arcs(seqs: DataFrame, k: int) -> DataFrame:
+    """(seq_id, strand, pos, span, content): arcs between consecutive words that repeat on the two strands together.
 
     Both strands of a sequence are cut in the same row, so nothing is shuffled
-    but what repeats.
+    before contents are counted.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,17 +133,24 @@ def cover_occurrences(seqs: DataFrame, k: int) -> DataFrame:
                 s = batch.column(1)[i].as_py() or ""
                 if len(s) < k:
                     continue
-                words = pa.concat_arrays([_windows(t, k, True).cast(pa.large_string()) for t in (s, s.translate(turn)[::-1])])
-                codes = words.dictionary_encode()
+                strands = [s, s.translate(turn)[::-1]]
+                codes = pa.concat_arrays([_windows(t, k, True).cast(pa.large_string()) for t in strands]).dictionary_encode()
                 index = np.asarray(codes.indices)
-                at = np.flatnonzero(np.bincount(index, minlength=len(codes.dictionary))[index] > 1)
-                for lo in range(0, len(at), WORDS):
-                    part = at[lo : lo + WORDS]
-                    columns = [pa.repeat(batch.column(0)[i], len(part)), pa.array(part // len(s), pa.int32()), pa.array(part % len(s), pa.int64()), words.take(pa.array(part)).cast(pa.string()), pa.repeat(pa.scalar(len(s), pa.int64()), len(part))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["seq_id", "strand", "pos", "kmer", "n"])
+                many = np.bincount(index, minlength=len(codes.dictionary))[index] > 1
+                for side, t in enumerate(strands):
+                    at = np.flatnonzero(many[side * len(s) : (side + 1) * len(s)])
+                    if not len(at):
+                        continue
+                    span = np.diff(np.append(at, at[0] + len(s)))
+                    t = t + t + t[:k]
+                    for lo in range(0, len(at), WORDS):
+                        p, n = at[lo : lo + WORDS], span[lo : lo + WORDS]
+                        contents = pa.array([t[x : x + d + k] for x, d in zip(p.tolist(), n.tolist())], pa.string())
+                        columns = [pa.repeat(batch.column(0)[i], len(p)), pa.array(np.full(len(p), side, np.int32)), pa.array(p, pa.int64()), pa.array(n, pa.int64()), contents]
+                        yield pa.RecordBatch.from_arrays(columns, names=["seq_id", "strand", "pos", "span", "content"])
 
     given = seqs.select("seq_id", "seq")
-    return given.mapInArrow(run, f"seq_id {given.schema['seq_id'].dataType.simpleString()}, strand int, pos long, kmer string, n long")
+    return given.mapInArrow(run, f"seq_id {given.schema['seq_id'].dataType.simpleString()}, strand int, pos long, span long, content string")
 
 
 def double_cover(seqs: DataFrame, k: int) -> DataFrame:
@@ -153,10 +160,7 @@ def double_cover(seqs: DataFrame, k: int) -> DataFrame:
     repeated words, the second included): seq_id, content, tail, head, m (both
     strands), m0 (strand 0), partner (its reverse complement), fixed.
     """
-    arcs = next_on_circle(cover_occurrences(seqs, k))
-    strands = both_strands(seqs.select("seq_id", "seq"))
-    arcs = arcs.join(strands, ["seq_id", "strand"]).withColumn("content", F.expr(f"substring(repeat(seq, 3), int(pos + 1), int(span + {k}))"))
-    contents = arcs.groupBy("seq_id", "content").agg(F.count("*").alias("m"), F.sum(F.when(F.col("strand") == 0, 1).otherwise(0)).alias("m0"))
+    contents = cover_arcs(seqs, k).groupBy("seq_id", "content").agg(F.count("*").alias("m"), F.sum(F.when(F.col("strand") == 0, 1).otherwise(0)).alias("m0"))
     tail, head = F.substring("content", 1, k), F.expr(f"right(content, {k})")
     partner = reverse_complement("content")
     return contents.select("seq_id", "content", tail.alias("tail"), head.alias("head"), "m", "m0", partner.alias("partner"), (partner == F.col("content")).alias("fixed"))
