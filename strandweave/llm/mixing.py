@@ -117,7 +117,8 @@ def cell_probabilities(cells: DataFrame, temper: dict[str, float], fraction: flo
         codes = [rows[d].map(repr).astype("category").cat.codes.to_numpy(np.int64) for d in DIMENSIONS]
         raked = rake(codes, tokens, [tempered(c, tokens, temper[d]) for c, d in zip(codes, DIMENSIONS)])
         rows = rows[list(DIMENSIONS)].assign(probability=probabilities(tokens, raked, fraction))
-        return spark.createDataFrame([tuple(None if v is None or v != v else v for v in r) for r in rows.itertuples(index=False)], kinds)
+        # checked above: at most ``most`` rows
+        return F.broadcast(spark.createDataFrame([tuple(None if v is None or v != v else v for v in r) for r in rows.itertuples(index=False)], kinds))
     return _rake_table(cells, temper, fraction).select(*DIMENSIONS, "probability")
 
 

@@ -11,8 +11,8 @@ record ``depth`` comparisons.
 Every level groups by (file, node), at most ``fanout`` rows a group, so no
 task gathers a file; everything is built from SQL functions.
 
-Edge cases: nulls in url or html are empty strings, a null page_id is in file
--1; repeated rows are records of their own, ordered by content; a record that
+Edge cases: nulls in url or html are empty strings; records without a page_id
+are spread over files -1 to -4096 by content; repeated rows are records of their own, ordered by content; a record that
 only one replica has is reported as missing or extra; empty replicas give no
 rows; other columns are ignored.
 """
@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 from strandweave.session import Scratch
 
 FANOUT, RECORDS_PER_FILE = 8, 128
+#: Files that records without a page_id are spread over.
+NULL_FILES = 4096
 
 
 def records(pages: DataFrame, per_file: int = RECORDS_PER_FILE) -> DataFrame:
     """WARC response records: page_id, file, ordinal, offset, length, record."""
     url, html = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("url", "html"))
     record = F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"), html, F.lit("\r\n\r\n"))
-    made = pages.select(F.col("page_id").cast("long").alias("page_id"), F.expr(f"coalesce(floor(page_id / {per_file}), -1)").cast("long").alias("file"), record.alias("record"))
+    made = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.floor(F.col("page_id") / per_file), -1 - F.pmod(F.xxhash64("url", "html"), F.lit(NULL_FILES))).cast("long").alias("file"), record.alias("record"))
     made = made.withColumn("length", F.octet_length("record").cast("long")).withColumn("digest", F.sha2("record", 256))
     order = Window.partitionBy("file").orderBy("page_id", "digest")
     made = made.withColumn("ordinal", F.row_number().over(order).cast("long") - 1)
