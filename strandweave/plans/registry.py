@@ -544,3 +544,6 @@ def cover_counts(spark, d):
     """Lattice counts of the double covers of part names as circular sequences, four-letter words."""
     part = spread(table(spark, d, "part")).select(F.col("p_partkey").alias("seq_id"), fs.pseudo_dna(F.concat("p_name", "p_brand", "p_type")).alias("seq"))
     return counting.cover_counts(part, 4, cap=2000)
+
+
+from strandweave.plans import kernels  # noqa: E402,F401  (adds its queries)
