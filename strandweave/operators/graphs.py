@@ -12,12 +12,22 @@ from pyspark.sql import functions as F
 from strandweave.session import Scratch
 
 
-def walk_arcs(events: DataFrame, graph: str, order: list[str], symbol: str) -> DataFrame:
-    """Arc multigraph of each circular walk: consecutive symbols, the last followed by the first."""
-    w = Window.partitionBy(graph).orderBy(*order)
-    first = F.first(symbol).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    steps = events.select(F.col(graph).alias("graph_id"), F.col(symbol).alias("u"), F.coalesce(F.lead(symbol).over(w), first).alias("v"))
-    return steps.groupBy("graph_id", "u", "v").agg(F.count("*").alias("m"))
+def walk_arcs(events: DataFrame, graph: str, order: list[str], symbol: str, shard=None) -> DataFrame:
+    """Arc multigraph of each circular walk: consecutive symbols, the last followed by the first.
+
+    ``shard`` is a column that never decreases along the order (a day of a time
+    stamp, say).  With it a walk is cut into shards that are ordered by
+    different tasks, and only the first symbol of each shard is ordered by
+    walk, so one very long walk does not land in one task.
+    """
+    cut = events.select(F.col(graph).alias("graph_id"), F.col(symbol).alias("u"), *order, (F.lit(0) if shard is None else shard).alias("_s"))
+    inside = Window.partitionBy("graph_id", "_s").orderBy(*order)
+    heads = cut.groupBy("graph_id", "_s").agg(F.min_by("u", F.struct(*order)).alias("first"))
+    ring = Window.partitionBy("graph_id").orderBy("_s")
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = heads.select("graph_id", "_s", F.coalesce(F.lead("first").over(ring), F.first("first").over(whole)).alias("after"))
+    steps = cut.withColumn("v", F.lead("u").over(inside)).join(heads, ["graph_id", "_s"])
+    return steps.select("graph_id", "u", F.coalesce("v", "after").alias("v")).groupBy("graph_id", "u", "v").agg(F.count("*").alias("m"))
 
 
 def degrees(arcs: DataFrame) -> DataFrame:
@@ -242,8 +252,23 @@ def run_blocks(rows: DataFrame, key: str, pos: str) -> DataFrame:
     return islands.groupBy(key, "_island").agg(F.min(pos).alias("first"), F.max(pos).alias("last")).drop("_island")
 
 
-def upper_median(values: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, n, median): the element of rank n div 2 (from 0) of the sorted values, by rank and count windows."""
-    w = Window.partitionBy(key).orderBy(value)
-    ranked = values.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(key)))
-    return ranked.where(F.col("_r") == F.expr("_n div 2")).select(key, F.col("_n").alias("n"), F.col(value).alias("median"))
+def upper_median(values: DataFrame, key: str, value: str, shards: int = 64) -> DataFrame:
+    """(key, n, median): the element of rank n div 2 (from 0) of the sorted values.
+
+    Equal values are counted first.  Distinct values are then dealt into ranges
+    between quantile sketches of each key; one pass over range totals finds the
+    range that holds the median, and only that range is sorted.
+    """
+    counted = values.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("c"))
+    marks = values.where(F.col(value).isNotNull()).groupBy(key).agg(F.percentile_approx(value, [i / shards for i in range(1, shards)], 1000).alias("marks"), F.count("*").alias("n"))
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    marks = marks.withColumnRenamed(key, "_key")
+    dealt = counted.join(marks, same).withColumn("range", F.size(F.filter("marks", lambda m: m < F.col(value)))).select(key, value, "c", "n", "range")
+    totals = dealt.groupBy(key, "range").agg(F.sum("c").alias("t"), F.first("n").alias("n"))
+    before = F.sum("t").over(Window.partitionBy(key).orderBy("range")) - F.col("t")
+    place = totals.withColumn("before", before).where((F.col("before") <= F.expr("n div 2")) & (F.expr("n div 2") < F.col("before") + F.col("t")))
+    place = place.select(F.col(key).alias("_key"), F.col("range").alias("_range"), "before")
+    chosen = dealt.join(place, same & (F.col("range") == F.col("_range")))
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy(key).orderBy(value))
+    chosen = chosen.withColumn("upto", upto).where((F.expr("n div 2") < F.col("upto")) & (F.expr("n div 2") >= F.col("upto") - F.col("c")))
+    return chosen.select(key, "n", F.col(value).alias("median"))

@@ -47,7 +47,8 @@ def dna(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def walks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.walk_arcs(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type")
+    day = F.to_date("ts")
+    return graphs.walk_arcs(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type", day)
 
 
 # ---------------------------------------------------------------- SQL building blocks

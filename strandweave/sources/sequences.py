@@ -24,9 +24,9 @@ def _clean(seq, policy: str):
 
 
 def read_plain(spark: SparkSession, path: str) -> DataFrame:
-    """Files that hold one sequence each: seq_id (by path order), name (the path), seq in upper case."""
+    """Files that hold one sequence each: seq_id, name (the path), seq in upper case."""
     text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("name"), F.upper(F.regexp_replace("value", r"\s", "")).alias("seq"))
-    return text.select((F.row_number().over(Window.orderBy("name")) - 1).cast("long").alias("seq_id"), "name", F.lit(None).cast("string").alias("description"), "seq")
+    return text.select(F.monotonically_increasing_id().alias("seq_id"), "name", F.lit(None).cast("string").alias("description"), "seq")
 
 
 def read_fasta(spark: SparkSession, path: str, policy: str = "keep") -> DataFrame:

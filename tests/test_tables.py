@@ -211,3 +211,21 @@ def test_streamed_spectrum_equals_the_batch(spark, tmp_path):
     q.stop()
     batch = words.word_counts(spark.createDataFrame(rows, "seq_id long, seq string"), 3)
     assert {tuple(r) for r in spark.table("spectrum").collect()} == {tuple(r) for r in batch.collect()}
+
+
+def test_walks_in_shards_and_upper_medians(spark):
+    rng = random.Random(1)
+    rows = [(u, t, rng.choice("abc")) for u in range(5) for t in sorted(rng.sample(range(1000), 1 if u == 4 else 60))]
+    df = spark.createDataFrame(rows, "user long, t long, x string").repartition(3)
+    want = Counter()
+    for u in range(5):
+        w = [x for v, _, x in rows if v == u]
+        want.update((u, a, b) for a, b in zip(w, w[1:] + w[:1]))
+    for shard in (None, F.floor(F.col("t") / 100), F.col("t")):
+        got = {(r["graph_id"], r["u"], r["v"]): r["m"] for r in graphs.walk_arcs(df, "user", ["t"], "x", shard).collect()}
+        assert got == want
+    values = [(k, rng.choice([1, 5, 5, rng.randrange(10**6)])) for k in ("p", "q", None) for _ in range(rng.randrange(1, 400))]
+    got = {r["k"]: (r["n"], r["median"]) for r in graphs.upper_median(spark.createDataFrame(values + [("p", None)], "k string, v long"), "k", "v").collect()}
+    for k in ("p", "q", None):
+        own = sorted(v for a, v in values if a == k)
+        assert got[k] == (len(own), own[len(own) // 2])
