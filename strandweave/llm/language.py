@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandweave.llm import text as tx
 from strandweave.llm.sampling import held_out, fold, sample_of
 
 BUCKET_BITS, GRAMS = 16, (1, 2, 3)
@@ -157,14 +158,14 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, most: int = MOST_DOCS, seed: int = 10) -> Model:
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     usable = usable.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 0))
-    rows = usable.select("text").mapInArrow(_frequencies, "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df")).toPandas()
+    rows = tx.map_texts(usable.select("text"), _frequencies, "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df")).toPandas()
     df = np.zeros(BUCKETS + 1)
     df[rows["bucket"].to_numpy(np.int64)] = rows["df"].to_numpy(float)
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     # bounded: at most ``most`` ids travel, then the n-grams of as many texts
     chosen = sample_of(usable.select("doc_id", "lang").distinct(), most, seed)
     texts = usable.join(F.broadcast(chosen), ["doc_id", "lang"])
-    sample = texts.mapInArrow(_sparse, "doc_id long, lang string, grams binary")
+    sample = tx.map_texts(texts, _sparse, "doc_id long, lang string, grams binary")
     sample = sample.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "lang").limit(most).select("lang", "grams").toArrow()
     known = sample.column("lang").to_pylist()
     languages = sorted(set(known))
@@ -215,7 +216,7 @@ def append_languages(docs: DataFrame, model: Model, column: str) -> DataFrame:
     given = docs.withColumn(column, F.col("text").cast("string"))
     fields = [f for f in given.schema.fields if f.name != column]
     kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
-    return given.mapInArrow(run, T.StructType([*fields, T.StructField(column, kind)]))
+    return tx.map_texts(given, run, T.StructType([*fields, T.StructField(column, kind)]))
 
 
 def identify_languages(docs: DataFrame, most: int = MOST_DOCS) -> DataFrame:

@@ -66,7 +66,7 @@ def with_topics(docs: DataFrame, column: str, topics: int = TOPICS) -> DataFrame
 
     given = docs.withColumn(column, F.col("text").cast("string"))
     fields = [f for f in given.schema.fields if f.name != column]
-    return given.mapInArrow(run, T.StructType([*fields, T.StructField(column, _MADE)]))
+    return tx.map_texts(given, run, T.StructType([*fields, T.StructField(column, _MADE)]))
 
 
 # ---------------------------------------------------------------- raking

@@ -127,10 +127,10 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, chosen: np.ndarray) ->
 def _bit_set(ids: DataFrame, bits: int) -> np.ndarray:
     """Bytes with the bit at hash(doc_id) mod ``bits`` set for every id: ``bits`` / 8 bytes, whatever the input."""
     at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    taken = ids.select(at.alias("at")).groupBy(F.shiftright("at", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(at & 7 as int))")).alias("bits")).toArrow()
-    out = np.zeros(bits // 8, np.uint8)
-    out[taken.column("byte").to_numpy()] = taken.column("bits").to_numpy().astype(np.uint8)
-    return out
+    taken = ids.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(bits // 64, "<i8")
+    out[taken.column("word").to_numpy()] = taken.column("bits").to_numpy()
+    return out.view(np.uint8)
 
 
 def _estimate_passes(a: str, b: str, threshold: float):
@@ -205,7 +205,7 @@ def duplicate_classes(docs: DataFrame, width: int = 5, similarity: tuple[int, in
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-duplicates")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = scratch.save(texts.mapInArrow(lambda it: _sketch(it, width), _SKETCH), "sketch")
+    sketch = scratch.save(tx.map_texts(texts, lambda it: _sketch(it, width), _SKETCH), "sketch")
 
     nodes = sketch.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max("bands").alias("bands"), *(F.max(s).alias(s) for s in SIGNATURE))
     nodes = scratch.save(nodes, "nodes")
@@ -218,7 +218,7 @@ def duplicate_classes(docs: DataFrame, width: int = 5, similarity: tuple[int, in
     bits = min(MOST_BITS, max(1 << 16, 1 << (16 * wanted.count()).bit_length()))
     chosen = _bit_set(wanted, bits)
     placed = texts.select(F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("at"), "text")
-    sets = placed.mapInArrow(lambda it: _sets(it, width, chosen), "node binary, shingles array<long>").where("node is not null")
+    sets = tx.map_texts(placed, lambda it: _sets(it, width, chosen), "node binary, shingles array<long>").where("node is not null")
     sets = sets.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.max("shingles").alias("shingles"))
     sets = scratch.save(sets, "sets")
 

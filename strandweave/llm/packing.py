@@ -172,7 +172,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, width: int = WID
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tokens = scratch.save(source.mapInArrow(lambda it: _tokenise(it, tokenizer, length, width, end, with_ids), _SCHEMA), "tokens")
+    tokens = scratch.save(tx.map_texts(source, lambda it: _tokenise(it, tokenizer, length, width, end, with_ids), _SCHEMA), "tokens")
 
     counted = tokens.where("tail > 0").groupBy("cls").agg(F.count("*").alias("n"), F.sum("tail").alias("t")).orderBy("cls").collect()
     demand = np.array([r["n"] for r in counted], np.int64)

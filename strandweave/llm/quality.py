@@ -198,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, seed: int =
     chosen = sample_of(labelled, most, seed)
     # bounded: at most ``most`` ids and labels
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    stats = texts.select("doc_id", "text").mapInArrow(_stat_rows, "doc_id long, stats array<double>")
+    stats = tx.map_texts(texts.select("doc_id", "text"), _stat_rows, "doc_id long, stats array<double>")
     rows = stats.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("stats", "quality").toPandas()
     x = np.array(rows["stats"].tolist(), float).reshape(-1, len(FEATURES))
     return fit(x, rows["quality"].to_numpy(float), **options)
@@ -219,7 +219,7 @@ def append_scores(docs: DataFrame, forest: Forest, column: str) -> DataFrame:
 
     given = docs.withColumn(column, F.col("text").cast("string"))
     fields = [f for f in given.schema.fields if f.name != column]
-    return given.mapInArrow(run, T.StructType([*fields, T.StructField(column, T.DoubleType())]))
+    return tx.map_texts(given, run, T.StructType([*fields, T.StructField(column, T.DoubleType())]))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> DataFrame:

@@ -6,10 +6,15 @@ does not depend on the size of a batch (one very long text is one slice).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from strandweave.session import small_batches
 
 #: White space that separates words: space and the bytes 0x09 to 0x0D.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -115,3 +120,25 @@ def shingle_sets(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np
 def text_shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     starts, lengths, counts = words(data, offsets)
     return shingle_sets(word_hashes(data, starts, lengths), counts, width)
+
+
+def map_texts(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` in batches of a few megabytes; a worker gives freed memory back after each task."""
+    small_batches(df.sparkSession)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own way
+        pass

@@ -8,8 +8,8 @@ import unicodedata
 
 import numpy as np
 
-#: The words whose ids a worker keeps; beyond it the cache starts afresh.
-CACHED_WORDS = 400_000
+#: Words of one generation of a worker's cache; it holds the current and the last one.
+CACHED_WORDS = 500_000
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -30,6 +30,7 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.by_word = by_word
         self.cache: dict[str, bytes] = {}
+        self.last: dict[str, bytes] = {}
         latin = [chr(c) for c in range(0x20, 0x7F)] + [chr(c) for c in range(0xA1, 0x100) if c != 0xAD]
         letters = "".join(c for c in latin if unicodedata.category(c)[0] == "L")
         numbers = "".join(c for c in latin if unicodedata.category(c)[0] == "N")
@@ -45,9 +46,12 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.words.findall(t.lower()) if self.by_word and self._is_plain(t) else None for t in texts]
         if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
+            self.cache, self.last = {}, self.cache
         cache = self.cache
-        unseen = list({w for ws in split if ws for w in ws if w not in cache})
+        missing = {w for ws in split if ws for w in ws if w not in cache}
+        known = missing & self.last.keys()
+        cache.update((w, self.last[w]) for w in known)
+        unseen = list(missing - known)
         for word, ids in zip(unseen, self._ids(unseen)):
             cache[word] = ids
         whole = iter(self._ids([t for t, ws in zip(texts, split) if ws is None]))

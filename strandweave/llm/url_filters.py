@@ -143,7 +143,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], default: str = "allow")
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     urls = urls.select("*", F.concat("host", "path").alias("canonical"))
     rules = list(rules)
-    return urls.mapInArrow(lambda it: _judge(it, rules, default), "page_id long, host string, path string, rule string, verdict string")
+    return tx.map_texts(urls, lambda it: _judge(it, rules, default), "page_id long, host string, path string, rule string, verdict string")
 
 
 #: The rules of the query's contract.
