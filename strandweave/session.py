@@ -41,10 +41,9 @@ def shared_dir(spark: SparkSession) -> str:
 def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Let the session hand texts to Python in batches of at most ``most`` bytes (if its own limit is higher)."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key, "-1b").lower()
-    number = now.rstrip("bkmg") or "-1"
-    size = int(number) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now.rstrip("b")[-1:], 1)
-    if not 0 < size <= most:
+    now = spark.conf.get(key, "64m").lower()
+    size = int(now.rstrip("bkmg")) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now.rstrip("b")[-1:], 1)
+    if size > most:
         spark.conf.set(key, str(most))
 
 
