@@ -76,6 +76,54 @@ def snarl_chain(snarls: int, inside: int, seed: int) -> Counter:
     return arcs
 
 
+def undirected_circuit(edges: list[tuple[int, int]]) -> list[int]:
+    """Vertices of a closed walk that uses every edge of a connected even multigraph once (first = last)."""
+    left: dict[int, list[int]] = {}
+    for i, e in enumerate(edges):
+        for v in e:
+            left.setdefault(v, []).append(i)
+    used, stack, walk = set(), [edges[0][0]], []
+    while stack:
+        v = stack[-1]
+        while left[v] and left[v][-1] in used:
+            left[v].pop()
+        if left[v]:
+            i = left[v].pop()
+            used.add(i)
+            a, b = edges[i]
+            stack.append(b if a == v else a)
+        else:
+            walk.append(stack.pop())
+    return walk
+
+
+def realised_graph(edges: list[tuple[int, int]], k: int, spacer: int, seed: int, tries: int = 200) -> str:
+    """A circular sequence whose double cover is a given even multigraph of degree at most four.
+
+    Every vertex becomes a palindromic word of k letters (k even) and every
+    edge a spacer between two of them, in the order of a closed walk.  A vertex
+    is passed at most twice; the letters next to its word are chosen so that on
+    both strands no two passages agree beyond the word.
+    """
+    from strandweave.operators.counting import Cover, rc
+
+    rng = random.Random(seed)
+    draw = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    walk = undirected_circuit(edges)[:-1]
+    for _ in range(tries):
+        words = {v: (h := draw(k // 2)) + rc(h) for v in sorted(set(walk))}
+        passed: Counter = Counter()
+        around = []
+        for v in walk:
+            around.append(("CA"[passed[v]], "AC"[passed[v]]))
+            passed[v] += 1
+        s = "".join(words[v] + around[i][1] + draw(spacer - 2) + around[(i + 1) % len(walk)][0] for i, v in enumerate(walk))
+        cover = Cover(s, k)
+        if len(set(words.values())) == len(words) and cover.vertices == sorted(words.values()) and len(cover.m) == 2 * len(edges):
+            return s
+    raise ValueError("no sequence found; use longer words")
+
+
 def snp_haplotypes(base: str, sites: list[int], copies: int) -> list[str]:
     """``copies`` haplotypes of a sequence: site j is changed in the copies whose number has bit j mod 8 set."""
     turn = str.maketrans("ACGT", "CGTA")
