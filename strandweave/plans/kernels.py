@@ -190,6 +190,26 @@ def bundle_chains(spark, d):
 # ---------------------------------------------------------------- counts on literals
 
 
+_WORD_GROUPS = [("AABBCC", "0"), ("AABCBC", "Z/2"), ("ABACBC", "Z/3"), ("ABCABC", "(Z/2)^2"), ("AABACCBBC", "Z/3"), ("AABABCBCC", "Z/4"), ("abcdefacbdfe", "Z/2 + (Z/3)^2"), ("abcfedacbefd", "Z/2 + Z/9")]
+
+
+@r.query("word_groups", values(_WORD_GROUPS, "word, repeat_group"))
+def word_groups(spark, d):
+    """Critical groups of the connector digraphs of repeat words."""
+    return literals(spark, [(w,) for w, _ in _WORD_GROUPS], "word string", lambda w: (exact.group_name(counting.critical_group(counting.connector_digraph(w))),), "repeat_group string")
+
+
+@r.query("group_census", values([(3, 16), (4, 318)], "letters, words"))
+def group_census(spark, d):
+    """Cyclic words of n letters twice each (by Burnside: (2n)! / 2^n / 2n and the half-turn words), over all their groups."""
+
+    def run(n):
+        census = counting.group_census(dict.fromkeys("ABCD"[:n], 2))
+        return (sum(len(w) for w in census.values()),)
+
+    return literals(spark, [(3,), (4,)], "letters long", run, "words long")
+
+
 _COLLAPSE = [("AACAC", 3, 3), ("AACACC", 2, 3), ("AAAA", 3, 1)]
 
 
