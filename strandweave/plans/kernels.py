@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.functions import sequences as fs
-from strandweave.operators import counting, exact, graphs, moves, pools
+from strandweave.operators import complexes, counting, exact, graphs, moves, pools
 from strandweave.plans import registry as r
 from strandweave.session import shared_dir
 from strandweave.sources import generators as gen
@@ -278,6 +278,27 @@ def recombination_groups(spark, d):
     return literals(spark, [(n,) for n in surfaces], "surface string", lambda n: (exact.group_name(*pools.recombination_group(pools.surface_pool(surfaces[n]))),), "recombination string")
 
 
+@r.query("surface_homology", values([("sphere", 0, "0", 1), ("torus", 2, "Z^2", 1), ("projective plane", 0, "Z/2", 0)], "surface, b1, h1, b2"))
+def surface_homology(spark, d):
+    """First homology and Betti numbers of triangulated surfaces from their boundary matrices."""
+    surfaces = {"sphere": gen.OCTAHEDRON, "torus": gen.TORUS, "projective plane": gen.PROJECTIVE_PLANE}
+
+    def run(name):
+        _, (torsion, rank), (_, top) = complexes.Complex(surfaces[name]).homology()
+        return rank, exact.group_name(torsion, rank), top
+
+    return literals(spark, [(n,) for n in surfaces], "surface string", run, "b1 long, h1 string, b2 long")
+
+
+@r.query("squared_laplacians", f"""
+WITH l AS MATERIALIZED (SELECT graph_id, i, j, sum(x) AS value FROM (SELECT graph_id, u AS i, v AS j, -m AS x FROM ({r.ARCS}) WHERE u <> v UNION ALL SELECT graph_id, u, u, m FROM ({r.ARCS}) WHERE u <> v) GROUP BY 1, 2, 3)
+SELECT a.graph_id AS matrix_id, a.i, b.j, CAST(sum(a.value * b.value) AS BIGINT) AS value FROM l a JOIN l b ON a.graph_id = b.graph_id AND a.j = b.i GROUP BY 1, 2, 3 HAVING sum(a.value * b.value) <> 0""")
+def squared_laplacians(spark, d):
+    """Square of each walk's Laplacian by a sparse matrix product."""
+    lap = graphs.laplacian(r.walks(spark, d)).withColumnRenamed("graph_id", "matrix_id")
+    return complexes.product(lap, lap)
+
+
 _BUBBLES = [[2, 2], [2, 2, 2], [3, 2], [2, 3, 2]]
 
 
