@@ -10,7 +10,6 @@ around; a sequence shorter than k has none.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +31,15 @@ def _windows(s: str, k: int, circular: bool) -> pa.Array | None:
     if circular:
         s += s[: k - 1]
     n = len(s) - k + 1
-    if not s.isascii():
-        return pa.array([s[i : i + k] for i in range(n)], pa.string())
     raw = np.frombuffer(s.encode(), np.uint8)
-    flat = np.lib.stride_tricks.sliding_window_view(raw, k).reshape(-1)
-    offsets = np.arange(n + 1, dtype=np.int64) * k
+    if s.isascii():
+        flat = np.lib.stride_tricks.sliding_window_view(raw, k).reshape(-1)
+        offsets = np.arange(n + 1, dtype=np.int64) * k
+    else:  # letters of one to four bytes: where each begins
+        starts = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+        sizes = starts[k:] - starts[:-k]
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        flat = raw[np.arange(offsets[-1]) + np.repeat(starts[:n] - offsets[:-1], sizes)]
     return pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat)))
 
 
@@ -75,20 +78,28 @@ def word_counts(seqs: DataFrame, k: int, circular: bool = False, keys: tuple[str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[tuple, list] = {}
+        held, kinds = 0, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for key, parts in waiting.items():
+                tally = pa.chunked_array(parts).value_counts()
+                own = [pa.repeat(pa.scalar(v, t), len(tally)) for v, t in zip(key, kinds)]
+                yield pa.RecordBatch.from_arrays([*own, tally.field(0).cast(pa.string()), tally.field(1)], names=[*keys, "kmer", "n"])
+            waiting.clear()
+
         for batch in batches:
-            counts: dict[tuple, Counter] = {}
+            kinds = [batch.schema.field(j).type for j in range(len(keys))]
             for i in range(batch.num_rows):
                 words = _windows(batch.column(len(keys))[i].as_py() or "", k, circular)
                 if words is None:
                     continue
-                tally = words.value_counts()
-                names, n = tally.field(0).to_pylist(), tally.field(1).to_pylist()
-                own = counts.setdefault(tuple(batch.column(j)[i].as_py() for j in range(len(keys))), Counter())
-                own.update(dict.fromkeys(names, 1) if documents else dict(zip(names, n)))
-            rows = [(*key, w, n) for key, own in counts.items() for w, n in own.items()]
-            if rows:
-                columns = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, [*(batch.schema.field(j) for j in range(len(keys))), pa.field("w", pa.string()), pa.field("n", pa.int64())])], names=[*keys, "kmer", "n"])
+                held += len(words)
+                waiting.setdefault(tuple(batch.column(j)[i].as_py() for j in range(len(keys))), []).append(words.unique() if documents else words)
+                if held >= 8 * WORDS:
+                    yield from flush()
+                    held = 0
+        yield from flush()
 
     given = seqs.select(*keys, "seq")
     fields = [given.schema[c] for c in keys]
