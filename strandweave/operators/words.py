@@ -198,9 +198,9 @@ def inverted_repeats(seqs: DataFrame, k: int) -> DataFrame:
 
 def pooled_branch_words(seqs: DataFrame, k: int, pool: str = "pool") -> DataFrame:
     """(pool, kmer, successors, predecessors) of words with two or more distinct neighbours on a side, over all sequences of a pool."""
-    wide = occurrences(seqs, k + 2, keys=(pool,)).groupBy(pool, "kmer").agg(F.lit(1).alias("_"))
+    wide = word_counts(seqs, k + 2, circular=True, keys=(pool,))
     middle = F.expr(f"substring(kmer, 2, {k})")
-    sides = wide.groupBy(pool, middle.alias("word")).agg(F.count_distinct(F.expr("right(kmer, 1)")).alias("successors"), F.count_distinct(F.substring("kmer", 1, 1)).alias("predecessors"))
+    sides = wide.groupBy(pool, middle.alias("word")).agg(F.size(F.collect_set(F.expr("right(kmer, 1)"))).cast("long").alias("successors"), F.size(F.collect_set(F.substring("kmer", 1, 1))).cast("long").alias("predecessors"))
     return sides.where("successors > 1 or predecessors > 1").select(pool, F.col("word").alias("kmer"), "successors", "predecessors")
 
 
