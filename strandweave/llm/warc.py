@@ -30,11 +30,16 @@ NULL_FILES = 4096
 
 
 def records(pages: DataFrame, per_file: int = RECORDS_PER_FILE) -> DataFrame:
-    """WARC response records: page_id, file, ordinal, offset, length, record."""
+    """WARC response records: page_id, file, record, length, digest."""
     url, html = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("url", "html"))
     record = F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"), html, F.lit("\r\n\r\n"))
-    made = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.floor(F.col("page_id") / per_file), -1 - F.pmod(F.xxhash64("url", "html"), F.lit(NULL_FILES))).cast("long").alias("file"), record.alias("record"))
-    made = made.withColumn("length", F.octet_length("record").cast("long")).withColumn("digest", F.sha2("record", 256))
+    file = F.coalesce(F.floor(F.col("page_id") / per_file), -1 - F.pmod(F.xxhash64("url", "html"), F.lit(NULL_FILES)))
+    made = pages.select(F.col("page_id").cast("long").alias("page_id"), file.cast("long").alias("file"), record.alias("record"))
+    return made.withColumn("length", F.octet_length("record").cast("long")).withColumn("digest", F.sha2("record", 256))
+
+
+def indexed(made: DataFrame) -> DataFrame:
+    """Records in the order of their files, with ordinal and offset; only the columns given are shuffled."""
     order = Window.partitionBy("file").orderBy("page_id", "digest")
     made = made.withColumn("ordinal", F.row_number().over(order).cast("long") - 1)
     return made.withColumn("offset", F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("length"))
@@ -94,15 +99,15 @@ def _raise(scratch: Scratch, levels: list[DataFrame], depth: int, name: str) ->
 
 def damaged(made: DataFrame) -> DataFrame:
     """A replica with reproducible damage: records whose digest begins with 0 have a byte
-    more, those that begin with 10 are gone (their place in the index is empty)."""
-    hurt = F.col("digest").startswith("0")
-    return made.where(~F.col("digest").startswith("10")).withColumn("digest", F.when(hurt, F.sha2(F.concat("record", F.lit("!")), 256)).otherwise(F.col("digest")))
+    more (column ``hurt``), those that begin with 10 are gone (their place in the index is empty)."""
+    return made.where(~F.col("digest").startswith("10")).withColumn("digest", F.when(F.col("digest").startswith("0"), F.col("hurt")).otherwise(F.col("digest")))
 
 
 def fixity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit of a damaged replica of all pages; one row per record that differs."""
     made = records(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    made = Scratch(spark, "warc").save(made, "records")
+    made = made.select("page_id", "file", "length", "digest", F.sha2(F.concat("record", F.lit("!")), 256).alias("hurt"))
+    made = Scratch(spark, "warc").save(indexed(made), "records")
     differing = audit(leaves(made), leaves(damaged(made)))
     names = made.select("file", "ordinal", "page_id")
     return differing.join(names, ["file", "ordinal"], "left").select("page_id", "file", "ordinal", "offset", "length", "expected", "found", "status")

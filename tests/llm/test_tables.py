@@ -79,7 +79,7 @@ def test_rollup_is_idempotent_and_additive(spark, tmp_path):
 @pytest.fixture(scope="module")
 def made(spark):
     rows = [(i, f"http://h/{i}", "x" * (i % 50) + str(i)) for i in range(700)] + [(None, None, None), (5, "http://h/5", "x" * 5 + "5"), (6, None, ""), (701, "u", "y" * 200_000)]
-    return warc.records(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4))
+    return warc.indexed(warc.records(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)))
 
 
 def test_offsets_are_gapless(made):
