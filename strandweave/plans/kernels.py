@@ -128,27 +128,26 @@ def walk_circuit_logs(spark, d):
 
 
 @r.query("signed_balance", """
-WITH RECURSIVE g AS (SELECT o_orderpriority AS graph_id, 'c' || (o_custkey % 40) AS u, 'k' || (o_orderkey % 37) AS v, CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END AS sign FROM orders WHERE o_totalprice < 9000),
-l AS (SELECT graph_id, u || s AS x, v || (s * sign) AS y, u AS ux FROM g, (VALUES (1), (-1)) w(s)), b AS (SELECT graph_id, x, y FROM l UNION SELECT graph_id, y, x FROM l),
+WITH RECURSIVE g AS (SELECT c_nationkey AS graph_id, 'c' || c_custkey AS u, c_mktsegment AS v, CASE WHEN c_acctbal < 0 THEN -1 ELSE 1 END AS sign FROM customer
+  UNION ALL SELECT c_nationkey, 'c' || c_custkey, 'hub', 1 FROM customer),
+l AS (SELECT graph_id, u || s AS x, v || (s * sign) AS y FROM g, (VALUES (1), (-1)) w(s)), b AS (SELECT graph_id, x, y FROM l UNION SELECT graph_id, y, x FROM l),
 n AS (SELECT DISTINCT graph_id, x FROM b), c AS (SELECT graph_id, x AS o, x AS z FROM n UNION SELECT c.graph_id, c.o, b.y FROM c JOIN b ON b.graph_id = c.graph_id AND b.x = c.z)
 SELECT graph_id, NOT bool_or(o LIKE '%-1' AND z = left(o, length(o) - 2) || '1') AS balanced FROM c GROUP BY 1""")
 def signed_balance(spark, d):
-    """Whether the signed graph of cheap orders of each priority is balanced."""
-    o = r.table(spark, d, "orders").where("o_totalprice < 9000")
-    edges = o.select(F.col("o_orderpriority").alias("graph_id"), F.concat(F.lit("c"), (F.col("o_custkey") % 40).cast("string")).alias("u"), F.concat(F.lit("k"), (F.col("o_orderkey") % 37).cast("string")).alias("v"), F.when(F.col("o_orderstatus") == "F", -1).otherwise(1).alias("sign"))
-    return graphs.signed_balance(edges)
+    """Whether each nation's graph of customers, segments and a hub is balanced, debts being negative."""
+    c = r.table(spark, d, "customer").select(F.col("c_nationkey").alias("graph_id"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("u"), F.col("c_mktsegment").alias("v"), F.when(F.col("c_acctbal") < 0, -1).otherwise(1).alias("sign"))
+    return graphs.signed_balance(c.unionByName(c.withColumn("v", F.lit("hub")).withColumn("sign", F.lit(1))))
 
 
 @r.query("graph_components", """
-WITH RECURSIVE g AS (SELECT o_orderpriority AS graph_id, 'c' || o_custkey AS u, 'd' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS v FROM orders WHERE o_totalprice < 9000),
+WITH RECURSIVE g AS (SELECT c_mktsegment AS graph_id, 'c' || c_custkey AS u, 'n' || c_nationkey AS v FROM customer),
 b AS (SELECT graph_id, u AS x, v AS y FROM g UNION SELECT graph_id, v, u FROM g), n AS (SELECT DISTINCT graph_id, x FROM b),
 c AS (SELECT graph_id, x AS o, x AS z FROM n UNION SELECT c.graph_id, c.o, b.y FROM c JOIN b ON b.graph_id = c.graph_id AND b.x = c.z)
 SELECT graph_id, count(DISTINCT m) AS components FROM (SELECT graph_id, o, min(z) AS m FROM c GROUP BY 1, 2) GROUP BY 1""")
 def graph_components(spark, d):
-    """Number of components of the customer-date graph of cheap orders, for each priority."""
-    o = r.table(spark, d, "orders").where("o_totalprice < 9000")
-    arcs = o.select(F.col("o_orderpriority").alias("graph_id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("u"), F.concat(F.lit("d"), F.col("o_orderdate").cast("date").cast("string")).alias("v"))
-    return graphs.connected(arcs)
+    """Number of components of the customer-nation graph of each market segment."""
+    c = r.table(spark, d, "customer")
+    return graphs.connected(c.select(F.col("c_mktsegment").alias("graph_id"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("u"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("v")))
 
 
 _NAMES = "SELECT p_partkey AS seq_id, p_name AS s FROM part"

@@ -343,13 +343,19 @@ def chord_crossings(spark, d):
 
 
 @query("components", """
-WITH RECURSIVE e AS (SELECT DISTINCT 'o' || l_orderkey AS u, 'p' || l_partkey AS v FROM lineitem WHERE l_quantity >= 49 AND l_returnflag = 'R'),
-l AS (SELECT u AS x, v AS y FROM e UNION ALL SELECT v, u FROM e), n AS (SELECT DISTINCT x FROM l),
+WITH RECURSIVE e AS (SELECT 'c' || c_custkey AS u, 'n' || c_nationkey AS v FROM customer), l AS (SELECT u AS x, v AS y FROM e UNION ALL SELECT v, u FROM e), n AS (SELECT DISTINCT x FROM l),
 r AS (SELECT x AS o, x AS z FROM n UNION SELECT r.o, l.y FROM r JOIN l ON l.x = r.z)
 SELECT o AS node, min(z) AS component FROM r GROUP BY 1""")
 def components(spark, d):
-    """Orders and parts joined by returned lines of 49 units or more."""
-    line = table(spark, d, "lineitem").where("l_quantity >= 49 and l_returnflag = 'R'")
+    """Customers and their nations."""
+    customer = table(spark, d, "customer")
+    return graphs.components(customer.select(F.concat(F.lit("c"), "c_custkey").alias("u"), F.concat(F.lit("n"), "c_nationkey").alias("v")))
+
+
+@query("order_part_components")
+def order_part_components(spark, d):
+    """Orders and parts joined by line items (no SQL: the recursion would list all pairs of one large component)."""
+    line = table(spark, d, "lineitem")
     return graphs.components(line.select(F.concat(F.lit("o"), "l_orderkey").alias("u"), F.concat(F.lit("p"), "l_partkey").alias("v")))
 
 
