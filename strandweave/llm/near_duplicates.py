@@ -336,9 +336,8 @@ def _linked(classes: list[bytes], members: list[np.ndarray], num: int, den: int)
     vocabulary, flat = np.unique(np.concatenate(members), return_inverse=True)
     mark = np.zeros(len(vocabulary), np.int32)
     root, found = np.arange(len(names)), []
-    # members of the largest class last: what they share with the rest has been counted by then
-    order = np.argsort(np.bincount(at)[at], kind="stable")
-    for i in order[: len(order) - np.bincount(at).max()]:
+    # the members of one largest class are met by all others, and need no turn of their own
+    for i in np.flatnonzero(at != np.bincount(at).argmax()):
         own = flat[starts[i] : starts[i] + sizes[i]]
         mark[own] = 1
         both = np.add.reduceat(mark[flat], starts)

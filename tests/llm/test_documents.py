@@ -163,6 +163,12 @@ def test_near_duplicates_of_a_large_group(spark):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_classes(rows, 3, 85, 100)
 
 
+def test_a_link_between_two_equally_large_classes_is_found():
+    sets = [np.arange(0, 20), np.arange(100, 120), np.arange(200, 220), np.arange(200, 220)]
+    assert near_duplicates._linked([b"a", b"b", b"a", b"b"], sets, 85, 100) in ([(b"a", b"b")], [(b"b", b"a")])
+    assert near_duplicates._linked([b"a", b"b", b"a", b"b"], sets[:3] + [np.arange(300, 320)], 85, 100) == []
+
+
 def test_near_duplicates_of_nothing(none):
     assert near_duplicates.duplicate_classes(none).count() == 0
 
