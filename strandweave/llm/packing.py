@@ -156,12 +156,13 @@ def prefix_sums(df: DataFrame, key: str, value: str, n: int, out: str, block: in
     local = cut.withColumn(out, F.sum(value).over(inside) - F.col(value))
     totals = cut.groupBy("_block").agg(F.sum(value).alias("_total"))
     blocks = -(-n // block)
+    offset = f"_before_{out}"  # longer at each level, so that no two levels share a name
     if blocks <= 16 * block:
         before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = totals.select("_block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+        offsets = totals.select("_block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias(offset))
     else:
-        offsets = prefix_sums(totals.withColumnRenamed("_block", "_key"), "_key", "_total", blocks, "_before", block).select(F.col("_key").alias("_block"), "_before")
-    return local.join(offsets, "_block").withColumn(out, F.col(out) + F.col("_before")).drop("_block", "_before")
+        offsets = prefix_sums(totals.withColumnRenamed("_block", "_key"), "_key", "_total", blocks, offset, block).select(F.col("_key").alias("_block"), offset)
+    return local.join(offsets, "_block").withColumn(out, F.col(out) + F.col(offset)).drop("_block", offset)
 
 
 # ---------------------------------------------------------------- the operator

@@ -253,6 +253,16 @@ def test_language_passages_count_each_gram_once(monkeypatch):
     assert (language.counts(t) == whole).all()
 
 
+@pytest.mark.parametrize("n, block", [(400, 2), (700, 3), (40, 256), (0, 2)])
+def test_prefix_sums_over_several_levels(spark, n, block):
+    rng = random.Random(n)
+    rows = [(i, rng.randint(0, 4096), "r") for i in range(n)]
+    df = spark.createDataFrame(rng.sample(rows, n), "item long, tail long, other string").repartition(3)
+    got = packing.prefix_sums(df, "item", "tail", n, "lo", block)
+    assert got.columns == [*df.columns, "lo"]
+    assert sorted(tuple(r) for r in got.collect()) == [(i, t, o, sum(x for _, x, _ in rows[:i])) for i, t, o in rows]
+
+
 # ------------------------------------------------------------ mixing
 
 
