@@ -87,8 +87,9 @@ def _matrix(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarra
 def search(vectors: DataFrame, queries: DataFrame, k: int, prepare: Callable, score: str, nonzero: bool) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of each query row.
 
-    ``prepare(dim)`` gives a function (query matrix, row matrix) -> iterator
-    over queries of (row positions, scores), the best k of the block or more.
+    ``prepare(dim)`` gives a function (query matrix, row matrix, query ids, row
+    ids) -> iterator over queries of (row positions, scores), the best k of the
+    block or more, none of them a row with the query's own id.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "search")
@@ -109,9 +110,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, prepare: Callable, sc
                 keys, m = _matrix(ids, rows_of, dim)
                 q_keys, q = _matrix(q_ids, queries_of, dim)
                 out: list[list] = [[], [], [], []]
-                for at, (positions, scores) in enumerate(prepare(dim)(q, m)):
-                    other = keys[positions] != q_keys[at]
-                    positions, scores = positions[other], scores[other]
+                for at, (positions, scores) in enumerate(prepare(dim)(q, m, q_keys, keys)):
                     best = np.lexsort((keys[positions], -scores))[:k]
                     for column, values in zip(out, (np.full(len(best), (q_block << 12) + at), np.full(len(best), q_keys[at]), keys[positions[best]], scores[best])):
                         column.append(values)
@@ -147,7 +146,7 @@ class Pivots:
     """
 
     def __init__(self, k: int, pivots: int = 48, step: int = 256, seed: int = 7):
-        self.k, self.pivots, self.step, self.seed = k + 1, pivots, step, seed  # one more: the query's own row is dropped later
+        self.k, self.pivots, self.step, self.seed = k, pivots, step, seed
 
     def table(self, dim: int) -> np.ndarray:
         """Pivot points: random directions at a few radii, the same for every block."""
@@ -158,7 +157,7 @@ class Pivots:
     def __call__(self, dim: int) -> Callable:
         directions = self.table(dim)
 
-        def run(queries: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        def run(queries: np.ndarray, rows: np.ndarray, q_keys: np.ndarray, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             q, m = quantised(queries), quantised(rows)
             exact = max(np.abs(q).max(initial=0), 1) * max(np.abs(m).max(initial=0), 1) * max(dim, 1) < 2.0**53
             if not exact:
@@ -176,6 +175,7 @@ class Pivots:
                 # rounding of the distances is allowed for
                 bound = (norm + own - low**2) / 2 + 1e-9 * (norm + own) + 0.5
                 order = np.argsort(-bound, kind="stable")
+                order = order[keys[order] != q_keys[i]]
                 positions, scores, least = np.zeros(0, np.int64), np.zeros(0, m.dtype), -np.inf
                 for lo in range(0, len(order), self.step):
                     if len(scores) >= self.k and bound[order[lo]] < least:
@@ -227,7 +227,7 @@ class OneBit:
     """
 
     def __init__(self, k: int, bits: int = 256, width: float = 2.6, step: int = 256, seed: int = 9):
-        self.k, self.bits, self.width, self.step, self.seed = k + 1, bits, width, step, seed
+        self.k, self.bits, self.width, self.step, self.seed = k, bits, width, step, seed
 
     def rotation(self, dim: int) -> np.ndarray:
         size = max(self.bits, 8 * -(-dim // 8))
@@ -243,7 +243,7 @@ class OneBit:
         rotation = self.rotation(dim)
         size = len(rotation)
 
-        def run(queries: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        def run(queries: np.ndarray, rows: np.ndarray, q_keys: np.ndarray, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             q_norm, norm = np.linalg.norm(queries, axis=1), np.linalg.norm(rows, axis=1)
             codes, scalar = self.encode(rows / norm[:, None], rotation)
             turned = (queries / q_norm[:, None]) @ rotation.T
@@ -254,6 +254,7 @@ class OneBit:
             for i in range(len(queries)):
                 upper = against[i] / scalar + error
                 order = np.argsort(-upper, kind="stable")
+                order = order[keys[order] != q_keys[i]]
                 positions, scores, least = np.zeros(0, np.int64), np.zeros(0), -np.inf
                 for lo in range(0, len(order), self.step):
                     if len(scores) >= self.k and upper[order[lo]] < least:

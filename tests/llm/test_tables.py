@@ -153,3 +153,16 @@ def test_small_blocks_and_large_values(spark, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string").repartition(2)
     got = sorted(tuple(r) for r in vectors.exact_top_k(df, vectors.query_rows(df, 10), 4).collect())
     assert got == brute(rows, 10, 4, lambda a, b: sum(int(x) * int(y) for x, y in zip(np.floor(256 * a), np.floor(256 * b))), True)
+
+
+def test_rows_that_repeat_a_query_hide_no_neighbour(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.standard_normal(8).tolist(), "r") for i in range(1, 60)]
+    rows += [(0, [3.0] * 8, "r")] * 10 + [(100 + i, [2.0 + i / 10] * 7 + [1.0], "r") for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string").coalesce(1)
+    asked = df.where("vec_id = 0")
+    got = sorted(tuple(r) for r in vectors.exact_top_k(df, asked, 5).collect())
+    assert got == brute(rows, 1000, 5, lambda a, b: int((np.floor(256 * a) * np.floor(256 * b)).sum()), True)
+    near = sorted(tuple(r)[:3] for r in vectors.nearest(df, asked, 5).collect())
+    want = brute(rows, 1000, 5, lambda a, b: float((a * b).sum() / (np.linalg.norm(a) * np.linalg.norm(b))), False)
+    assert len(near) == 50 and near == [w[:3] for w in want]
