@@ -2,11 +2,13 @@
 
 Documents are counted into cells (source, language, topic) of tokens.  The
 cell weights are raked: each pass scales them to the target marginal of
-source, then of language, then of topic, until all three hold.  A cell's
-calibrated weight over its tokens, times one common factor, is the probability
-with which its documents are kept; the factor makes the expected number of
-tokens a chosen fraction of the input, with probabilities capped at 1.  The
-draw is a hash of the document's id, so it can be repeated.
+source, then of language, then of topic, until all three hold.  The targets
+sum to a chosen fraction of the tokens, and no cell's weight passes its tokens,
+so a cell's weight over its tokens is the probability with which its documents
+are kept, and the expected sample itself has the target marginals.  A value
+with fewer tokens than its target is kept whole, and the other values of its
+dimension share the rest.  The draw is a hash of the document's id, so it can
+be repeated.
 
 Only cell totals are gathered: up to ``MOST_CELLS`` of them are raked on the
 driver (the number is checked first), more as a DataFrame, one aggregation a
@@ -72,19 +74,41 @@ def with_topics(docs: DataFrame, column: str, topics: int = TOPICS) -> DataFrame
 # ---------------------------------------------------------------- raking
 
 
-def rake(codes: list[np.ndarray], weights: np.ndarray, targets: list[np.ndarray], passes: int = 500, close: float = 1e-10) -> np.ndarray:
-    """Weights whose sums over each coding equal its targets (all targets have one total)."""
+def rake(codes: list[np.ndarray], weights: np.ndarray, targets: list[np.ndarray], passes: int = 500, close: float = 1e-10, most: np.ndarray | None = None) -> np.ndarray:
+    """Weights whose sums over each coding equal its targets (all targets have one total), none above ``most``.
+
+    A factor is kept beyond the bound, so a weight is min(most, start * product
+    of factors).  The sum of a value is then concave in its factor; a pass
+    makes one Newton step for each value.
+    """
     w = weights.astype(float).copy()
+    most = np.full(len(w), np.inf) if most is None else most
     for _ in range(passes):
         off = 0.0
         for code, target in zip(codes, targets):
-            have = np.bincount(code, w, len(target))
+            shut = np.bincount(code, np.where(w < most, 0.0, most), len(target))
+            free = np.bincount(code, np.where(w < most, w, 0.0), len(target))
+            have = shut + free
+            newton = (target > shut) & (free > 0)
             factor = np.where(have > 0, target / np.maximum(have, 1e-300), 0.0)
-            off = max(off, float(np.abs(factor[have > 0] - 1).max(initial=0)))
+            factor = np.where(newton, (target - shut) / np.maximum(free, 1e-300), factor)
+            factor[(free == 0) & (target >= shut) & (have > 0)] = 1.0
+            off = max(off, float(np.abs(have - target)[have > 0].max(initial=0) / max(target.sum(), 1e-300)), float(np.abs(have / np.maximum(target, 1e-300) - 1)[(have > 0) & (target > 0)].max(initial=0)))
             w *= factor[code]
         if off < close:
             break
-    return w
+    return np.minimum(w, most)
+
+
+def reachable(shares: np.ndarray, held: np.ndarray, total: float) -> np.ndarray:
+    """Targets in the ratio of ``shares`` that sum to ``total``; a value that holds less gives all it has, the others the rest."""
+    factor = total / max(shares.sum(), 1e-300)
+    while True:
+        shut = factor * shares >= held
+        left, free = total - held[shut].sum(), shares[~shut].sum()
+        if free <= 0 or left <= factor * free * (1 + 1e-14):
+            return np.minimum(factor * shares, held)
+        factor = left / free
 
 
 def tempered(code: np.ndarray, weights: np.ndarray, power: float) -> np.ndarray:
@@ -105,48 +129,76 @@ def probabilities(tokens: np.ndarray, raked: np.ndarray, fraction: float) -> np.
     return np.minimum(1, hi * ratio)
 
 
-def cell_probabilities(cells: DataFrame, temper: dict[str, float], fraction: float, most: int = MOST_CELLS) -> DataFrame:
+def cell_probabilities(cells: DataFrame, temper: dict[str, float], fraction: float, most: int = MOST_CELLS, targets: dict[str, dict] | None = None) -> DataFrame:
     """(source, lang, topic, probability) of every cell with tokens."""
     spark = cells.sparkSession
     kinds = "source string, lang string, topic long, probability double"
+    targets = targets or {}
     if cells.count() <= most:
         rows = cells.toPandas()
         if not len(rows):
             return spark.createDataFrame([], kinds)
         tokens = rows["tokens"].to_numpy(float)
         codes = [rows[d].map(repr).astype("category").cat.codes.to_numpy(np.int64) for d in DIMENSIONS]
-        raked = rake(codes, tokens, [tempered(c, tokens, temper[d]) for c, d in zip(codes, DIMENSIONS)])
+        held = [np.bincount(c, tokens) for c in codes]
+        shares = []
+        for c, d in zip(codes, DIMENSIONS):
+            values = {int(k): None if v is None or v != v else v for k, v in zip(c, rows[d])}
+            shares.append(tempered(c, tokens, temper[d]) if d not in targets else np.array([float(targets[d].get(values[k], 0)) for k in range(len(values))]))
+        # values of share 0 and those that run out can leave less than the fraction
+        total = min(np.minimum(np.where(s > 0, h, 0), h).sum() for s, h in zip(shares, held))
+        total = min(total, fraction * tokens.sum())
+        raked = rake(codes, tokens * fraction, [reachable(s, h, total) for s, h in zip(shares, held)], most=tokens)
+        fraction = total / tokens.sum()
         rows = rows[list(DIMENSIONS)].assign(probability=probabilities(tokens, raked, fraction))
         # checked above: at most ``most`` rows
         return F.broadcast(spark.createDataFrame([tuple(None if v is None or v != v else v for v in r) for r in rows.itertuples(index=False)], kinds))
-    return _rake_table(cells, temper, fraction).select(*DIMENSIONS, "probability")
+    return _rake_table(cells, temper, fraction, targets).select(*DIMENSIONS, "probability")
 
 
-def _rake_table(cells: DataFrame, temper: dict[str, float], fraction: float, passes: int = 30) -> DataFrame:
+def _rake_table(cells: DataFrame, temper: dict[str, float], fraction: float, targets: dict[str, dict], passes: int = 30) -> DataFrame:
     """The same for more cells than the driver should hold: every marginal is an aggregation and a join."""
     scratch = Scratch(cells.sparkSession, "raking")
     total = cells.agg(F.sum("tokens")).first()[0]
-    targets = {}
+    shares = {}
     for d in DIMENSIONS:
-        t = cells.groupBy(d).agg((F.sum("tokens") / total).alias("s")).withColumn("s", F.col("s") ** F.lit(temper[d]))
-        whole = t.agg(F.sum("s")).first()[0]
-        targets[d] = scratch.save(t.select(F.col(d).alias("v"), (F.col("s") / whole * total).alias("target")), f"target-{d}")
-    table = scratch.save(cells.withColumn("w", F.col("tokens").cast("double")), "0")
+        t = cells.groupBy(F.col(d).alias("v")).agg(F.sum("tokens").alias("held"))
+        if d in targets:
+            given = cells.sparkSession.createDataFrame([(v, float(s)) for v, s in targets[d].items()], T.StructType([T.StructField("g", cells.schema[d].dataType), T.StructField("share", T.DoubleType())]))
+            t = t.join(given, F.col("v").eqNullSafe(F.col("g")), "left").select("v", "held", F.coalesce("share", F.lit(0.0)).alias("share"))
+        else:
+            t = t.withColumn("share", (F.col("held") / total) ** F.lit(temper[d]))
+        shares[d] = scratch.save(t, f"share-{d}")
+    kept = min([fraction * total, *(t.where("share > 0").agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0] for t in shares.values())])
+    wanted = {}
+    for d, t in shares.items():  # as in ``reachable``
+        factor = kept / max(t.agg(F.sum("share")).first()[0], 1e-300)
+        while True:
+            shut = F.lit(factor) * F.col("share") >= F.col("held")
+            left, free = t.agg(kept - F.coalesce(F.sum(F.when(shut, F.col("held"))), F.lit(0)), F.coalesce(F.sum(F.when(~shut, F.col("share"))), F.lit(0.0))).first()
+            if free <= 0 or left <= factor * free * (1 + 1e-14):
+                break
+            factor = left / free
+        wanted[d] = scratch.save(t.select("v", F.least(F.lit(factor) * F.col("share"), F.col("held")).alias("target")), f"target-{d}")
+    table = scratch.save(cells.withColumn("w", F.lit(fraction) * F.col("tokens")), "0")
+    target, tight, loose = F.col("target"), F.col("tight"), F.col("loose")
     for step in range(1, passes + 1):
         for d in DIMENSIONS:
-            have = table.groupBy(F.col(d).alias("u")).agg(F.sum("w").alias("have"))
-            factor = have.join(targets[d], F.col("u").eqNullSafe(F.col("v"))).select("u", (F.col("target") / F.col("have")).alias("f"))
+            full = F.col("w") >= F.col("tokens")
+            have = table.groupBy(F.col(d).alias("u")).agg(F.sum(F.when(full, F.col("tokens")).otherwise(0.0)).alias("tight"), F.sum(F.when(full, 0.0).otherwise(F.col("w"))).alias("loose"))
+            f = F.when(tight + loose <= 0, 0.0).when((loose <= 0) & (target >= tight), 1.0).when((target > tight) & (loose > 0), (target - tight) / loose).otherwise(target / (tight + loose))
+            factor = have.join(wanted[d], F.col("u").eqNullSafe(F.col("v"))).select("u", f.alias("f"))
             table = table.join(factor, F.col(d).eqNullSafe(F.col("u"))).withColumn("w", F.col("w") * F.col("f")).drop("u", "f")
         table = scratch.save(table, str(step))
         scratch.drop(str(step - 1))
     lo, hi = 0.0, 1.0
-    kept = lambda x: table.agg(F.sum(F.least(F.lit(1.0), F.lit(x) * F.col("w") / F.col("tokens")) * F.col("tokens"))).first()[0]
-    while kept(hi) < fraction * total and hi < 1e12:
+    sample = lambda x: table.agg(F.sum(F.least(F.lit(1.0), F.lit(x) * F.least("w", "tokens") / F.col("tokens")) * F.col("tokens"))).first()[0]
+    while sample(hi) < kept and hi < 1e12:
         hi *= 2
     for _ in range(40):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if kept(mid) < fraction * total else (lo, mid)
-    return table.withColumn("probability", F.least(F.lit(1.0), F.lit(hi) * F.col("w") / F.col("tokens")))
+        lo, hi = (mid, hi) if sample(mid) < kept else (lo, mid)
+    return table.withColumn("probability", F.least(F.lit(1.0), F.lit(hi) * F.least("w", "tokens") / F.col("tokens")))
 
 
 def draw(seed: int):
@@ -154,14 +206,17 @@ def draw(seed: int):
     return F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
-def mix(docs: DataFrame, temper: dict[str, float] = TEMPER, fraction: float = FRACTION, topics: int = TOPICS, seed: int = 8, column: str = "_mix", most_cells: int = MOST_CELLS) -> DataFrame:
-    """``docs`` with a struct column (tokens, topic, probability, kept)."""
+def mix(docs: DataFrame, temper: dict[str, float] = TEMPER, fraction: float = FRACTION, topics: int = TOPICS, seed: int = 8, column: str = "_mix", most_cells: int = MOST_CELLS, targets: dict[str, dict] | None = None) -> DataFrame:
+    """``docs`` with a struct column (tokens, topic, probability, kept).
+
+    ``targets`` gives the shares of a dimension's values, such as {"lang": {"en": 0.6, None: 0.4}}, in place of tempered ones.
+    """
     made = with_topics(docs, column, topics)
     source, lang = F.col("source").cast("string"), F.col("lang").cast("string")
     skinny = with_topics(docs.select("source", "lang", "text"), column, topics)
     cells = skinny.groupBy(source.alias("source"), lang.alias("lang"), F.col(f"{column}.topic").alias("topic")).agg(F.sum(f"{column}.tokens").alias("tokens")).where("tokens > 0")
     cells = Scratch(docs.sparkSession, "mixing").save(cells, "cells")
-    p = cell_probabilities(cells, temper, fraction, most_cells)
+    p = cell_probabilities(cells, temper, fraction, most_cells, targets)
     p = p.select(F.struct("source", "lang", "topic").alias("_cell"), F.col("probability").alias("_probability"))
     joined = made.join(p, (source.eqNullSafe(F.col("_cell.source"))) & (lang.eqNullSafe(F.col("_cell.lang"))) & (F.col(f"{column}.topic") == F.col("_cell.topic")), "left")
     chance = F.when(F.col(f"{column}.tokens") == 0, F.lit(1.0)).otherwise(F.coalesce("_probability", F.lit(0.0)))

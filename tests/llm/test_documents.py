@@ -278,6 +278,35 @@ def test_raking_meets_all_marginals():
     assert p.max() <= 1 and abs((p * w).sum() / w.sum() - 0.7) < 1e-6
 
 
+def expected_shares(cells, found, d):
+    sums = defaultdict(float)
+    for *key, n in cells:
+        sums[key[d]] += n * found[tuple(key)]
+    return {v: x / sum(sums.values()) for v, x in sums.items()}, sum(sums.values())
+
+
+@pytest.mark.parametrize("most", [1000, 0])
+def test_the_expected_sample_meets_the_targets(spark, most):
+    rng = random.Random(0)
+    cells = [(a, b, c, int(10 ** rng.uniform(2, 3.5))) for a in ("s0", "s1", None) for b in ("en", "de") for c in range(4)]
+    df = spark.createDataFrame(cells, "source string, lang string, topic long, tokens long")
+    total = sum(c[3] for c in cells)
+    run = lambda f, targets=None: {tuple(r)[:3]: r["probability"] for r in mixing.cell_probabilities(df, mixing.TEMPER, f, most, targets).collect()}
+    found = run(0.6)
+    assert max(found.values()) > 1 - 1e-9  # some cells are kept whole
+    for d, name in enumerate(mixing.DIMENSIONS):
+        own, kept = expected_shares(cells, found, d)
+        given, _ = expected_shares(cells, dict.fromkeys(found, 1), d)
+        tempered = {v: x ** mixing.TEMPER[name] for v, x in given.items()}
+        assert abs(kept / total - 0.6) < 1e-6 and all(abs(own[v] - x / sum(tempered.values())) < 1e-4 for v, x in tempered.items())
+    own, kept = expected_shares(cells, run(0.3, {"source": {"s0": 2, None: 1}}), 0)
+    assert abs(kept / total - 0.3) < 1e-6 and all(abs(own[v] - x) < 1e-4 for v, x in {"s0": 2 / 3, "s1": 0, None: 1 / 3}.items())
+
+
+def test_a_value_that_runs_out_is_kept_whole():
+    assert np.allclose(mixing.reachable(np.array([1.0, 1, 2]), np.array([5.0, 100, 100]), 65), [5, 20, 40])
+
+
 def test_mixing_edge_cases(odd, none):
     rows = mixing.mix(odd, column="_m").collect()
     assert len(rows) == odd.count()
