@@ -26,6 +26,7 @@ draw; an empty table gives no rows.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,13 @@ DIMENSIONS = ("source", "lang", "topic")
 #: Target share of a value: its observed share of tokens to this power (1 leaves it, 0 makes all equal).
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.0}
 FRACTION = 0.7
+#: Raking ends when a pass finds every marginal within CLOSE of its target, or after so many passes.
+PASSES, CLOSE = 500, 1e-10
+#: Marginals that cannot hold together drive weights to 0 or beyond all bounds; they stay within LEAST and 1 / LEAST.
+LEAST = 1e-100
+#: A marginal further from its target than this is reported, of each dimension so many, the worst first.
+UNMET, SHOWN = 1e-6, 20
+LOG = logging.getLogger(__name__)
 _MADE = T.StructType([T.StructField("tokens", T.LongType()), T.StructField("topic", T.LongType())])
 
 
@@ -74,7 +82,7 @@ def with_topics(docs: DataFrame, column: str, topics: int = TOPICS) -> DataFrame
 # ---------------------------------------------------------------- raking
 
 
-def rake(codes: list[np.ndarray], weights: np.ndarray, targets: list[np.ndarray], passes: int = 500, close: float = 1e-10, most: np.ndarray | None = None) -> np.ndarray:
+def rake(codes: list[np.ndarray], weights: np.ndarray, targets: list[np.ndarray], passes: int = PASSES, close: float = CLOSE, most: np.ndarray | None = None) -> np.ndarray:
     """Weights whose sums over each coding equal its targets (all targets have one total), none above ``most``.
 
     A factor is kept beyond the bound, so a weight is min(most, start * product
@@ -93,8 +101,9 @@ def rake(codes: list[np.ndarray], weights: np.ndarray, targets: list[np.ndarray]
             factor = np.where(have > 0, target / np.maximum(have, 1e-300), 0.0)
             factor = np.where(newton, (target - shut) / np.maximum(free, 1e-300), factor)
             factor[(free == 0) & (target >= shut) & (have > 0)] = 1.0
-            off = max(off, float(np.abs(have - target)[have > 0].max(initial=0) / max(target.sum(), 1e-300)), float(np.abs(have / np.maximum(target, 1e-300) - 1)[(have > 0) & (target > 0)].max(initial=0)))
+            off = max(off, float((np.abs(have - target) / np.where(target > 0, target, 1))[have > 0].max(initial=0)))
             w *= factor[code]
+            w = np.where(w > 0, np.clip(w, LEAST, 1 / LEAST), 0.0)
         if off < close:
             break
     return np.minimum(w, most)
@@ -151,12 +160,22 @@ def cell_probabilities(cells: DataFrame, temper: dict[str, float], fraction: flo
         raked = rake(codes, tokens * fraction, [reachable(s, h, total) for s, h in zip(shares, held)], most=tokens)
         fraction = total / tokens.sum()
         rows = rows[list(DIMENSIONS)].assign(probability=probabilities(tokens, raked, fraction))
+        for c, d, s in zip(codes, DIMENSIONS, shares):
+            want, have = s / max(s.sum(), 1e-300) * total, np.bincount(c, rows["probability"] * tokens)
+            far = [k for k in np.argsort(-np.abs(have - want), kind="stable") if abs(have[k] - want[k]) > UNMET * max(want[k], 1)][:SHOWN]
+            _report(d, [(rows[d].iloc[int(np.argmax(c == k))], want[k], have[k]) for k in far], total)
         # checked above: at most ``most`` rows
         return F.broadcast(spark.createDataFrame([tuple(None if v is None or v != v else v for v in r) for r in rows.itertuples(index=False)], kinds))
     return _rake_table(cells, temper, fraction, targets).select(*DIMENSIONS, "probability")
 
 
-def _rake_table(cells: DataFrame, temper: dict[str, float], fraction: float, targets: dict[str, dict], passes: int = 30) -> DataFrame:
+def _report(dimension: str, unmet: list[tuple], total: float) -> None:
+    """A warning for each marginal of the expected sample that is not its target."""
+    for value, want, have in unmet:
+        LOG.warning("mixing: %s %r has the share %.6f of the sample, its target is %.6f", dimension, value, have / max(total, 1e-300), want / max(total, 1e-300))
+
+
+def _rake_table(cells: DataFrame, temper: dict[str, float], fraction: float, targets: dict[str, dict], passes: int = PASSES, close: float = CLOSE) -> DataFrame:
     """The same for more cells than the driver should hold: every marginal is an aggregation and a join."""
     scratch = Scratch(cells.sparkSession, "raking")
     total = cells.agg(F.sum("tokens")).first()[0]
@@ -182,23 +201,36 @@ def _rake_table(cells: DataFrame, temper: dict[str, float], fraction: float, tar
         wanted[d] = scratch.save(t.select("v", F.least(F.lit(factor) * F.col("share"), F.col("held")).alias("target")), f"target-{d}")
     table = scratch.save(cells.withColumn("w", F.lit(fraction) * F.col("tokens")), "0")
     target, tight, loose = F.col("target"), F.col("tight"), F.col("loose")
+    miss = F.when(tight + loose > 0, F.abs(tight + loose - target) / F.when(target > 0, target).otherwise(1.0)).otherwise(0.0)
     for step in range(1, passes + 1):
+        table = table.withColumn("off", F.lit(0.0))
         for d in DIMENSIONS:
             full = F.col("w") >= F.col("tokens")
             have = table.groupBy(F.col(d).alias("u")).agg(F.sum(F.when(full, F.col("tokens")).otherwise(0.0)).alias("tight"), F.sum(F.when(full, 0.0).otherwise(F.col("w"))).alias("loose"))
             f = F.when(tight + loose <= 0, 0.0).when((loose <= 0) & (target >= tight), 1.0).when((target > tight) & (loose > 0), (target - tight) / loose).otherwise(target / (tight + loose))
-            factor = have.join(wanted[d], F.col("u").eqNullSafe(F.col("v"))).select("u", f.alias("f"))
-            table = table.join(factor, F.col(d).eqNullSafe(F.col("u"))).withColumn("w", F.col("w") * F.col("f")).drop("u", "f")
+            factor = have.join(wanted[d], F.col("u").eqNullSafe(F.col("v"))).select("u", f.alias("f"), miss.alias("miss"))
+            table = table.join(factor, F.col(d).eqNullSafe(F.col("u"))).withColumn("w", F.col("w") * F.col("f")).withColumn("w", F.when(F.col("w") > 0, F.least(F.greatest("w", F.lit(LEAST)), F.lit(1 / LEAST))).otherwise(0.0)).withColumn("off", F.greatest("off", "miss")).drop("u", "f", "miss")
         table = scratch.save(table, str(step))
         scratch.drop(str(step - 1))
+        if table.agg(F.max("off")).first()[0] < close:
+            break
     lo, hi = 0.0, 1.0
     sample = lambda x: table.agg(F.sum(F.least(F.lit(1.0), F.lit(x) * F.least("w", "tokens") / F.col("tokens")) * F.col("tokens"))).first()[0]
     while sample(hi) < kept and hi < 1e12:
         hi *= 2
-    for _ in range(40):
+    for _ in range(100):
+        if hi - lo < 1e-15 * hi:
+            break
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if sample(mid) < kept else (lo, mid)
-    return table.withColumn("probability", F.least(F.lit(1.0), F.lit(hi) * F.least("w", "tokens") / F.col("tokens")))
+    table = table.withColumn("probability", F.least(F.lit(1.0), F.lit(hi) * F.least("w", "tokens") / F.col("tokens"))).drop("off")
+    for d, t in shares.items():
+        whole = t.agg(F.sum("share")).first()[0] or 1.0
+        own = table.groupBy(F.col(d).alias("u")).agg(F.sum(F.col("probability") * F.col("tokens")).alias("have"))
+        want = F.col("share") / whole * kept
+        own = own.join(t, F.col("u").eqNullSafe(F.col("v"))).select("v", want.alias("want"), "have").where(F.abs(F.col("have") - F.col("want")) > UNMET * F.greatest(F.col("want"), F.lit(1.0)))
+        _report(d, [tuple(r) for r in own.orderBy(F.desc(F.abs(F.col("have") - F.col("want")))).limit(SHOWN).collect()], kept)
+    return table
 
 
 def draw(seed: int):

@@ -307,6 +307,38 @@ def test_a_value_that_runs_out_is_kept_whole():
     assert np.allclose(mixing.reachable(np.array([1.0, 1, 2]), np.array([5.0, 100, 100]), 65), [5, 20, 40])
 
 
+def test_slow_raking_stops_by_one_rule(spark, monkeypatch, caplog):
+    cells = [("a", "x", 0, 1000), ("a", "y", 1, 10), ("b", "y", 0, 10), ("b", "y", 1, 1000), ("c", "x", 1, 30), ("c", "z", 2, 500)]
+    df = spark.createDataFrame(cells, "source string, lang string, topic long, tokens long")
+    run = lambda most, f: {tuple(r)[:3]: r["probability"] for r in mixing.cell_probabilities(df, {"source": 1, "lang": 0.5, "topic": 0.8}, f, most).collect()}
+    monkeypatch.setattr(mixing.rake, "__defaults__", (40, 1e-10, None))
+    monkeypatch.setattr(mixing._rake_table, "__defaults__", (40, 1e-10))
+    told = []
+    found = []
+    for most in (1000, 0):
+        caplog.clear()
+        found.append(run(most, 0.6))
+        told.append(sorted(r.getMessage() for r in caplog.records if "mixing" in r.getMessage()))
+    assert all(abs(found[0][k] - found[1][k]) < 1e-9 for k in found[0])
+    assert told[0] == told[1] and told[0]  # marginals that no sample can have together
+
+
+@pytest.mark.filterwarnings("error")
+def test_marginals_that_contradict_each_other_leave_finite_weights():
+    codes = [np.array([0, 0, 1]), np.array([0, 1, 1])]
+    raked = mixing.rake(codes, np.array([5.0, 5, 5]), [np.array([9.0, 6]), np.array([2.0, 13])], passes=3000, most=np.array([10.0, 8, 10]))
+    assert np.isfinite(raked).all() and (raked <= [10, 8, 10]).all()
+    raked = mixing.rake([np.array([0, 1]), np.array([0, 1])], np.array([5.0, 5]), [np.array([1.0, 9]), np.array([9.0, 1])], passes=3000, most=np.array([10.0, 8]))
+    assert np.isfinite(raked).all()
+
+
+def test_both_ways_of_raking_have_one_limit():
+    import inspect
+
+    a, b = (inspect.signature(f).parameters for f in (mixing.rake, mixing._rake_table))
+    assert a["passes"].default == b["passes"].default and a["close"].default == b["close"].default
+
+
 def test_mixing_edge_cases(odd, none):
     rows = mixing.mix(odd, column="_m").collect()
     assert len(rows) == odd.count()
