@@ -362,15 +362,15 @@ def local_alignments(spark, d):
 
 _SCALE = {"r": 3, "e": 1, "i": 4, "n": 2, "g": 5, "l": 1}
 _MEAN = "16.0 / 6"
-_VAR = "(56.0 / 6 - (16.0 / 6) * (16.0 / 6))"
+_SPREAD = "sqrt(56.0 / 6 - (16.0 / 6) * (16.0 / 6))"
 
 
 @r.query("pseudo_composition", f"""
-WITH s(c, x) AS (VALUES {', '.join(f"('{c}', {x})" for c, x in _SCALE.items())}), h AS (SELECT c, (x - {_MEAN}) / {_VAR} AS v FROM s),
+WITH s(c, x) AS (VALUES {', '.join(f"('{c}', {x})" for c, x in _SCALE.items())}), h AS (SELECT c, (x - {_MEAN}) / {_SPREAD} AS v FROM s),
 l AS (SELECT p_partkey, length(p_name) AS n, i, substr(p_name, i, 1) AS a, substr(p_name, i + 1, 1) AS b FROM (SELECT *, unnest(range(1, length(p_name) + 1)) AS i FROM part)),
 t AS (SELECT p_partkey, n, sum(CASE WHEN a IN ('r', 'e', 'i', 'n', 'g', 'l') THEN 1 ELSE 0 END) AS k, sum(CASE WHEN a = 'r' THEN 1 ELSE 0 END) AS r, sum(coalesce(p.v, 0) * coalesce(q.v, 0)) / (n - 1) AS theta
       FROM l LEFT JOIN h p ON p.c = a LEFT JOIN h q ON q.c = b GROUP BY 1, 2)
-SELECT p_partkey, round(1.0 * r / n / (1.0 * k / n + 0.5 * theta), 6) AS share_r, round(0.5 * theta / (1.0 * k / n + 0.5 * theta), 6) AS correlation FROM t""")
+SELECT p_partkey, round(r / (k + 0.5 * theta), 6) AS share_r, round(0.5 * theta / (k + 0.5 * theta), 6) AS correlation FROM t""")
 def pseudo_composition(spark, d):
     """Amphiphilic pseudo composition of part names over six letters with one scale and one lag."""
     scale = pools.standard_scale(_SCALE)
