@@ -3,26 +3,35 @@
 One pass over the texts makes, for each document, the set of its word shingles,
 a 16-byte fingerprint of that set, 128 MinHash minima, 25 band keys of five
 minima each and a packed signature that retains the low four bits of every
-minimum (64 bytes).  Documents with equal sets are one *node*.  Nodes that
-share a band key are candidates; their similarity is estimated from the
-signatures by counting equal nibbles, corrected for the chance collisions of
-four-bit values; a pair whose estimate is not clearly below the threshold is
-confirmed on the full shingle sets with integer arithmetic.
-
-Large groups of near copies are resolved without ever making their pairs: in
-every bucket each member is compared with one leader only, confirmed members
-are merged into the leader's class (a forest of links to smaller classes,
-flattened by pointer jumping), and buckets that hold a single class are done.
-Leaders change in each round.  What is left then, buckets whose members are
-not all of one class, is compared in full, after an exact bound on shared
-shingles has removed members that cannot have a link; so no link is lost to a
-limit.  The only loss is MinHash's own: two documents of similarity 0.85 share
-no band with probability 4e-7 (0.80: 5e-5).
+minimum (64 bytes).  Documents with equal sets are one *node*, numbered once.
+Nodes that share a band key are candidates; their similarity is estimated from
+the signatures by counting equal nibbles, corrected for the chance collisions
+of four-bit values; a pair whose estimate is not clearly below the threshold
+is confirmed on the full shingle sets with integer arithmetic.
+
+Sets are large, so they are made (by reading those texts again) only for nodes
+whose pair or bucket has passed the estimate, and travel once for each pair:
+
+- Leader rounds.  Every bucket compares its members with one leader, and of all
+  leaders a class meets, the one it shares the most bands with is confirmed.
+  Linked classes merge (a forest of links, flattened by pointer jumping);
+  buckets that hold a single class are done.  A group of copies that holds a
+  third of all rows costs its size in each round, never its square.
+- What is left.  In every bucket that still holds several classes, the members
+  outside its largest class meet all members, in cells of bounded size, by
+  signatures.  Members joined by passing estimates form groups, and a group
+  (where it is large, its buckets once more) is compared by full sets.  Only
+  spanning links leave a cell, so pairs are never listed and none is lost to a
+  limit.
+
+The only loss is MinHash's own: of two documents of similarity 0.85, no band is
+shared with probability 4e-7 (0.80: 5e-5), and the estimate lies more than
+SLACK below the threshold with probability 5e-6 (4e-5).
 
 Edge cases: null, empty and blank texts have no shingles, are linked with
 nothing and stay their own class.  Rows that repeat a doc_id are documents of
-their own.  A class whose doc_ids are all null has a null component_id.  Other
-columns of the input are ignored.
+their own.  A class whose doc_ids are all null has a null component_id.  An
+empty table gives no rows.  Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -36,19 +45,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.llm import text as tx
+from strandweave.llm.bits import BitTable
 from strandweave.session import Scratch
 
 HASHES, ROWS, BANDS = 128, 5, 25
 LOW_BITS, WORDS = 4, HASHES * 4 // 64
 #: Estimates may lie this far below the threshold (4.5 standard errors at 0.85) and still be confirmed.
 SLACK = 0.145
-#: Bits of the set that marks the candidates' texts; beyond it more texts are read again, none is missed.
-MOST_BITS = 1 << 26
-#: Members of a bucket that one task compares with as many others.
-CELL = 512
+#: Members of a bucket on either side of a cell, by signatures; by sets, also so many shingles on either side.
+CELL, LOAD = 512, 1 << 18
 _CHUNK = 1 << 15
 SIGNATURE = [f"s{i}" for i in range(WORDS)]
-_SKETCH = "doc_id long, node binary, n_shingles long, bands array<long>, " + ", ".join(f"{s} long" for s in SIGNATURE)
+_SKETCH = "doc_id long, digest long, node binary, n_shingles long, bands array<long>, " + ", ".join(f"{s} long" for s in SIGNATURE)
 
 
 def minima(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -87,64 +95,55 @@ def packed(low: np.ndarray) -> np.ndarray:
     return (bits.reshape(len(low), WORDS, 16) << shifts).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
-def _shingled(batch: pa.RecordBatch, width: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc_ids, set sizes, values, set ends) for each slice of rows."""
-    ids = batch.column(0)
-    for lo, hi, data, offsets in tx.slices(batch.column(1)):
-        values, sizes = tx.text_shingles(data, offsets, width)
-        yield ids.slice(lo, hi - lo), sizes, values, np.cumsum(sizes)
+#: Leaders of a round are the members whose id, with these bits turned over, is least.
+_TURNS = [(0x2545F4914F6CDD1D * r) & ((1 << 62) - 1) for r in range(16)]
 
 
-def _nodes(sizes: np.ndarray, values: np.ndarray, ends: np.ndarray) -> list[bytes | None]:
-    raw = values.tobytes()
+def _nodes(sizes: np.ndarray, values: np.ndarray) -> list[bytes | None]:
+    raw, ends = values.tobytes(), np.cumsum(sizes)
     return [hashlib.blake2b(raw[8 * (e - n) : 8 * e], digest_size=16).digest() if n else None for n, e in zip(sizes, ends)]
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for ids, sizes, values, ends in _shingled(batch, width):
+        for lo, hi, data, offsets in tx.slices(batch.column(2)):
+            values, sizes = tx.text_shingles(data, offsets, width)
             full = sizes > 0
             low = minima(values, sizes[full])
             keys = np.zeros((len(sizes), BANDS), np.int64)
             signature = np.zeros((len(sizes), WORDS), np.int64)
             keys[full], signature[full] = band_keys(low), packed(low)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-            columns = [ids, pa.array(_nodes(sizes, values, ends), pa.binary()), pa.array(sizes), bands, *(pa.array(np.ascontiguousarray(signature[:, i])) for i in range(WORDS))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n_shingles", "bands", *SIGNATURE])
+            own = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(_nodes(sizes, values), pa.binary()), pa.array(sizes)]
+            yield pa.RecordBatch.from_arrays([*own, bands, *(pa.array(np.ascontiguousarray(signature[:, i])) for i in range(WORDS))], names=["doc_id", "digest", "node", "n_shingles", "bands", *SIGNATURE])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int, chosen: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(node, shingles) of the texts whose place in the bit set ``chosen`` is taken."""
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """(node, shingles) of texts, each node once a task."""
+    seen: set[bytes] = set()
     for batch in batches:
-        at = np.asarray(batch.column(0))
-        hit = np.flatnonzero(chosen[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-        for _, sizes, values, ends in _shingled(batch.take(pa.array(hit)), width):
-            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-            arrays = pa.ListArray.from_arrays(offsets, pa.array(values.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(_nodes(sizes, values, ends), pa.binary()), arrays], names=["node", "shingles"])
+        for _, _, data, offsets in tx.slices(batch.column(0)):
+            values, sizes = tx.text_shingles(data, offsets, width)
+            nodes, ends = _nodes(sizes, values), np.cumsum(sizes)
+            new = [i for i, node in enumerate(nodes) if node is not None and not (node in seen or seen.add(node))]
+            if new:
+                arrays = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes[new])]).astype(np.int32)), pa.array(np.concatenate([values[ends[i] - sizes[i] : ends[i]] for i in new]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in new], pa.binary()), arrays], names=["node", "shingles"])
 
 
-def _bit_set(ids: DataFrame, bits: int) -> np.ndarray:
-    """Bytes with the bit at hash(doc_id) mod ``bits`` set for every id: ``bits`` / 8 bytes, whatever the input."""
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    taken = ids.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(bits // 64, "<i8")
-    out[taken.column("word").to_numpy()] = taken.column("bits").to_numpy()
-    return out.view(np.uint8)
+def most_unequal(threshold: float) -> int:
+    """Signatures that differ in more nibbles have a collision-corrected estimate clearly below the threshold."""
+    chance = 2.0**-LOW_BITS
+    return int(HASHES - HASHES * ((threshold - SLACK) * (1 - chance) + chance))
 
 
 def _estimate_passes(a: str, b: str, threshold: float):
-    """Condition: the collision-corrected estimate of two signatures is not clearly below the threshold."""
-    ones = F.lit(0x1111111111111111)
-    unequal = F.lit(0)
+    ones, unequal = F.lit(0x1111111111111111), F.lit(0)
     for s in SIGNATURE:
         x = F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(ones)
-        unequal = unequal + F.bit_count(x)
-    chance = 2.0**-LOW_BITS
-    least = HASHES * ((threshold - SLACK) * (1 - chance) + chance)
-    return unequal <= F.lit(int(HASHES - least))
+        unequal = unequal + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(ones))
+    return unequal <= F.lit(most_unequal(threshold))
 
 
 def _sizes_pass(a, b, num: int, den: int):
@@ -152,201 +151,325 @@ def _sizes_pass(a, b, num: int, den: int):
     return (F.least(a, b) * den) >= (F.greatest(a, b) * num)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b, ...) whose full sets have similarity num/den or more, in integers."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    either = F.size("sa") + F.size("sb") - both
-    return pairs.join(left, "a").join(right, "b").where(both * den >= either * num).drop("sa", "sb")
-
-
-def _flatten(scratch: Scratch, links: DataFrame, tag: str) -> DataFrame:
-    """Roots of a forest given as (child, parent) with parent < child, by pointer jumping."""
-    forest, step = scratch.save(links, f"{tag}-0"), 0
+class _Finder:
+    """The classes of one table of texts: (id, class) of the nodes that are not a class of their own."""
+
+    def __init__(self, docs: DataFrame, width: int, similarity: tuple[int, int], rounds: int):
+        self.width, (self.num, self.den), self.rounds = width, similarity, rounds
+        self.scratch = Scratch(docs.sparkSession, "near-duplicates")
+        text = F.col("text").cast("string")
+        self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        return self.scratch.save(df, name)
+
+    def rows(self) -> DataFrame:
+        """Per document: doc_id, digest (of the text), n_shingles, class (null without shingles), component_id."""
+        sketch = self.save(tx.map_texts(self.texts, lambda it, width=self.width: _sketch(it, width), _SKETCH), "sketch")
+        nodes = sketch.where("node is not null").groupBy("node")
+        nodes = nodes.agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "digest")).alias("first"), F.max("n_shingles").alias("n"), F.max("bands").alias("bands"), *(F.max(s).alias(s) for s in SIGNATURE))
+        nodes = self.save(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+        bands = nodes.select("id", F.explode("bands").alias("key"))
+        shared = self.save(bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "shared")
+        buckets = self.save(bands.join(shared, "key"), "buckets")
+        self.scratch.drop("shared")
+        wanted = self.save(buckets.select("id").distinct().join(nodes.drop("bands"), "id"), "wanted")
+        names = self.save(nodes.select("node", "id", "doc_id"), "names")
+        self.scratch.drop("nodes")
+        self.scratch.release()
+        moved = self.classes(buckets, wanted)
+        # the smallest doc_id of every class of several nodes
+        own = moved.unionByName(moved.select(F.col("class").alias("id"), "class").distinct())
+        smallest = self.save(own.join(wanted.select("id", "doc_id"), "id").groupBy("class").agg(F.min("doc_id").alias("component_id")), "smallest")
+        placed = self.save(own.join(smallest, "class"), "placed")
+        label = names.join(placed, "id", "left").select("node", F.coalesce("class", "id").alias("class"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        label = self.save(label, "label")
+        for name in ("wanted", "names", "smallest", "placed"):
+            self.scratch.drop(name)
+        component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+        return sketch.select("doc_id", "digest", "node", "n_shingles").join(label, "node", "left").select("doc_id", "digest", "n_shingles", "class", component.alias("component_id"))
+
+    def classes(self, buckets: DataFrame, wanted: DataFrame) -> DataFrame:
+        members, last = buckets.select("key", "id", F.col("id").alias("class")), "buckets"
+        moved = self.save(wanted.select("id", F.col("id").alias("class")).where("false"), "moved")
+        for step in range(self.rounds + 1):
+            order = F.col("id").bitwiseXOR(F.lit(_TURNS[step]))
+            span = members.groupBy("key", "class").agg(F.count("*").alias("c"), F.min(order).alias("b")).groupBy("key")
+            span = span.agg(F.count("*").alias("classes"), (F.sum("c") - F.max("c")).alias("outside"), F.min("b").alias("b"), F.min_by("class", "b").alias("other"))
+            span = self.save(span.where("classes > 1").select("key", F.col("b").bitwiseXOR(F.lit(_TURNS[step])).alias("b"), "other", "outside"), f"span{step}")
+            opened = self.save(members.join(span, "key"), f"open{step}")
+            for name in (last, f"span{step}", f"members{step}"):
+                self.scratch.drop(name)
+            last = f"open{step}"
+            if opened.isEmpty():
+                return moved
+            # every bucket has one leader round; a further one is for buckets that would fill several cells
+            hard = opened if step == 0 else opened.where(F.col("outside") > CELL)
+            if step == self.rounds or step and hard.isEmpty():
+                break
+            links = self.leaders(hard, wanted, step)
+            if not links.isEmpty():
+                moved = _merge(self.scratch, moved, links, f"merge{step}", whole=False)
+            members = self.save(_relabel(opened.select("key", "id"), moved), f"members{step + 1}")
+            self.scratch.release()
+        links = self.compared(opened.select("key", "id", "class"), wanted)
+        if not links.isEmpty():
+            moved = _merge(self.scratch, moved, links, "merge")
+        self.scratch.drop(last)
+        self.scratch.release()
+        return moved
+
+    def leaders(self, opened: DataFrame, wanted: DataFrame, step: int) -> DataFrame:
+        """Links (class, other) between classes and one leader each."""
+        met = opened.where("class <> other").groupBy("class", "other", "id", "b").agg(F.count("*").alias("c"))
+        pairs = met.groupBy("class").agg(F.max_by("other", "c").alias("other"), F.max_by("id", "c").alias("a"), F.max_by("b", "c").alias("b"))
+        signed = wanted.select("id", "n", *SIGNATURE)
+        passes = _sizes_pass(F.col("x.n"), F.col("y.n"), self.num, self.den) & _estimate_passes("x", "y", self.num / self.den)
+        pairs = pairs.join(signed.alias("x"), F.col("a") == F.col("x.id")).join(signed.alias("y"), (F.col("b") == F.col("y.id")) & passes).select("class", "other", "a", "b")
+        pairs = self.save(pairs, f"pairs{step}")
+        needed = pairs.select(F.col("a").alias("id"), F.lit(False).alias("leads")).unionByName(pairs.select(F.col("b").alias("id"), F.lit(True).alias("leads")))
+        sets = self.sets(needed.groupBy("id").agg(F.max("leads").alias("leads"), F.min("leads").alias("only_leads")), wanted, f"{step}")
+        left = sets.where("not only_leads").select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
+        right = sets.where("leads").select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+        both = F.size(F.array_intersect("sa", "sb")).cast("long")
+        near = both * self.den >= (F.size("sa") + F.size("sb") - both) * self.num
+        links = self.save(pairs.join(left, "a").join(right, "b").where(near).select("class", "other"), f"links{step}")
+        for name in (f"pairs{step}", f"sets{step}"):
+            self.scratch.drop(name)
+        return links
+
+    def sets(self, needed: DataFrame, wanted: DataFrame, tag: str) -> DataFrame:
+        """``needed`` (id, ...) with the full shingle sets, made from one text of each node."""
+        needed = self.save(needed.join(wanted.select("id", "node", "first"), "id"), f"needed{tag}")
+        table = BitTable(self.scratch, f"bits{tag}", needed.select("first.doc_id", "first.digest"))
+        texts = table.mark(self.texts, ["doc_id", "digest"], "hit").where("hit").select("text")
+        made = tx.map_texts(texts, lambda it, width=self.width: _sets(it, width), "node binary, shingles array<long>")
+        rest = [c for c in needed.columns if c not in ("node", "first")]
+        made = made.join(needed.drop("first"), "node").groupBy("node").agg(*(F.first(c).alias(c) for c in (*rest, "shingles"))).drop("node")
+        made = self.save(made, f"sets{tag}")
+        for name in (f"needed{tag}", f"bits{tag}"):
+            self.scratch.drop(name)
+        return made
+
+    def compared(self, members: DataFrame, wanted: DataFrame) -> DataFrame:
+        """Links (class, other) among the members of each bucket, no pair of two classes left out.
+
+        Members whose estimates allow links form groups; a group that fits a
+        cell is compared in one, so that a set travels once and not once for
+        each bucket; members of larger groups meet in their buckets.
+        """
+        num, den = self.num, self.den
+        cells = self.dealt(members.withColumn("n", F.lit(0)), "by-signature").join(wanted.select("id", "n", *SIGNATURE), "id")
+        cells = _placed(cells, "id", "n", *SIGNATURE)
+        near = self.save(cells.mapInArrow(lambda it: _passing_cells(it, num, den), "class long, other long").distinct(), "near")
+        if near.isEmpty():
+            return near
+        grouped = _merge(self.scratch, near.select(F.col("class").alias("id"), "class").where("false"), near, "groups")
+        grouped = grouped.unionByName(grouped.select(F.col("class").alias("id"), "class").distinct()).select("id", F.col("class").alias("group"))
+        grouped = self.save(grouped.join(wanted.select("id", "n"), "id"), "grouped")
+        sizes = self.save(grouped.groupBy("group").agg(F.count("*").alias("c"), F.sum("n").alias("load")).select("group", ((F.col("c") <= CELL) & (F.col("load") <= LOAD)).alias("fits")), "sizes")
+        grouped = self.save(grouped.join(sizes, "group"), "fitting")
+        alone = members.select("id", "class").distinct().join(grouped.where("fits"), "id").select(F.col("group").alias("key"), "id", "class", "n")
+        spread = members.join(grouped.where("not fits"), "id").select("key", "id", "class", "n")
+        cells = self.save(self.dealt(self.save(alone.unionByName(spread), "weighed"), "by-set"), "cells")
+        sets = self.sets(cells.select("id").distinct(), wanted, "cells")
+        cells = _placed(cells.join(sets, "id"), "shingles")
+        links = self.save(cells.mapInArrow(lambda it: _linked_cells(it, num, den), "class long, other long").distinct(), "links")
+        for name in ("near", "grouped", "sizes", "fitting", "weighed", "cells", "setscells", "by-signature", "by-set"):
+            self.scratch.drop(name)
+        return links
+
+    def dealt(self, members: DataFrame, tag: str) -> DataFrame:
+        """(key, i, j, asks, answers, id, class): cells in which every member outside a bucket's largest class meets all others.
+
+        Cell (i, j) holds block i of the members that ask and block j of all
+        members, which answer; ``n`` bounds the weight of a block.
+        """
+        sizes = members.groupBy("key", "class").agg(F.count("*").alias("c"), F.sum("n").alias("w")).groupBy("key")
+        sizes = sizes.agg(F.max_by("class", "c").alias("major"), F.sum("c").alias("all"), F.sum("w").alias("load"), F.max("c").alias("c"), F.max_by("w", "c").alias("w"))
+        parts = lambda count, load: F.greatest(F.ceil(count / CELL), F.ceil(load / LOAD), F.lit(1)).cast("long")
+        blocks = self.save(sizes.select("key", "major", parts(F.col("all"), F.col("load")).alias("js"), parts(F.col("all") - F.col("c"), F.col("load") - F.col("w")).alias("is")), tag)
+        placed = members.join(blocks, "key").withColumn("asks", F.col("class") != F.col("major"))
+        placed = placed.withColumn("own", F.pmod(F.xxhash64("id"), F.col("js"))).withColumn("turn", F.pmod(F.xxhash64("id", F.lit(1)), F.col("is")))
+        upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+        answering = placed.withColumn("i", upto("is")).select("key", "i", F.col("own").alias("j"), (F.col("asks") & (F.col("i") == F.col("turn"))).alias("asks"), F.lit(True).alias("answers"), "id", "class")
+        asking = placed.where("asks and js > 1").withColumn("j", upto("js")).where("j <> own").select("key", F.col("turn").alias("i"), "j", F.lit(True).alias("asks"), F.lit(False).alias("answers"), "id", "class")
+        return answering.unionByName(asking)
+
+
+def _placed(cells: DataFrame, *columns: str) -> DataFrame:
+    return cells.select("key", "i", "j", "asks", "answers", "class", *columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _merge(scratch: Scratch, moved: DataFrame, links: DataFrame, tag: str, whole: bool = True) -> DataFrame:
+    """(id, class) after joining classes along links (class, other): ``whole``, until no link joins two classes, else once."""
+    step = 0
     while True:
-        up = forest.select(F.col("child").alias("parent"), F.col("parent").alias("above"))
-        nxt = forest.join(up, "parent", "left").select("child", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved"))
-        nxt = scratch.save(nxt, f"{tag}-{step + 1}")
-        moved = nxt.where("moved").limit(1).count()
-        scratch.drop(f"{tag}-{step}")
-        forest, step = nxt.select("child", "parent"), step + 1
-        if not moved:
-            return forest
-
-
-def _merge(scratch: Scratch, classes: DataFrame, links: DataFrame, tag: str) -> DataFrame:
-    """Classes (node, class) after joining along links (class, other), until no link joins two classes."""
+        ends = links.select(F.greatest("class", "other").alias("id"), F.least("class", "other").alias("class")).where("id <> class")
+        forest = _flatten(scratch, ends.groupBy("id").agg(F.min("class").alias("class")), f"{tag}-forest{step}")
+        # a class that moves is named after a node that was a class of its own
+        moved = scratch.save(_relabel(moved.select("id", F.col("class").alias("was")), forest, "was").select("id", "class").unionByName(forest), f"{tag}-classes{step}")
+        if not whole:
+            return moved
+        links = _relabel(links.select(F.col("class").alias("was"), "other"), forest, "was").select("other", F.col("class").alias("x"))
+        links = _relabel(links, forest, "other").select("class", F.col("x").alias("other")).where("class <> other").distinct()
+        links, step = scratch.save(links, f"{tag}-links{step}"), step + 1
+        if links.isEmpty():
+            return moved
+
+
+def _relabel(df: DataFrame, classes: DataFrame, column: str = "id") -> DataFrame:
+    """``df`` with the class of ``column``: its own value where ``classes`` has none."""
+    return df.join(classes.select(F.col("id").alias(column), "class"), column, "left").withColumn("class", F.coalesce("class", column))
+
+
+def _flatten(scratch: Scratch, forest: DataFrame, tag: str) -> DataFrame:
+    """Roots of a forest given as (id, class) with class < id, by pointer jumping, two jumps a step."""
     step = 0
     while True:
-        ends = links.select(F.greatest("class", "other").alias("child"), F.least("class", "other").alias("parent")).where("child <> parent")
-        forest = ends.groupBy("child").agg(F.min("parent").alias("parent"))
-        forest = _flatten(scratch, forest, f"{tag}-forest{step}")
-        classes = scratch.save(_relabel(classes, forest, "class"), f"{tag}-classes{step}")
-        links = scratch.save(_relabel(_relabel(links, forest, "class"), forest, "other").where("class <> other").distinct(), f"{tag}-links{step}")
-        step += 1
-        if not links.limit(1).count():
-            return classes
-
-
-def _relabel(df: DataFrame, forest: DataFrame, column: str) -> DataFrame:
-    f = forest.select(F.col("child").alias(column), F.col("parent").alias("_root"))
-    rest = [c for c in df.columns if c != column]
-    return df.join(f, column, "left").select(*rest, F.coalesce("_root", column).alias(column))
-
-
-def duplicate_classes(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (4, 5), rounds: int = 3) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest doc_id of its class), kept.
-
-    ``similarity`` is the fraction num/den two sets must reach; ``rounds``
-    bounds the leader rounds, not what is compared.
-    """
-    num, den = similarity
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near-duplicates")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = scratch.save(tx.map_texts(texts, lambda it: _sketch(it, width), _SKETCH), "sketch")
-
-    nodes = sketch.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max("bands").alias("bands"), *(F.max(s).alias(s) for s in SIGNATURE))
-    nodes = scratch.save(nodes, "nodes")
-    bands = nodes.select("node", F.explode("bands").alias("key"))
-    shared = bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    buckets = scratch.save(bands.join(shared, "key"), "buckets")
-    wanted = scratch.save(buckets.select("node").distinct().join(nodes.drop("bands"), "node"), "candidates")
-    # the sets of candidates, from one text of each node: a bit set of bounded size tells tasks
-    # which texts to read (false hits are dropped by the join on the node), so no text is shuffled
-    bits = min(MOST_BITS, max(1 << 16, 1 << (16 * wanted.count()).bit_length()))
-    chosen = _bit_set(wanted, bits)
-    placed = texts.select(F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("at"), "text")
-    sets = tx.map_texts(placed, lambda it: _sets(it, width, chosen), "node binary, shingles array<long>").where("node is not null")
-    sets = sets.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.max("shingles").alias("shingles"))
-    sets = scratch.save(sets, "sets")
-
-    classes = wanted.select("node", F.col("node").alias("class"))
-    signed = wanted.drop("doc_id")
-    for step in range(rounds):
-        members = scratch.save(_open_buckets(buckets, classes), f"members{step}")
-        lead = members.groupBy("key").agg(F.min(F.struct("class", F.xxhash64("node", F.lit(step)).alias("h"), "node")).alias("lead"))
-        pairs = members.join(lead, "key").where(F.col("class") > F.col("lead.class")).select(F.col("node").alias("a"), F.col("class"), F.col("lead.node").alias("b"), F.col("lead.class").alias("other")).distinct()
-        pairs = _estimated(pairs, signed, num, den)
-        links = scratch.save(_confirmed(pairs, sets, num, den).groupBy("class").agg(F.min("other").alias("other")), f"links{step}")
-        if not links.limit(1).count():
-            break
-        forest = _flatten(scratch, links.select(F.col("class").alias("child"), F.col("other").alias("parent")), f"forest{step}")
-        classes = scratch.save(_relabel(classes, forest, "class"), f"classes{step}")
-        scratch.drop(f"members{step}")
-        scratch.release()
-
-    rest = _possible(scratch, _open_buckets(buckets, classes), wanted.select("node", "n"), sets, num, den)
-    links = scratch.save(_compared(rest, sets, num, den), "links")
-    scratch.release()
-    if links.limit(1).count():
-        classes = _merge(scratch, classes, links, "merge")
-
-    label = nodes.select("node", "doc_id").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    smallest = label.groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    label = scratch.save(label.join(smallest, "class").select("node", "component_id"), "labels")
-    for name in ("buckets", "sets"):
-        scratch.drop(name)
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = sketch.select("doc_id", "node", "n_shingles").join(label, "node", "left").select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull() & F.col("component_id").isNull()))
-
-
-def _open_buckets(buckets: DataFrame, classes: DataFrame) -> DataFrame:
-    """(key, node, class) of the buckets that still hold more than one class."""
-    members = buckets.join(classes, "node")
-    still = members.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
-    return members.join(still, "key").select("key", "node", "class")
-
-
-def _estimated(pairs: DataFrame, signed: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, class, b, other) whose sizes and estimated similarity allow a link."""
-    joined = pairs.join(signed.alias("x"), F.col("a") == F.col("x.node")).join(signed.alias("y"), (F.col("b") == F.col("y.node")) & _sizes_pass(F.col("x.n"), F.col("y.n"), num, den) & _estimate_passes("x", "y", num / den))
-    return joined.select("a", "class", "b", "other")
-
-
-def _possible(scratch: Scratch, members: DataFrame, numbers: DataFrame, sets: DataFrame, num: int, den: int, passes: int = 3) -> DataFrame:
-    """(key, node, class) without members that cannot have a link inside their buckets.
-
-    A link between sets of sizes m and n needs num (m + n) / (num + den) common
-    shingles.  Where the number of a member's shingles that any other member has
-    is too small for the smallest size that the member's
-    buckets hold and its own size allows, the member is left out.  What is left
-    is counted again.
-    """
-    for step in range(passes):
-        members = scratch.save(members.select("key", "node", "class").join(numbers, "node"), f"open{step}")
-        least = members.groupBy("key").agg(F.min("n").alias("least"))
-        need = members.join(least, "key").groupBy("node").agg(F.first("n").alias("n"), F.min("least").alias("least"))
-        size = F.greatest(F.col("least"), F.ceil(F.col("n") * num / den))
-        need = scratch.save(need.select("node", F.ceil((F.col("n") + size) * num / (num + den) - 1e-9).alias("need")), f"need{step}")
-        own = sets.join(need, "node").select("node", "need", F.explode("shingles").alias("shingle"))
-        shared = own.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").select("shingle")
-        able = own.join(shared, "shingle").groupBy("node").agg(F.count("*").alias("common"), F.first("need").alias("need")).where("common >= need").select("node")
-        able = scratch.save(members.join(able, "node"), f"able{step}")
-        still = able.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
-        before, members = members.count(), scratch.save(able.join(still, "key").select("key", "node", "class"), f"left{step}")
-        scratch.release()
-        if members.count() > 0.9 * before:
-            break
-    return members
-
-
-def _compared(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (class, other) among the members of each bucket, on full sets.
-
-    A bucket of more than CELL members is cut into blocks; a task compares the
-    members of two blocks and returns only links that join classes.
-    """
-    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / CELL).alias("blocks"))
-    dealt = members.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cells = dealt.select("key", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "node", "class")
-    cells = cells.join(sets, "node").select("key", "lo", "hi", "class", "shingles").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return cells.mapInArrow(lambda it: _cells(it, num, den), "class binary, other binary").distinct()
+        up, upper = (forest.select(F.col("id").alias(c), F.col("class").alias(above)) for c, above in (("class", "above"), ("above", "top")))
+        nxt = forest.join(up, "class", "left").join(upper, "above", "left").select("id", F.coalesce("top", "above", "class").alias("class"), F.col("top").isNotNull().alias("far"))
+        nxt = scratch.save(nxt, f"{tag}-{step}")
+        scratch.drop(f"{tag}-{step - 1}")
+        forest, step = nxt.select("id", "class"), step + 1
+        if nxt.where("far").isEmpty():
+            return forest
 
 
-def _cells(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    cell, classes, members = None, [], []
-    found: list[tuple[bytes, bytes]] = []
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of one (key, i, j) at a time, of batches sorted by them."""
+    cell, waiting = None, []
     for batch in batches:
-        keys = np.stack([np.asarray(batch.column(i)) for i in range(3)], axis=1)
-        cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]]) if len(keys) else [0]
-        offsets, values = np.asarray(batch.column(4).offsets), np.asarray(batch.column(4).values)
-        names = batch.column(3).to_pylist()
+        keys = np.stack([np.asarray(batch.column(c)) for c in range(3)], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)] if len(keys) else [0]
         for lo, hi in zip(cuts[:-1], cuts[1:]):
             if cell != tuple(keys[lo]):
-                found += _linked(classes, members, num, den)
-                cell, classes, members = tuple(keys[lo]), [], []
-            classes += names[lo:hi]
-            members += [values[offsets[i] : offsets[i + 1]].copy() for i in range(lo, hi)]
-    found += _linked(classes, members, num, den)
-    yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], names=["class", "other"])
-
-
-def _linked(classes: list[bytes], members: list[np.ndarray], num: int, den: int) -> list[tuple[bytes, bytes]]:
-    """A spanning set of links between the classes of a cell."""
-    names = sorted(set(classes))
-    if len(names) < 2:
-        return []
-    at = np.array([names.index(c) for c in classes]) if len(names) < 9 else np.searchsorted(np.array(names, object), np.array(classes, object))
-    sizes = np.array([len(m) for m in members])
+                if waiting:
+                    yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0] if len(waiting) > 1 else waiting[0]
+                cell, waiting = tuple(keys[lo]), []
+            waiting.append(batch.slice(lo, hi - lo))
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0] if len(waiting) > 1 else waiting[0]
+
+
+def _flags(cell: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return cell.column(3).to_numpy(zero_copy_only=False), cell.column(4).to_numpy(zero_copy_only=False)
+
+
+def passing(ids, classes, asks, answers, sizes, signatures, num: int, den: int) -> np.ndarray:
+    """A spanning set of the pairs of ids, of two classes, whose sizes and estimates allow a link."""
+    most, answering = most_unequal(num / den), np.flatnonzero(answers)
+    root, found = np.arange(len(ids)), []
+    for lo in range(0, len(asking := np.flatnonzero(asks)), 64):
+        part = asking[lo : lo + 64]
+        x = signatures[part][:, None, :] ^ signatures[answering][None, :, :]
+        x |= x >> np.uint64(2)
+        x |= x >> np.uint64(1)
+        unequal = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=2)
+        m, n = sizes[part][:, None], sizes[answering][None, :]
+        near = (unequal <= most) & (classes[part][:, None] != classes[answering][None, :]) & (np.minimum(m, n) * den >= np.maximum(m, n) * num)
+        for i in np.flatnonzero(near.any(axis=1)):
+            partners, own = answering[near[i]], part[i]
+            for c, first in zip(*np.unique(root[partners], return_index=True)):
+                if c != root[own]:
+                    found.append((ids[own], ids[partners[first]]))
+                    root[root == c] = root[own]
+    return np.array(found, np.int64).reshape(-1, 2)
+
+
+def _passing_cells(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    found: list[np.ndarray] = []
+    for cell in _by_cell(batches):
+        classes, ids, sizes = (np.asarray(cell.column(c)) for c in (5, 6, 7))
+        signatures = np.stack([np.asarray(cell.column(8 + s)) for s in range(WORDS)], axis=1).view(np.uint64)
+        found.append(passing(ids, classes, *_flags(cell), sizes, signatures, num, den))
+        if len(found) >= 4096:
+            yield _pairs(found)
+            found = []
+    yield _pairs(found)
+
+
+def _linked_cells(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    found: list[np.ndarray] = []
+    for cell in _by_cell(batches):
+        sets = cell.column(6)
+        offsets = np.asarray(sets.offsets)
+        found.append(linked(np.asarray(cell.column(5)), *_flags(cell), np.asarray(sets.values)[offsets[0] : offsets[-1]], np.diff(offsets), num, den))
+    yield _pairs(found)
+
+
+def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+    pairs = np.concatenate([np.zeros((0, 2), np.int64), *found])
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], names=["class", "other"])
+
+
+def linked(classes: np.ndarray, asks: np.ndarray, answers: np.ndarray, values: np.ndarray, sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """A spanning set of links (class, other) found between members that ask and members that answer."""
+    names, at = np.unique(classes, return_inverse=True)
     starts = np.cumsum(sizes) - sizes
-    vocabulary, flat = np.unique(np.concatenate(members), return_inverse=True)
+    vocabulary, flat = np.unique(values, return_inverse=True)
     mark = np.zeros(len(vocabulary), np.int32)
     root, found = np.arange(len(names)), []
-    # the members of one largest class are met by all others, and need no turn of their own
-    for i in np.flatnonzero(at != np.bincount(at).argmax()):
+    for i in np.flatnonzero(asks):
+        if (root[at[answers]] == root[at[i]]).all():
+            continue
         own = flat[starts[i] : starts[i] + sizes[i]]
         mark[own] = 1
         both = np.add.reduceat(mark[flat], starts)
         mark[own] = 0
-        near = both * den >= (sizes + sizes[i] - both) * num
+        near = answers & (both * den >= (sizes + sizes[i] - both) * num)
         for c in np.unique(root[at[near]]):
             if c != root[at[i]]:
                 found.append((names[c], names[root[at[i]]]))
                 root[root == c] = root[at[i]]
+    return np.array(found, np.int64).reshape(-1, 2)
+
+
+def duplicate_classes(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (4, 5), rounds: int = 3) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (smallest doc_id of its class), kept.
+
+    ``similarity`` is the fraction num/den two sets must reach; ``rounds``
+    bounds the leader rounds, not what is compared.
+    """
+    rows = _Finder(docs, width, similarity, rounds).rows()
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def distinct_documents(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (4, 5), rounds: int = 3) -> DataFrame:
+    """``docs`` with one row of each class: of its smallest doc_id (null where it has no other), the text of least hash.
+
+    Rows without shingles all stay.  Only rows that can be dropped are
+    shuffled; all others pass a bit table.  Column names of the input are free.
+    """
+    scratch = Scratch(docs.sparkSession, "distinct")
+    rows = _Finder(docs, width, similarity, rounds).rows().where("class is not null")
+    rows = scratch.save(rows.select("doc_id", "digest", "class", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("head")), "rows")
+    # where several rows have their class's smallest doc_id, one text of them stays
+    ties = rows.where("head").groupBy("class").agg(F.count("*").alias("c"), F.min("digest").alias("least")).where("c > 1").select("class", "least")
+    ties = scratch.save(ties, "ties")
+    tied = rows.where("head").join(ties, "class")
+    out = rows.where("not head").select("doc_id", "digest").unionByName(tied.where("digest <> least").select("doc_id", "digest"))
+    out = scratch.save(out, "out")
+    doubtful = scratch.save(out.unionByName(tied.where("digest = least").select("doc_id", "digest")), "doubtful")
+    table = BitTable(scratch, "bits", doubtful)
+    names = iter(_free(docs, "_doc", "_digest", "_hit"))
+    doc, digest, hit = next(names), next(names), next(names)
+    text = F.col("text").cast("string")
+    keyed = docs.withColumn(doc, F.col("doc_id").cast("long")).withColumn(digest, F.xxhash64(text))
+    worded = F.coalesce(F.length(F.trim(text, F.lit(" \t\n\x0b\x0c\r"))) > 0, F.lit(False))
+    marked = table.mark(keyed, [doc, digest], hit).withColumn(hit, F.col(hit) & worded)
+    gone = out.select(F.col("doc_id").alias("_d"), F.col("digest").alias("_g"))
+    left = marked.where(F.col(hit)).join(gone, F.col(doc).eqNullSafe(F.col("_d")) & (F.col(digest) == F.col("_g")), "left_anti").dropDuplicates([doc, digest])
+    return marked.where(~F.col(hit)).unionByName(left).select(*docs.columns)
+
+
+def _free(docs: DataFrame, *names: str) -> list[str]:
+    taken, found = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        found.append(name)
     return found
 
 

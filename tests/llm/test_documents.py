@@ -163,14 +163,49 @@ def test_near_duplicates_of_a_large_group(spark):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_classes(rows, 3, 85, 100)
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+def test_cells_alone_and_small_cells_find_every_link(spark, monkeypatch, rounds):
+    monkeypatch.setattr(near_duplicates, "CELL", 5)
+    monkeypatch.setattr(near_duplicates, "LOAD", 400)
+    rng = random.Random(rounds)
+    rows = []
+    for family in range(4):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        for i in range(20):
+            words = list(base)
+            for _ in range(rng.randrange(5)):
+                words[rng.randrange(60)] = f"v{rng.randrange(10**6)}"
+            rows.append((100 * family + i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_duplicates.duplicate_classes(df, 3, (85, 100), rounds=rounds).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_classes(rows, 3, 85, 100)
+
+
 def test_a_link_between_two_equally_large_classes_is_found():
     sets = [np.arange(0, 20), np.arange(100, 120), np.arange(200, 220), np.arange(200, 220)]
-    assert near_duplicates._linked([b"a", b"b", b"a", b"b"], sets, 85, 100) in ([(b"a", b"b")], [(b"b", b"a")])
-    assert near_duplicates._linked([b"a", b"b", b"a", b"b"], sets[:3] + [np.arange(300, 320)], 85, 100) == []
+    run = lambda s: near_duplicates.linked(np.array([1, 2, 1, 2]), np.array([False, True, False, True]), np.ones(4, bool), np.concatenate(s), np.array([len(x) for x in s]), 85, 100).tolist()
+    assert run(sets) in ([[1, 2]], [[2, 1]])
+    assert run(sets[:3] + [np.arange(300, 320)]) == []
+
+
+def test_one_row_of_each_class_stays(spark):
+    shared = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, shared), (3, shared), (3, "quite another text than this one here"), (7, "alpha beta gamma delta epsilon zeta"), (7, "alpha beta gamma delta epsilon zeta"), (None, shared), (None, "only null ids have this text here"), (None, "only null ids have this text here"), (9, ""), (9, ""), (10, None), (11, " \t")]
+    df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, `_kept` int, _Doc string").repartition(3)
+    out = near_duplicates.distinct_documents(df)
+    assert out.columns == df.columns
+    want = [(1, shared), (3, rows[2][1]), (7, rows[3][1]), (None, rows[6][1]), (9, ""), (9, ""), (10, None), (11, " \t")]
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter(want)
+    # several texts of one id and class: one of them stays
+    near = shared + " extra"
+    again = spark.createDataFrame([(1, shared), (1, near), (1, near), (2, shared)], "doc_id long, text string")
+    kept = near_duplicates.distinct_documents(again).collect()
+    assert len(kept) == 1 and kept[0]["doc_id"] == 1
 
 
 def test_near_duplicates_of_nothing(none):
     assert near_duplicates.duplicate_classes(none).count() == 0
+    assert near_duplicates.distinct_documents(none).count() == 0
 
 
 def test_signature_estimates_similarity():
