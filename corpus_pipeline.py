@@ -40,15 +40,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near duplicates (five-word shingles, similarity 0.8)."""
-    classes = Scratch(spark, "dedup").save(near_duplicates.duplicate_classes(docs, 5, (4, 5)), "classes")
-    kept = classes.where("kept").select(F.col("doc_id").alias("_kept"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept"))
-    out = docs.join(kept.distinct(), same, "left_semi")
-    again = kept.groupBy("_kept").agg(F.count("*").alias("c")).where("c > 1").select("_kept")
-    if again.limit(1).count():  # rows that repeat a doc_id: equal ones are copies of each other
-        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
-    return out
+    """Keeps one document of each class of near duplicates (five-word shingles, similarity 0.8).
+
+    The row of the class's smallest doc_id stays (null where it has no other);
+    of several texts or repeated rows under that id, one.  Documents without a
+    word are no copies of anything and all stay.  Texts of any length are
+    compared whole.  An empty table gives no rows.
+    """
+    return near_duplicates.distinct_documents(docs, 5, (4, 5))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
