@@ -73,6 +73,84 @@ def test_rollup_is_idempotent_and_additive(spark, tmp_path):
     assert as_set() == want and not r.apply("b", token_counts.inserts(rows)) and as_set() == want
 
 
+def one_row(spark, n=1):
+    return token_counts.inserts(spark.createDataFrame([("s", "en", "v", n)], "source string, lang string, tokenizer string, tokens long"))
+
+
+def test_rollup_of_many_long_ids(spark, tmp_path, monkeypatch):
+    r = token_counts.TokenRollup(spark, str(tmp_path / "rollup"))
+    written = r._write(one_row(spark))
+    monkeypatch.setattr(r, "_write", lambda delta: written)  # the same folder again: only publishing is tested at length
+    ids = [f"2026-01-01T00:00:00/{'x' * 60}/{i}" for i in range(60)]
+    for i in ids[:-1]:
+        assert r.apply(i, one_row(spark))
+    assert all(map(r._latest()[1]["batches"].__contains__, ids[:-1])) and not r.committed(ids[-1])
+    monkeypatch.undo()
+    before = len(r._latest()[1]["parts"])
+    assert before == 59 and r.apply(ids[-1], one_row(spark, 5))
+    r.compact()
+    r.vacuum()
+    assert len(r._latest()[1]["parts"]) == 1 and len(r._names("versions")) == 1
+    assert [tuple(x) for x in r.totals().collect()] and not r.apply(ids[3], one_row(spark)) and not r.apply(ids[-1], one_row(spark))
+
+
+def test_rollup_survives_a_crash_between_any_two_steps(spark, tmp_path, monkeypatch):
+    r = token_counts.TokenRollup(spark, str(tmp_path / "rollup"))
+    totals = lambda: [tuple(x)[3:] for x in r.totals().collect()]
+    r.apply("a", one_row(spark, 1))
+    r.apply("b", one_row(spark, 2))
+
+    class Crash(Exception):
+        pass
+
+    def crash(*_):
+        raise Crash
+
+    publish = type(r)._publish
+    for run, name, after, done in [(lambda: r.apply("c", one_row(spark, 4)), "_write", False, False), (lambda: r.apply("c", one_row(spark, 4)), "_publish", False, False), (r.compact, "_write", False, False), (r.compact, "_publish", False, False), (lambda: r.apply("c", one_row(spark, 4)), "_publish", True, True), (r.compact, "_publish", True, True)]:
+        with monkeypatch.context() as m:
+            m.setattr(r, name, (lambda *a: (publish(r, *a), crash())) if after else crash)
+            with pytest.raises(Crash):
+                run()
+        assert totals() == ([(3, 7)] if done else [(2, 3)])
+    assert not r.apply("c", one_row(spark, 4)) and len(r._latest()[1]["parts"]) == 1
+    r.vacuum()
+    assert totals() == [(3, 7)]
+
+
+def test_two_writers_commit_each_batch_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "rollup")
+    writers = [token_counts.TokenRollup(spark, path) for _ in range(2)]
+    with ThreadPoolExecutor(4) as pool:
+        applied = list(pool.map(lambda i: writers[i % 2].apply(f"b{i // 2}", one_row(spark, 1)), range(12)))
+    assert sum(applied) == 6
+    assert [tuple(x)[3:] for x in writers[0].totals().collect()] == [(6, 6)]
+
+
+def test_counts_of_a_public_tokenizer(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [None, "", "It's 12 o'clock", "x" * 5000, "a b  c"]
+    df = spark.createDataFrame([(i, t, "s", None, 1) for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string, tokens int")
+    got = {r["doc_id"]: r["tokens"] for r in token_counts.tokenizer_counts(df, path, "bpe").collect()}
+    coder = Tokenizer.from_file(path)
+    assert got == {i: len(coder.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    empty = token_counts.tokenizer_counts(df.where("false"), path, "bpe")
+    assert empty.count() == 0 and empty.columns == ["doc_id", "source", "lang", "tokenizer", "tokens"]
+
+
+def test_document_counts_of_odd_rows(spark):
+    rows = [(1, "a b1", "s", "en", 7), (1, "a b1", "s", "en", 7), (None, None, None, None, 7), (2, "", "s", None, 7), (3, "w " * 100_000, "t", "en", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, words int")
+    got = sorted((tuple(r) for r in token_counts.document_counts(df).collect()), key=str)
+    assert got == sorted([(1, "s", "en", 2, 2), (1, "s", "en", 2, 2), (None, None, None, 0, 0), (2, "s", None, 0, 0), (3, "t", "en", 100_000, 100_000)], key=str)
+    assert token_counts.document_counts(df.where("false")).count() == 0
+
+
 # ------------------------------------------------------------ WARC
 
 
