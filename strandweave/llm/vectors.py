@@ -1,20 +1,24 @@
-"""Blocks of vectors, and the two searches over them (operators 7 and 9).
+"""Tables of vectors, and the two searches over them (operators 7 and 9).
 
-Both searches take a stated set of query rows against all rows.  Rows travel
-as blocks (ids and a matrix as bytes) of bounded size; every block of rows
-meets every block of queries exactly once, dealt out by (query block, slot),
-and yields at most ``k`` rows a query, so what is shuffled afterwards grows
-with queries times blocks, not with pairs.
+Both searches take a stated set of query rows against all rows.  Rows are
+stored once as blocks of bounded size: ids, vectors and what the method
+precomputes (distances to pivots; packed codes with their correction scalars).
+They are never shuffled.  The queries go out in chunks of bounded size, a chunk
+to all tasks; a task holds its rows' blocks against the chunk one after the
+other and keeps the ``k`` best rows of each query, so what is shuffled grows
+with queries times tasks, not with rows or pairs.
 
 Rows take no part where vec_id or the vector is null, or a component is null
 or not finite (for cosine: also where all components are 0).  Vectors of
 different lengths never meet.  Rows that repeat a vec_id are rows of their
-own; a query skips every row that has its own vec_id.
+own; a query skips every row that has its own vec_id.  Equal scores go to the
+smaller vec_id.  An empty table, or no query, gives no rows.  Other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +28,10 @@ from pyspark.sql import functions as F
 
 from strandweave.session import Scratch
 
-BLOCK, QUERY_BLOCK = 4096, 512
-_BLOCK = "dim int, block long, n int, ids binary, vectors binary"
+BLOCK, QUERY_BLOCK = 2048, 512
+#: Components of all queries that one broadcast holds (in expectation; blocks are dealt out by hash).
+CHUNK = 1 << 22
+_BLOCK = "dim int, block long, n int, ids binary, vectors binary, made array<binary>"
 
 
 def _usable(batch: pa.RecordBatch, nonzero: bool) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -52,20 +58,22 @@ def _usable(batch: pa.RecordBatch, nonzero: bool) -> dict[int, tuple[np.ndarray,
     return found
 
 
-def blocks(vectors: DataFrame, size: int, nonzero: bool, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(dim, block, n, ids, vectors): rows of one dimension, at most ``size`` a block, numbered uniquely."""
+def blocks(vectors: DataFrame, size: int, nonzero: bool, method=None, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """(dim, block, n, ids, vectors, made): rows of one dimension, at most ``size`` a block, numbered uniquely; ``made`` by the method."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, made = TaskContext.get().partitionId() << 32, 0
+        base, done = TaskContext.get().partitionId() << 32, 0
         waiting: dict[int, list] = {}
 
         def out(dim: int):
-            nonlocal made
+            nonlocal done
             ids, m = (np.concatenate(x) for x in zip(*waiting.pop(dim)))
             for lo in range(0, len(ids), size):
-                part = ids[lo : lo + size]
-                yield pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "block": [base + made], "n": pa.array([len(part)], pa.int32()), "ids": [part.tobytes()], "vectors": [m[lo : lo + size].tobytes()]})
-                made += 1
+                part, own = m[lo : lo + size], ids[lo : lo + size]
+                made = [x.tobytes() for x in method.table(part)] if method else []
+                columns = [pa.array([dim], pa.int32()), pa.array([base + done]), pa.array([len(own)], pa.int32()), pa.array([own.tobytes()]), pa.array([part.tobytes()]), pa.array([made], pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["dim", "block", "n", "ids", "vectors", "made"])
+                done += 1
 
         for batch in batches:
             for dim, rows in _usable(batch, nonzero).items():
@@ -84,42 +92,95 @@ def _matrix(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarra
     return keys, np.frombuffer(vectors, float).reshape(len(keys), dim)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, prepare: Callable, score: str, nonzero: bool) -> DataFrame:
+class Best:
+    """The k best rows of each query so far: higher scores first, ties to smaller keys."""
+
+    def __init__(self, queries: int, k: int, kind):
+        self.k, self.count = k, np.zeros(queries, np.int64)
+        self.scores, self.keys = np.zeros((queries, k), kind), np.zeros((queries, k), np.int64)
+
+    def least(self, i: int):
+        """What a row must reach to count (None: anything)."""
+        return self.scores[i, -1] if self.count[i] == self.k else None
+
+    def add(self, i: int, scores: np.ndarray, keys: np.ndarray) -> None:
+        n = self.count[i]
+        scores, keys = np.concatenate([self.scores[i, :n], scores.astype(self.scores.dtype)]), np.concatenate([self.keys[i, :n], keys])
+        order = np.lexsort((keys, -scores))[: self.k]
+        self.count[i] = len(order)
+        self.scores[i, : len(order)], self.keys[i, : len(order)] = scores[order], keys[order]
+
+
+def _in_order(bound: np.ndarray, allowed: np.ndarray, step: int, best: Best, i: int, score, keys: np.ndarray) -> int:
+    """Scores rows in the order of their bounds until no bound reaches the k-th best; how many were scored."""
+    rows, done = np.flatnonzero(allowed), 0
+    least = best.least(i)
+    if least is not None:
+        rows = rows[bound[rows] >= least]
+    if len(rows) > step:  # the most promising first: they raise the bar for the rest
+        first = rows[np.argpartition(-bound[rows], step)[:step]]
+        best.add(i, score(first), keys[first])
+        done, least = step, best.least(i)
+        rest = np.setdiff1d(rows, first, assume_unique=True)
+        rows = rest[bound[rest] >= least] if least is not None else rest
+        rows = rows[np.argsort(-bound[rows], kind="stable")]
+    for lo in range(0, len(rows), step):
+        least = best.least(i)
+        if least is not None and bound[rows[lo]] < least and done:
+            break
+        part = rows[lo : lo + step]
+        best.add(i, score(part), keys[part])
+        done += len(part)
+    return done
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int, method, score: str, nonzero: bool) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of each query row.
 
-    ``prepare(dim)`` gives a function (query matrix, row matrix, query ids, row
-    ids) -> iterator over queries of (row positions, scores), the best k of the
-    block or more, none of them a row with the query's own id.
+    ``method.table(rows)`` gives the arrays stored beside a block,
+    ``method.asked(queries)`` what is made once of a block of queries, and
+    ``method.meet(asked, queries, q_keys, rows, keys, made, best)`` adds the
+    rows of a block to the best of each query.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "search")
-    rows = scratch.save(blocks(vectors, BLOCK, nonzero), "rows")
+    rows = scratch.save(blocks(vectors, BLOCK, nonzero, method), "rows")
     asked = scratch.save(blocks(queries, QUERY_BLOCK, nonzero), "queries")
-    # each query block goes to every slot, each block of rows to one slot of every query block of its dimension
-    slots = max(1, spark.sparkContext.defaultParallelism * 4)
-    per_dim = asked.groupBy("dim").agg(F.collect_list("block").alias("q_blocks"))
-    left = rows.withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots))).join(per_dim, "dim").withColumn("q_block", F.explode("q_blocks")).drop("q_blocks")
-    right = asked.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    right = right.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)).cast("array<long>")))
-    pairs = left.join(right, ["q_block", "slot"]).select("dim", "ids", "vectors", "q_block", "q_ids", "q_vectors")
-
+    chunks = int(-(-(asked.agg(F.sum(F.col("n") * F.col("dim"))).first()[0] or 0) // CHUNK))
+    kinds = f"q_row long, query_id long, vec_id long, score {score}"
+    best, paths = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id"), []
+    for chunk in range(chunks):
+        mine = asked.where(F.pmod(F.xxhash64("block"), F.lit(chunks)) == chunk).select("dim", "block", "ids", "vectors").toArrow().to_pylist()
+        sent = spark.sparkContext.broadcast([(r["dim"], r["block"], r["ids"], r["vectors"]) for r in mine])
+        found = rows.mapInArrow(_meeting(sent, method, k, score), kinds)
+        ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        scratch.save(ranked, f"best{chunk}")
+        paths.append(f"{scratch.root}/best{chunk}")
+        sent.destroy()
+    if not paths:
+        return spark.createDataFrame([], f"query_id long, rank int, vec_id long, score {score}")
+    return spark.read.schema(f"query_id long, rank int, vec_id long, score {score}").parquet(*paths)
+
+
+def _meeting(sent, method, k: int, score: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = []
+        for dim, block, ids, vectors in sent.value:
+            q_keys, q = _matrix(ids, vectors, dim)
+            asked.append((dim, block, q_keys, q, method.asked(q), Best(len(q_keys), k, np.int64 if score == "long" else float)))
         for batch in batches:
             for i in range(batch.num_rows):
-                dim, ids, rows_of, q_block, q_ids, queries_of = (batch.column(c)[i].as_py() for c in range(6))
-                keys, m = _matrix(ids, rows_of, dim)
-                q_keys, q = _matrix(q_ids, queries_of, dim)
-                out: list[list] = [[], [], [], []]
-                for at, (positions, scores) in enumerate(prepare(dim)(q, m, q_keys, keys)):
-                    best = np.lexsort((keys[positions], -scores))[:k]
-                    for column, values in zip(out, (np.full(len(best), (q_block << 12) + at), np.full(len(best), q_keys[at]), keys[positions[best]], scores[best])):
-                        column.append(values)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["q_row", "query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(run, f"q_row long, query_id long, vec_id long, score {score}")
-    best = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                dim, ids, vectors, made = (batch.column(c)[i].as_py() for c in (0, 3, 4, 5))
+                keys, m = _matrix(ids, vectors, dim)
+                for q_dim, _, q_keys, q, ready, best in asked:
+                    if q_dim == dim:
+                        method.meet(ready, q, q_keys, m, keys, made, best)
+        for _, block, q_keys, _, _, best in asked:
+            at, place = np.nonzero(np.arange(k)[None, :] < best.count[:, None])
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array((block << 12) + at), pa.array(q_keys[at]), pa.array(best.keys[at, place]), pa.array(best.scores[at, place])], names=["q_row", "query_id", "vec_id", "score"])
+
+    return run
 
 
 def query_rows(vectors: DataFrame, every: int, id_column: str = "vec_id") -> DataFrame:
@@ -140,61 +201,69 @@ class Pivots:
 
     With d(a, b) the Euclidean distance, a.b = (|a|^2 + |b|^2 - d^2) / 2, and
     d(a, b) >= |d(a, p) - d(b, p)| for every pivot p; the largest of these
-    lower bounds over the table of pivot distances gives an upper bound on the
-    score.  Rows are evaluated in the order of that bound, some hundred at a
-    time, until the k-th best score is above the next bound.
+    lower bounds over the stored table of pivot distances gives an upper bound
+    on the score.  Rows are evaluated in the order of that bound until the k-th
+    best score is above the next bound.
     """
 
-    def __init__(self, k: int, pivots: int = 48, step: int = 256, seed: int = 7):
-        self.k, self.pivots, self.step, self.seed = k, pivots, step, seed
-
-    def table(self, dim: int) -> np.ndarray:
-        """Pivot points: random directions at a few radii, the same for every block."""
-        rng = np.random.default_rng(self.seed)
-        points = rng.standard_normal((self.pivots, dim))
-        return points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12)
-
-    def __call__(self, dim: int) -> Callable:
-        directions = self.table(dim)
-
-        def run(queries: np.ndarray, rows: np.ndarray, q_keys: np.ndarray, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            q, m = quantised(queries), quantised(rows)
-            exact = max(np.abs(q).max(initial=0), 1) * max(np.abs(m).max(initial=0), 1) * max(dim, 1) < 2.0**53
-            if not exact:
-                q, m = q.astype(np.int64), m.astype(np.int64)
-            own = (m.astype(float) ** 2).sum(axis=1)
-            # some pivots are rows of the block itself: they are near to what is near to them
-            inner = m[np.linspace(0, len(m) - 1, min(len(m), self.pivots)).astype(int)].astype(float)
-            scale = np.sqrt(own.mean()) if len(own) else 1.0
-            points = np.concatenate([directions * scale, inner])
-            far = lambda a: np.sqrt(np.maximum((a**2).sum(axis=1)[:, None] + (points**2).sum(axis=1)[None, :] - 2 * a @ points.T, 0))
-            to_rows, to_queries = far(m.astype(float)), far(q.astype(float))
-            for i in range(len(q)):
-                low = np.abs(to_rows - to_queries[i]).max(axis=1)
-                norm = float((q[i].astype(float) ** 2).sum())
-                # rounding of the distances is allowed for
-                bound = (norm + own - low**2) / 2 + 1e-9 * (norm + own) + 0.5
-                order = np.argsort(-bound, kind="stable")
-                order = order[keys[order] != q_keys[i]]
-                positions, scores, least = np.zeros(0, np.int64), np.zeros(0, m.dtype), -np.inf
-                for lo in range(0, len(order), self.step):
-                    if len(scores) >= self.k and bound[order[lo]] < least:
-                        break
-                    part = order[lo : lo + self.step]
-                    positions = np.concatenate([positions, part])
-                    scores = np.concatenate([scores, m[part] @ q[i]])
-                    if len(scores) >= self.k:
-                        least = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
-                        keep = scores >= least
-                        positions, scores = positions[keep], scores[keep]
-                yield positions, scores.astype(np.int64)
-
-        return run
-
-
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, rank, vec_id, score): highest integer inner products of quantised vectors, ties to the smaller vec_id."""
-    return search(vectors, queries, k, Pivots(k), "long", nonzero=False)
+    #: Rounding of stored distances (24 bits) in squared distances, as a share of the squared norms.
+    ROUNDING = 4e-6
+
+    def __init__(self, k: int, points: dict[int, np.ndarray], step: int = 256):
+        self.k, self.points, self.step = k, points, step
+
+    @staticmethod
+    def far_points(sample: dict[int, np.ndarray], pivots: int = 64) -> dict[int, np.ndarray]:
+        """Pivots of each dimension: the origin, then sample points each as far as can be from those before it."""
+        found = {}
+        for dim, m in sample.items():
+            m = quantised(m)
+            points, apart = [np.zeros(dim)], (m**2).sum(axis=1)
+            while len(points) < pivots and apart.max(initial=0) > 0:
+                points.append(m[apart.argmax()])
+                apart = np.minimum(apart, ((m - points[-1]) ** 2).sum(axis=1))
+            found[dim] = np.array(points)
+        return found
+
+    def _far(self, m: np.ndarray) -> np.ndarray:
+        points = self.points.get(m.shape[1], np.zeros((1, m.shape[1])))
+        squares = (m**2).sum(axis=1)[:, None] + (points**2).sum(axis=1)[None, :] - 2 * m @ points.T
+        return np.sqrt(np.maximum(squares, 0)).astype(np.float32)
+
+    def table(self, rows: np.ndarray) -> list[np.ndarray]:
+        return [self._far(quantised(rows))]
+
+    def asked(self, queries: np.ndarray) -> np.ndarray:
+        return self._far(quantised(queries))
+
+    def meet(self, asked: np.ndarray, queries: np.ndarray, q_keys: np.ndarray, rows: np.ndarray, keys: np.ndarray, made: list[bytes], best: Best) -> int:
+        q, m = quantised(queries), quantised(rows)
+        norms, q_norms = (m**2).sum(axis=1), (q**2).sum(axis=1)
+        table = np.ascontiguousarray(np.frombuffer(made[0], np.float32).reshape(len(m), -1).T)
+        if max(np.abs(q).max(initial=0), 1) * max(np.abs(m).max(initial=0), 1) * max(m.shape[1], 1) >= 2.0**53:
+            q, m = q.astype(np.int64), m.astype(np.int64)
+        scored, low, gap = 0, np.empty(len(m), np.float32), np.empty(len(m), np.float32)
+        for i in range(len(q)):
+            low[:] = 0
+            for to_pivot, distance in zip(table, asked[i]):
+                np.subtract(to_pivot, distance, out=gap)
+                np.maximum(low, np.abs(gap, out=gap), out=low)
+            both = norms + q_norms[i]
+            bound = (both * (1 + self.ROUNDING) - low.astype(float) ** 2) / 2 + 0.5
+            scored += _in_order(bound, keys != q_keys[i], self.step, best, i, lambda part: m[part] @ q[i], keys)  # noqa: B023
+        return scored
+
+
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = 64, sample: int = 2048) -> DataFrame:
+    """(query_id, rank, vec_id, score): highest integer inner products of quantised vectors, ties to the smaller vec_id.
+
+    Pivots are chosen from at most ``sample`` rows, those of least hash; the
+    result does not depend on them.
+    """
+    some = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("id is not null")
+    some = some.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow().combine_chunks().to_batches()
+    points = Pivots.far_points({dim: m for b in some for dim, (_, m) in _usable(b, False).items()}, pivots)
+    return search(vectors, queries, k, Pivots(k, points), "long", nonzero=False)
 
 
 def exact_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,57 +287,63 @@ class OneBit:
     """Approximate nearest neighbours by cosine with randomly rotated one-bit codes.
 
     A unit vector o is embedded in ``bits`` dimensions by a random rotation;
-    the code keeps the sign of each coordinate (bits packed eight to a byte)
-    and one correction scalar <x, o> with x the unit vector of the signs.  For
-    a rotated unit query q, <x, q> / <x, o> estimates <o, q>, within
-    ``width`` * sqrt((1 - <x, o>^2) / <x, o>^2 / (bits - 1)) with high
-    probability.  Rows are reranked with their exact cosine in the order of
-    the estimate's upper bound until no bound is above the k-th best.
+    the stored code is the sign of each coordinate (64 to a word), beside it
+    the correction scalar <x, o> with x the unit vector of the signs.  A
+    rotated unit query is rounded to ``levels`` bit planes, so <x, q> comes
+    from counts of common bits; <x, q> / <x, o> estimates <o, q>, within
+    ``width`` standard errors of the code, sqrt((1 - s^2) / s^2 / (bits - 1))
+    for s = <x, o>, and of the rounding, with high probability.  Rows are
+    reranked with their exact cosine in the order of the estimate's upper
+    bound until no bound reaches the k-th best.
     """
 
-    def __init__(self, k: int, bits: int = 256, width: float = 2.6, step: int = 256, seed: int = 9):
-        self.k, self.bits, self.width, self.step, self.seed = k, bits, width, step, seed
+    def __init__(self, k: int, bits: int = 256, width: float = 2.6, step: int = 256, seed: int = 9, levels: int = 4):
+        self.k, self.bits, self.width, self.step, self.seed, self.levels = k, bits, width, step, seed, levels
+        self._rotations: dict[int, np.ndarray] = {}
 
     def rotation(self, dim: int) -> np.ndarray:
-        size = max(self.bits, 8 * -(-dim // 8))
-        full, _ = np.linalg.qr(np.random.default_rng(self.seed).standard_normal((size, size)))
-        return full[:, :dim]
-
-    def encode(self, unit: np.ndarray, rotation: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Packed codes and correction scalars of unit vectors."""
-        turned = unit @ rotation.T
-        return np.packbits(turned > 0, axis=1), np.abs(turned).sum(axis=1) / np.sqrt(turned.shape[1])
-
-    def __call__(self, dim: int) -> Callable:
-        rotation = self.rotation(dim)
-        size = len(rotation)
-
-        def run(queries: np.ndarray, rows: np.ndarray, q_keys: np.ndarray, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            q_norm, norm = np.linalg.norm(queries, axis=1), np.linalg.norm(rows, axis=1)
-            codes, scalar = self.encode(rows / norm[:, None], rotation)
-            turned = (queries / q_norm[:, None]) @ rotation.T
+        if dim not in self._rotations:
+            size = 64 * -(-max(self.bits, dim) // 64)
+            full, _ = np.linalg.qr(np.random.default_rng(self.seed).standard_normal((size, size)))
+            self._rotations[dim] = full[:, :dim]
+        return self._rotations[dim]
+
+    def __getstate__(self):
+        return {**self.__dict__, "_rotations": {}}
+
+    @staticmethod
+    def _words(bits: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(np.packbits(bits, axis=-1, bitorder="little")).view(np.uint64)
+
+    def table(self, rows: np.ndarray) -> list[np.ndarray]:
+        """Packed codes, correction scalars and norms."""
+        norms = np.linalg.norm(rows, axis=1)
+        turned = (rows / norms[:, None]) @ self.rotation(rows.shape[1]).T
+        return [self._words(turned > 0), np.abs(turned).sum(axis=1) / np.sqrt(turned.shape[1]), norms]
+
+    def asked(self, queries: np.ndarray) -> tuple:
+        norms = np.linalg.norm(queries, axis=1)
+        turned = (queries / norms[:, None]) @ self.rotation(queries.shape[1]).T
+        low = turned.min(axis=1, keepdims=True)
+        unit = np.maximum(turned.max(axis=1, keepdims=True) - low, 1e-300) / ((1 << self.levels) - 1)
+        rounded = np.rint((turned - low) / unit).astype(np.uint8)
+        planes = np.stack([self._words(rounded >> j & 1) for j in range(self.levels)], axis=1)
+        return norms, turned.sum(axis=1), low[:, 0], unit[:, 0], planes
+
+    def meet(self, asked: tuple, queries: np.ndarray, q_keys: np.ndarray, rows: np.ndarray, keys: np.ndarray, made: list[bytes], best: Best) -> int:
+        q_norms, sums, low, unit, planes = asked
+        codes = np.frombuffer(made[0], np.uint64).reshape(len(rows), -1)
+        scalar, norms = np.frombuffer(made[1]), np.frombuffer(made[2])
+        size, ones, scored = 64 * codes.shape[1], np.bitwise_count(codes).sum(axis=1, dtype=np.int64), 0
+        spread = np.maximum(1 - scalar**2, 0) / (size - 1)
+        for i in range(len(queries)):
+            common = sum(np.bitwise_count(codes & planes[i, j]).sum(axis=1, dtype=np.int64) << j for j in range(self.levels))
             # <x, q> = (2 * sum of q over set bits - sum of q) / sqrt(size)
-            bits = np.unpackbits(codes, axis=1).astype(np.float32)
-            against = (2 * (turned.astype(np.float32) @ bits.T) - turned.sum(axis=1)[:, None]) / np.sqrt(size)
-            error = self.width * np.sqrt(np.maximum(1 - scalar**2, 0) / (size - 1)) / scalar
-            for i in range(len(queries)):
-                upper = against[i] / scalar + error
-                order = np.argsort(-upper, kind="stable")
-                order = order[keys[order] != q_keys[i]]
-                positions, scores, least = np.zeros(0, np.int64), np.zeros(0), -np.inf
-                for lo in range(0, len(order), self.step):
-                    if len(scores) >= self.k and upper[order[lo]] < least:
-                        break
-                    part = order[lo : lo + self.step]
-                    exact = (rows[part] * queries[i]).sum(axis=1) / (norm[part] * q_norm[i])
-                    positions, scores = np.concatenate([positions, part]), np.concatenate([scores, exact])
-                    if len(scores) >= self.k:
-                        least = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
-                        keep = scores >= least
-                        positions, scores = positions[keep], scores[keep]
-                yield positions, scores
-
-        return run
+            against = (2 * (low[i] * ones + unit[i] * common) - sums[i]) / np.sqrt(size)
+            upper = (against + self.width * np.sqrt(spread + unit[i] ** 2 / 3)) / scalar
+            exact = lambda part: (rows[part] * queries[i]).sum(axis=1) / (norms[part] * q_norms[i])  # noqa: B023, E731
+            scored += _in_order(upper, keys != q_keys[i], self.step, best, i, exact, keys)
+        return scored
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, bits: int = 256, width: float = 2.6) -> DataFrame:

@@ -244,3 +244,42 @@ def test_rows_that_repeat_a_query_hide_no_neighbour(spark):
     near = sorted(tuple(r)[:3] for r in vectors.nearest(df, asked, 5).collect())
     want = brute(rows, 1000, 5, lambda a, b: float((a * b).sum() / (np.linalg.norm(a) * np.linalg.norm(b))), False)
     assert len(near) == 50 and near == [w[:3] for w in want]
+
+
+def test_queries_in_several_chunks(spark, monkeypatch, points):
+    df, rows = points
+    monkeypatch.setattr(vectors, "CHUNK", 40)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 2)
+    got = sorted(tuple(r) for r in vectors.exact_top_k(df, vectors.query_rows(df, 50), 5).collect())
+    assert got == brute(rows, 50, 5, lambda a, b: int((np.floor(256 * a) * np.floor(256 * b)).sum()), True)
+
+
+def test_shares_evaluated_and_recall_on_the_embeddings(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = {}
+    for r in vectors.nearest(table, vectors.query_rows(table, 50), 5).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    pdf = table.toPandas()
+    ids, m = pdf["vec_id"].to_numpy(), np.stack(pdf["embedding"]).astype(float)
+    unit, asking = m / np.linalg.norm(m, axis=1)[:, None], ids % 50 == 0
+    found = 0
+    for i in np.flatnonzero(asking):
+        cosines = np.where(ids == ids[i], -2, unit @ unit[i])
+        found += len(got[ids[i]] & set(ids[np.lexsort((ids, -cosines))[:5]]))
+    assert found >= 0.9 * 5 * asking.sum()
+    # codes leave few rows to be scored; of clustered rows, pivots leave few too
+    best = vectors.Best(int(asking.sum()), 5, float)
+    method = vectors.OneBit(5)
+    scored = method.meet(method.asked(m[asking]), m[asking], ids[asking], m, ids, [x.tobytes() for x in method.table(m)], best)
+    assert scored < 0.25 * asking.sum() * len(m)
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((40, 32))
+    near = centres[rng.integers(0, 40, 4000)] + 0.02 * rng.standard_normal((4000, 32))
+    pivots = vectors.Pivots(5, vectors.Pivots.far_points({32: near[:1000]}), step=64)
+    best = vectors.Best(50, 5, np.int64)
+    scored = pivots.meet(pivots.asked(near[:50]), near[:50], np.arange(50), near, np.arange(4000), [x.tobytes() for x in pivots.table(near)], best)
+    assert scored < 0.3 * 50 * 4000
+    exact = vectors.quantised(near[:50]) @ vectors.quantised(near).T
+    for i in range(50):
+        exact[i, i] = -np.inf
+        assert best.keys[i].tolist() == np.lexsort((np.arange(4000), -exact[i]))[:5].tolist()
