@@ -203,12 +203,21 @@ def chord_crossings(walks: DataFrame, graph: str, symbol: str, pos: str) -> Data
     return a.join(b, graph).where(F.col("a") < F.col("b")).where(chords_cross("a1", "a2", "b1", "b2")).select(graph, "a", "b")
 
 
-def path_counts(arcs: DataFrame, source: str, levels: int) -> DataFrame:
-    """(node, paths): number of directed paths from ``source`` in a DAG of at most ``levels`` levels, parallel arcs distinct."""
-    front = arcs.sparkSession.createDataFrame([(source, 1)], "node string, n long")
-    found = front
-    for _ in range(levels):
-        front = front.join(arcs, front.node == arcs.u).groupBy(F.col("v").alias("node")).agg(F.sum(F.col("n") * F.col("m")).alias("n"))
+def path_counts(arcs: DataFrame, source: str) -> DataFrame:
+    """(node, paths): number of directed paths from ``source`` in a DAG, parallel arcs distinct.
+
+    Level by level until no path goes on; a path of more arcs than there are
+    tails has met a cycle, which is an error.
+    """
+    scratch = Scratch(arcs.sparkSession, "paths")
+    tails = arcs.select("u").distinct().count()
+    front = scratch.save(arcs.sparkSession.createDataFrame([(source, 1)], "node string, n long"), "0")
+    found, step = front, 0
+    while front.limit(1).count():
+        step += 1
+        if step > tails + 1:
+            raise ValueError("the arcs reachable from the source have a cycle")
+        front = scratch.save(front.join(arcs, front.node == arcs.u).groupBy(F.col("v").alias("node")).agg(F.sum(F.col("n") * F.col("m")).alias("n")), str(step))
         found = found.unionByName(front)
     return found.groupBy("node").agg(F.sum("n").alias("paths"))
 

@@ -273,7 +273,7 @@ def closures(words: DataFrame, k: int, moves: tuple = MOVES, rounds: int = 1000)
     """(seq_id, word, distance): everything that moves reach from each cyclic word, level by level.
 
     Each round expands only the newest words and leaves out what has been seen;
-    levels are written to the shared folder.
+    levels are written to the shared folder.  More than ``rounds`` levels are an error.
     """
     scratch = Scratch(words.sparkSession, "closures")
     kind = words.schema["seq_id"].dataType.simpleString()
@@ -292,6 +292,6 @@ def closures(words: DataFrame, k: int, moves: tuple = MOVES, rounds: int = 1000)
         reached = level.select("seq_id", "word").mapInPandas(expand, f"seq_id {kind}, word string").distinct()
         level = scratch.save(reached.join(seen, ["seq_id", "word"], "left_anti").withColumn("distance", F.lit(step)), str(step))
         if not level.limit(1).count():
-            break
+            return seen
         seen = seen.unionByName(level)
-    return seen
+    raise RuntimeError(f"closures: still growing after {rounds} rounds")

@@ -196,8 +196,67 @@ def inverted_repeats(seqs: DataFrame, k: int) -> DataFrame:
     return hit.groupBy("seq_id").agg(F.count("*").alias("words"), F.sum((F.col("kmer") == reverse_complement("kmer")).cast("long")).alias("palindromes"), F.min("pos").alias("first_pos"))
 
 
-def pooled_branch_words(seqs: DataFrame, k: int, pool: str = "pool") -> DataFrame:
-    """(pool, kmer, successors, predecessors) of words with two or more distinct neighbours on a side, over all sequences of a pool."""
+def _neighbour_masks(seqs: DataFrame, k: int, pool: str, alphabet: str) -> DataFrame:
+    """(pool, code, after, before): words as numbers, and bit masks of the letters beside them, combined inside each batch."""
+    bits, size = max((len(alphabet) - 1).bit_length(), 1), len(alphabet)
+    if k * bits > 62 or 2 * size > 62:
+        raise ValueError("word or alphabet too large for a 64-bit code")
+    letter = np.full(256, 255, np.uint8)
+    letter[np.frombuffer(alphabet.encode(), np.uint8)] = np.arange(size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict = {}
+        held, kind = 0, None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for key, parts in waiting.items():
+                codes, masks = (np.concatenate(x) for x in zip(*parts))
+                order = np.argsort(codes, kind="stable")
+                codes = codes[order]
+                first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+                both = np.bitwise_or.reduceat(masks[order], first)
+                own = pa.repeat(pa.scalar(key, kind), len(first))
+                yield pa.RecordBatch.from_arrays([own, pa.array(codes[first]), pa.array(both >> size), pa.array(both & ((1 << size) - 1))], names=[pool, "code", "after", "before"])
+            waiting.clear()
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for i in range(batch.num_rows):
+                s = (batch.column(1)[i].as_py() or "").encode()
+                n = len(s)
+                if n < k + 2:
+                    continue
+                c = letter[np.frombuffer(s + s[: k + 1], np.uint8)]
+                if (c == 255).any():
+                    raise ValueError(f"a sequence has letters outside {alphabet}")
+                code = np.zeros(n, np.int64)
+                for j in range(1, k + 1):
+                    code <<= bits
+                    code |= c[j : j + n]
+                masks = (np.int64(1) << (c[k + 1 :].astype(np.int64) + size)) | (np.int64(1) << c[:n].astype(np.int64))
+                waiting.setdefault(batch.column(0)[i].as_py(), []).append((code, masks))
+                held += n
+                if held >= 8 * WORDS:
+                    yield from flush()
+                    held = 0
+        yield from flush()
+
+    given = seqs.select(pool, "seq")
+    partial = given.mapInArrow(run, T.StructType([given.schema[pool], *(T.StructField(c, T.LongType()) for c in ("code", "after", "before"))]))
+    return partial.groupBy(pool, "code").agg(F.bit_or("after").alias("after"), F.bit_or("before").alias("before"))
+
+
+def pooled_branch_words(seqs: DataFrame, k: int, pool: str = "pool", alphabet: str | None = None) -> DataFrame:
+    """(pool, kmer, successors, predecessors) of words with two or more distinct neighbours on a side, over all sequences of a pool.
+
+    With an ``alphabet`` (sequences must have no other letters) words travel as
+    numbers and their neighbours as bit masks, each word once a task and pool.
+    """
+    if alphabet:
+        bits = max((len(alphabet) - 1).bit_length(), 1)
+        masks = _neighbour_masks(seqs, k, pool, alphabet).select(pool, "code", F.bit_count("after").cast("long").alias("successors"), F.bit_count("before").cast("long").alias("predecessors"))
+        spelled = F.concat(*(F.substring(F.lit(alphabet), F.shiftright("code", bits * (k - 1 - i)).bitwiseAND((1 << bits) - 1).cast("int") + 1, 1) for i in range(k)))
+        return masks.where("successors > 1 or predecessors > 1").select(pool, spelled.alias("kmer"), "successors", "predecessors")
     wide = word_counts(seqs, k + 2, circular=True, keys=(pool,))
     middle = F.expr(f"substring(kmer, 2, {k})")
     sides = wide.groupBy(pool, middle.alias("word")).agg(F.size(F.collect_set(F.expr("right(kmer, 1)"))).cast("long").alias("successors"), F.size(F.collect_set(F.substring("kmer", 1, 1))).cast("long").alias("predecessors"))

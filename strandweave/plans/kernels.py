@@ -391,11 +391,11 @@ def streamed_symbols(spark, d):
     schema = r.table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     counts = spectra.windowed_walk_arcs(stream.withColumn("at", F.col("ts").cast("timestamp")), "at", "event_type", "1 day", "1 hour")
-    name = f"symbols_{uuid.uuid4().hex}"
-    place = f"{shared_dir(spark)}/stream-{name}"
-    q = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", place).trigger(availableNow=True).start()
+    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    latest = lambda batch, _: batch.write.mode("overwrite").parquet(f"{place}/counts")
+    q = counts.writeStream.outputMode("complete").foreachBatch(latest).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    return spark.read.schema(counts.schema).parquet(f"{place}/counts").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 @r.query("canonical_sequences", "SELECT seq_id, min(rot) AS canonical FROM (SELECT p_partkey AS seq_id, unnest([substr(p_brand, i) || substr(p_brand, 1, i - 1) for i in range(1, length(p_brand) + 1)]) AS rot FROM part) GROUP BY 1")

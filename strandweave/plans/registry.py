@@ -165,7 +165,7 @@ WITH o AS MATERIALIZED (SELECT DISTINCT source AS pool, kmer FROM ({circular(SEQ
 SELECT pool, substr(kmer, 2, 10) AS kmer, count(DISTINCT right(kmer, 1)) AS successors, count(DISTINCT left(kmer, 1)) AS predecessors
 FROM o GROUP BY 1, 2 HAVING count(DISTINCT right(kmer, 1)) > 1 OR count(DISTINCT left(kmer, 1)) > 1""")
 def pooled_branch_words(spark, d):
-    return words.pooled_branch_words(dna(spark, d).withColumn("pool", F.col("source")), 10)
+    return words.pooled_branch_words(dna(spark, d).withColumn("pool", F.col("source")), 10, alphabet="ACGT")
 
 
 @query("core_words", f"""
@@ -375,7 +375,7 @@ def dag_path_counts(spark, d):
     arcs = arcs.unionByName(region.select(F.lit("root").alias("u"), key("r", "r_regionkey").alias("v"), one))
     arcs = arcs.unionByName(customer.select(key("n", "c_nationkey").alias("u"), key("c", "c_custkey").alias("v"), one))
     arcs = arcs.unionByName(orders.groupBy(key("c", "o_custkey").alias("u"), key("s", "o_orderstatus").alias("v")).agg(F.count("*").alias("m")))
-    return graphs.path_counts(arcs, "root", 4)
+    return graphs.path_counts(arcs, "root")
 
 
 @query("bundle_steps", f"""
@@ -553,4 +553,4 @@ def cover_counts(spark, d):
     return counting.cover_counts(part, 4, cap=2000)
 
 
-from strandweave.plans import kernels  # noqa: E402,F401  (adds its queries)
+from strandweave.plans import files, kernels  # noqa: E402,F401  (add their queries)

@@ -32,11 +32,12 @@ def read_plain(spark: SparkSession, path: str) -> DataFrame:
 def read_fasta(spark: SparkSession, path: str, policy: str = "keep") -> DataFrame:
     """Records of FASTA files: seq_id, name, description, seq (lines joined, upper case).
 
-    Files are split at ">" by the reader itself, so a large file is read by
-    many tasks and no record is gathered.
+    Files are split at lines that begin with ">" by the reader itself, so a
+    large file is read by many tasks and no record is gathered.  seq_id tells
+    the records of one reading apart; it depends on the splits.
     """
-    records = spark.read.option("lineSep", ">").text(path).where(F.trim(F.col("value")) != "")
-    head = F.trim(F.regexp_extract("value", r"^([^\n]*)", 1))
+    records = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).where(F.trim(F.col("value")) != "")
+    head = F.trim(F.regexp_extract("value", r"^([^\r\n]*)", 1))
     seq = F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*", ""), r"\s", ""))
     made = records.select(F.monotonically_increasing_id().alias("seq_id"), F.regexp_extract(head, r"^(\S*)", 1).alias("name"), F.regexp_extract(head, r"^\S*\s*(.*)$", 1).alias("description"), _clean(seq, policy).alias("seq"))
     return made.select(F.col("seq_id").cast("long").alias("seq_id"), "name", "description", "seq")

@@ -176,6 +176,11 @@ def test_fasta_round_trip(spark, tmp_path):
     assert src.read_plain(spark, str(tmp_path / "p.txt")).first()["seq"] == "ACGT"
 
 
+def test_headers_may_hold_the_record_mark(spark, tmp_path):
+    (tmp_path / "h.fa").write_bytes(b">a first > second\r\nAC\r\ngt\r\n>b\n\n>c >\nA\n")
+    assert [tuple(r)[1:] for r in src.read_fasta(spark, str(tmp_path / "h.fa")).collect()] == [("a", "first > second", "ACGT"), ("b", "", ""), ("c", ">", "A")]
+
+
 def test_isolates_are_normalised(spark):
     ref = gen.random_sequence(400, 7)
     turned = ref[150:] + ref[:150]
@@ -213,6 +218,26 @@ def test_streamed_spectrum_equals_the_batch(spark, tmp_path):
     assert {tuple(r) for r in spark.table("spectrum").collect()} == {tuple(r) for r in batch.collect()}
 
 
+def test_branch_words_as_codes_equal_those_as_text(spark):
+    rows = [(None if i % 5 == 0 else f"p{i % 2}", gen.random_sequence(n, i)) for i, n in enumerate((300, 200, 40, 7, 6, 5, 3, 90, 0))] + [("p0", None)]
+    df = spark.createDataFrame(rows, "pool string, seq string").repartition(3)
+    for k in (1, 4):
+        plain, coded = (sorted(map(tuple, words.pooled_branch_words(df, k, alphabet=a).collect()), key=str) for a in (None, "ACGT"))
+        assert coded and plain == coded
+    with pytest.raises(Exception, match="outside ACGT"):
+        words.pooled_branch_words(spark.createDataFrame([("p", "ACGNACGT")], "pool string, seq string"), 2, alphabet="ACGT").collect()
+
+
+def test_paths_of_any_length_and_endless_ones(spark):
+    chain = [(str(i), str(i + 1), 2) for i in range(7)]
+    got = {r["node"]: r["paths"] for r in graphs.path_counts(spark.createDataFrame(chain, "u string, v string, m long"), "0").collect()}
+    assert got == {str(i): 2**i for i in range(8)}
+    with pytest.raises(ValueError, match="cycle"):
+        graphs.path_counts(spark.createDataFrame([("0", "1", 1), ("1", "0", 1)], "u string, v string, m long"), "0")
+    with pytest.raises(RuntimeError, match="still growing"):
+        moves.closures(spark.createDataFrame([(0, "AABABBAB")], "seq_id long, seq string"), 2, rounds=0)
+
+
 def test_walks_in_shards_and_upper_medians(spark):
     rng = random.Random(1)
     rows = [(u, t, rng.choice("abc")) for u in range(5) for t in sorted(rng.sample(range(1000), 1 if u == 4 else 60))]
