@@ -25,14 +25,25 @@ def _free(docs: DataFrame, name: str) -> str:
 
 
 def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality classifier, trained on this stage's input, scores below its threshold."""
+    """Drops documents that the quality classifier, trained on this stage's input, scores below its threshold.
+
+    Null and empty texts are scored like any other, long ones whole.  A row is
+    judged by its text alone, so rows with a null, tied or repeated doc_id, and
+    repeated rows, each get the score of their own text.  An empty table gives
+    no rows.
+    """
     forest = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     score = _free(docs, "_quality")
     return quality.append_scores(docs, forest, score).where(F.col(score) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those whose language is not recognised."""
+    """Drops documents without a letter (so null and empty texts) and those whose language is not recognised.
+
+    Long texts are read whole; tied languages go to the first in order; rows
+    with a null lang or doc_id and repeated rows are judged like any other.  An
+    empty table, or one without a labelled text, gives no rows.
+    """
     named = _free(docs, "_language")
     marked = language.append_languages(docs, language.train(docs), named)
     known = (F.col(f"{named}.lang") != language.UNKNOWN) & (F.col(f"{named}.score") >= LEAST_LANGUAGE_SCORE)
@@ -51,13 +62,23 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents to the target marginals of source, language and topic."""
+    """Samples documents to the target marginals of source, language and topic.
+
+    Null source and lang are values of their own; null and empty texts weigh
+    nothing and stay; long texts are counted whole; rows that repeat a doc_id
+    (null among them) share their draw.  An empty table gives no rows.
+    """
     column = _free(docs, "_mix")
     return mixing.mix(docs, column=column).where(f"{column}.kept").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 4096 tokens: one row per piece."""
+    """Packs what is left into sequences of 4096 tokens: one row per piece.
+
+    A null or empty text is its end token alone; long texts span sequences;
+    every row is packed, repeated rows and doc_ids (null among them) too.  An
+    empty table gives no rows.
+    """
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
