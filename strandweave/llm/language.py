@@ -20,6 +20,7 @@ each; other columns never reach a prediction.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -33,6 +34,8 @@ from pyspark.sql import types as T
 from strandweave.llm import text as tx
 from strandweave.llm.sampling import held_out, fold, sample_of
 
+LOG = logging.getLogger(__name__)
+
 BUCKET_BITS, GRAMS = 16, (1, 2, 3)
 BUCKETS = 1 << BUCKET_BITS
 MOST_DOCS, EPOCHS = 3_000, 4
@@ -180,6 +183,8 @@ def train(docs: DataFrame, most: int = MOST_DOCS, seed: int = 10) -> Model:
     learn = np.flatnonzero(~aside)
     weights, bias = ftrl([rows[i] for i in learn], y[learn], len(languages))
     logits = np.array([x[:-1] @ weights[at[:-1]] + bias for at, x in (rows[i] for i in np.flatnonzero(aside))])
+    if not aside.any():
+        LOG.warning("language: %d labelled texts are too few to calibrate on some of them; the temperature is 1", len(rows))
     temperature = calibrated(logits, y[aside]) if aside.any() else 1.0
     return Model(languages, (weights * idf[:, None] * SCALE).astype(np.float32), bias, temperature)
 

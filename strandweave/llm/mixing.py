@@ -21,7 +21,9 @@ text belong, ties to the smaller number; tokens are words split at white space.
 Edge cases: nulls in source or lang are a value of their own; a null or empty
 text has no tokens, topic 0 and is kept with probability 1 (it weighs
 nothing); a null doc_id draws one common number; repeated rows share their
-draw; an empty table gives no rows.
+draw; an empty table gives no rows.  Texts of any length are counted whole.
+Other columns pass through, whatever their names; one named as the result
+column is replaced.
 """
 
 from __future__ import annotations
@@ -249,11 +251,14 @@ def mix(docs: DataFrame, temper: dict[str, float] = TEMPER, fraction: float = FR
     cells = skinny.groupBy(source.alias("source"), lang.alias("lang"), F.col(f"{column}.topic").alias("topic")).agg(F.sum(f"{column}.tokens").alias("tokens")).where("tokens > 0")
     cells = Scratch(docs.sparkSession, "mixing").save(cells, "cells")
     p = cell_probabilities(cells, temper, fraction, most_cells, targets)
-    p = p.select(F.struct("source", "lang", "topic").alias("_cell"), F.col("probability").alias("_probability"))
-    joined = made.join(p, (source.eqNullSafe(F.col("_cell.source"))) & (lang.eqNullSafe(F.col("_cell.lang"))) & (F.col(f"{column}.topic") == F.col("_cell.topic")), "left")
-    chance = F.when(F.col(f"{column}.tokens") == 0, F.lit(1.0)).otherwise(F.coalesce("_probability", F.lit(0.0)))
+    cell, own = "_cell", "_probability"
+    while {cell, own} & {c.lower() for c in made.columns}:
+        cell, own = cell + "_", own + "_"
+    p = p.select(F.struct("source", "lang", "topic").alias(cell), F.col("probability").alias(own))
+    joined = made.join(p, (source.eqNullSafe(F.col(f"{cell}.source"))) & (lang.eqNullSafe(F.col(f"{cell}.lang"))) & (F.col(f"{column}.topic") == F.col(f"{cell}.topic")), "left")
+    chance = F.when(F.col(f"{column}.tokens") == 0, F.lit(1.0)).otherwise(F.coalesce(own, F.lit(0.0)))
     full = F.struct(F.col(f"{column}.tokens").alias("tokens"), F.col(f"{column}.topic").alias("topic"), chance.alias("probability"), (draw(seed) < chance).alias("kept"))
-    return joined.withColumn(column, full).drop("_cell", "_probability")
+    return joined.withColumn(column, full).drop(cell, own)
 
 
 def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ each on its own; other columns are ignored.
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections.abc import Iterator
 
@@ -38,6 +39,8 @@ from strandweave.llm import text as tx
 from strandweave.llm.tokens import encoder
 from strandweave.session import Scratch
 
+LOG = logging.getLogger(__name__)
+
 LENGTH, WIDTH, END = 4096, 32, 2
 _SCHEMA = "part int, row long, doc_id long, doc_tokens long, fulls array<long>, first_full long, tail int, tail_crc long, cls int, rank long, tail_ids binary, ids binary"
 
@@ -89,6 +92,8 @@ def column_generation(demand: np.ndarray, sizes: np.ndarray, capacity: int, step
         inverse -= np.outer(direction, pivot)
         inverse[leave] = pivot
         patterns[:, leave] = column
+    else:
+        LOG.warning("packing: column generation stopped after %d columns; its patterns are feasible, not proven best", steps)
     return patterns, np.maximum(counts, 0.0)
 
 

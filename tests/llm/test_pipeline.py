@@ -20,7 +20,7 @@ def docs(spark):
     base = spark.read.parquet(f"{SF}/documents.parquet")
     odd = [(None if d is None else d + 10**6, t, lang, source, n) for d, t, lang, source, n, *_ in odd_rows()]
     rows = base.unionByName(spark.createDataFrame(odd, base.schema))
-    return rows.withColumn("_quality", F.lit("clash")).withColumn("_mix", F.lit(1)).repartition(4)
+    return rows.withColumn("_quality", F.lit("clash")).withColumn("_mix", F.lit(1)).withColumn("_Cell", F.lit(2)).withColumn("_probability", F.lit("p")).withColumn("_kept", F.lit(3)).repartition(4)
 
 
 def ids(df):
@@ -64,6 +64,12 @@ def test_mixing_stage(spark, docs):
     assert abs(expected["e"] / expected["t"] - mixing.FRACTION) < 1e-6
 
 
+@pytest.mark.parametrize("name,stage", cp.STAGES)
+def test_stages_on_an_empty_table(spark, docs, name, stage):
+    out = stage(spark, spark.createDataFrame([], docs.schema), SF)
+    assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
+
+
 def test_packing_stage_and_run(spark, docs):
     assert check_packing(docs.limit(150), 4096) == 0
     pieces = cp.run(spark, SF)
