@@ -109,9 +109,9 @@ def rounded(patterns: np.ndarray, counts: np.ndarray, demand: np.ndarray, most:
 # ---------------------------------------------------------------- tokenising
 
 
-def _tokenise(batches: Iterator[pa.RecordBatch], path: str, length: int, width: int, end: int, keep: bool) -> Iterator[pa.RecordBatch]:
+def _tokenise(batches: Iterator[pa.RecordBatch], path: str, length: int, width: int, end: int, keep: bool, specials_as_text: bool) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
-    coder, tail_end = encoder(path), np.array([end], "<u4").tobytes()
+    coder, tail_end = encoder(path, specials_as_text=specials_as_text), np.array([end], "<u4").tobytes()
     seen: dict[int, int] = {}
     row = fulls_seen = 0
     names = [f.split()[0] for f in _SCHEMA.split(", ")]
@@ -173,12 +173,16 @@ def prefix_sums(df: DataFrame, key: str, value: str, n: int, out: str, block: in
 # ---------------------------------------------------------------- the operator
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, width: int = WIDTH, end: int = END, with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids array<int>)."""
+def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, width: int = WIDTH, end: int = END, with_ids: bool = False, specials_as_text: bool = False) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids array<long>).
+
+    The string of a special token inside a text gets that token's id, as the
+    tokenizer's file has it; with ``specials_as_text`` it is ordinary text.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tokens = scratch.save(tx.map_texts(source, lambda it: _tokenise(it, tokenizer, length, width, end, with_ids), _SCHEMA), "tokens")
+    tokens = scratch.save(tx.map_texts(source, lambda it: _tokenise(it, tokenizer, length, width, end, with_ids, specials_as_text), _SCHEMA), "tokens")
 
     counted = tokens.where("tail > 0").groupBy("cls").agg(F.count("*").alias("n"), F.sum("tail").alias("t")).orderBy("cls").collect()
     demand = np.array([r["n"] for r in counted], np.int64)

@@ -12,7 +12,7 @@ import numpy as np
 CACHED_WORDS = 700_000
 #: Words that are encoded in one call, as one text.
 JOINED = 4000
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple, WordEncoder] = {}
 
 
 class WordEncoder:
@@ -21,15 +21,20 @@ class WordEncoder:
     For a file whose words are encoded one by one (white space dropped, lower
     case), a text of plain Latin-1 letters is split here and only unseen words
     go to the tokenizer; any other text is encoded by the tokenizer as a whole.
-    Strings of special tokens inside a text are ordinary text.
+    Strings of added tokens inside a text get the ids of these tokens, as the
+    tokenizer gives them (a text that holds one, in any case of letters, goes
+    to it whole); with ``specials_as_text`` those of special tokens are
+    ordinary text.
     """
 
-    def __init__(self, path: str, by_word: bool):
+    def __init__(self, path: str, by_word: bool, specials_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = specials_as_text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content.strip().lower() for t in added if not (t.special and specials_as_text)]
         self.by_word = by_word
         self.cache: dict[str, bytes] = {}
         self.last: dict[str, bytes] = {}
@@ -45,8 +50,15 @@ class WordEncoder:
         except UnicodeEncodeError:
             return False
 
+    def _split(self, text: str) -> list[str] | None:
+        """The words of a text that can be encoded one by one, else None."""
+        if not (self.by_word and self._is_plain(text)):
+            return None
+        low = text.lower()
+        return None if any(a in low for a in self.added) else self.words.findall(low)
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.words.findall(t.lower()) if self.by_word and self._is_plain(t) else None for t in texts]
+        split = [self._split(t) for t in texts]
         if len(self.cache) > CACHED_WORDS:
             self.cache, self.last = {}, self.cache
         cache = self.cache
@@ -75,7 +87,8 @@ class WordEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def encoder(path: str, by_word: bool = True) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path, by_word)
-    return _ENCODERS[path]
+def encoder(path: str, by_word: bool = True, specials_as_text: bool = False) -> WordEncoder:
+    key = (path, by_word, specials_as_text)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = WordEncoder(*key)
+    return _ENCODERS[key]

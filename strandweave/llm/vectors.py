@@ -9,7 +9,9 @@ other and keeps the ``k`` best rows of each query, so what is shuffled grows
 with queries times tasks, not with rows or pairs.
 
 Rows take no part where vec_id or the vector is null, or a component is null
-or not finite (for cosine: also where all components are 0).  Vectors of
+or not finite (for cosine: also where all components are 0).  Finite vectors of
+any size take part: for cosine each is first scaled by a power of two, which
+changes no cosine and keeps its norm finite.  Vectors of
 different lengths never meet.  Rows that repeat a vec_id are rows of their
 own; a query skips every row that has its own vec_id.  Equal scores go to the
 smaller vec_id.  An empty table, or no query, gives no rows.  Other columns
@@ -53,6 +55,7 @@ def _usable(batch: pa.RecordBatch, nonzero: bool) -> dict[int, tuple[np.ndarray,
         if nonzero:
             some = (m != 0).any(axis=1)
             rows, m = rows[some], m[some]
+            m = np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, initial=0))[1][:, None])
         if len(rows):
             found[int(dim)] = (keys[rows], m)
     return found
@@ -203,21 +206,33 @@ class Pivots:
     d(a, b) >= |d(a, p) - d(b, p)| for every pivot p; the largest of these
     lower bounds over the stored table of pivot distances gives an upper bound
     on the score.  Rows are evaluated in the order of that bound until the k-th
-    best score is above the next bound.
+    best score is above the next bound.  Stored distances are rounded; the lower
+    bound is taken less what they, at most, are off by for this row and query.
+    Scores that might leave 63 bits are an error.
     """
 
-    #: Rounding of stored distances (24 bits) in squared distances, as a share of the squared norms.
-    ROUNDING = 4e-6
+    #: Rounding of norms and products (53 bits), as a share of the squared norms.
+    ROUNDING = 1e-12
+    #: Rounding of a stored distance (24 bits), as a share of the norms of its row and pivot; for 64 components.
+    STORED = 2.0**-21
+    #: A sample point may be a pivot if its norm is at most this many times the median norm.
+    FAR = 1000.0
 
     def __init__(self, k: int, points: dict[int, np.ndarray], step: int = 256):
         self.k, self.points, self.step = k, points, step
 
     @staticmethod
     def far_points(sample: dict[int, np.ndarray], pivots: int = 64) -> dict[int, np.ndarray]:
-        """Pivots of each dimension: the origin, then sample points each as far as can be from those before it."""
+        """Pivots of each dimension: the origin, then sample points each as far as can be from those before it.
+
+        The distances to a very far point differ by less than they are rounded
+        by, so points far outside the rest are no pivots.
+        """
         found = {}
         for dim, m in sample.items():
             m = quantised(m)
+            norms = np.linalg.norm(m, axis=1)
+            m = m[norms <= Pivots.FAR * np.median(norms)]
             points, apart = [np.zeros(dim)], (m**2).sum(axis=1)
             while len(points) < pivots and apart.max(initial=0) > 0:
                 points.append(m[apart.argmax()])
@@ -239,6 +254,12 @@ class Pivots:
     def meet(self, asked: np.ndarray, queries: np.ndarray, q_keys: np.ndarray, rows: np.ndarray, keys: np.ndarray, made: list[bytes], best: Best) -> int:
         q, m = quantised(queries), quantised(rows)
         norms, q_norms = (m**2).sum(axis=1), (q**2).sum(axis=1)
+        if np.sqrt(norms.max(initial=0)) * np.sqrt(q_norms.max(initial=0)) >= 2.0**63:
+            raise ArithmeticError("inner products of these vectors may not fit into 63 bits")
+        points = self.points.get(m.shape[1])
+        reach = 2 * np.sqrt((points**2).sum(axis=1).max()) if points is not None else 0.0
+        stored = self.STORED * max(1.0, np.sqrt(m.shape[1] / 64))
+        slack = stored * (np.sqrt(norms) + reach)
         table = np.ascontiguousarray(np.frombuffer(made[0], np.float32).reshape(len(m), -1).T)
         if max(np.abs(q).max(initial=0), 1) * max(np.abs(m).max(initial=0), 1) * max(m.shape[1], 1) >= 2.0**53:
             q, m = q.astype(np.int64), m.astype(np.int64)
@@ -249,7 +270,8 @@ class Pivots:
                 np.subtract(to_pivot, distance, out=gap)
                 np.maximum(low, np.abs(gap, out=gap), out=low)
             both = norms + q_norms[i]
-            bound = (both * (1 + self.ROUNDING) - low.astype(float) ** 2) / 2 + 0.5
+            sound = np.maximum(low - (slack + stored * np.sqrt(q_norms[i])), 0)
+            bound = (both * (1 + self.ROUNDING) - sound**2) / 2 + 0.5
             scored += _in_order(bound, keys != q_keys[i], self.step, best, i, lambda part: m[part] @ q[i], keys)  # noqa: B023
         return scored
 
@@ -258,7 +280,8 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int
     """(query_id, rank, vec_id, score): highest integer inner products of quantised vectors, ties to the smaller vec_id.
 
     Pivots are chosen from at most ``sample`` rows, those of least hash; the
-    result does not depend on them.
+    result does not depend on them.  A pair of vectors whose norms multiply to
+    2**63 or more is an error, as its score need not fit into a long.
     """
     some = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("id is not null")
     some = some.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow().combine_chunks().to_batches()

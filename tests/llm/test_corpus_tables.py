@@ -233,6 +233,46 @@ def test_small_blocks_and_large_values(spark, monkeypatch):
     assert got == brute(rows, 10, 4, lambda a, b: sum(int(x) * int(y) for x, y in zip(np.floor(256 * a), np.floor(256 * b))), True)
 
 
+@pytest.mark.parametrize("size", [1e3, 1e5, 1e6, 1e7, 1e9])
+def test_outliers_lose_no_neighbour(size):
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((30, 64))
+    m = centres[rng.integers(0, 30, 3000)] + 0.05 * rng.standard_normal((3000, 64))
+    m[[905, 900]] *= size
+    ids = np.arange(len(m))
+    for sample in (m, m[[905, 900]], m[[0, 1, 2, 905, 900]]):
+        method = vectors.Pivots(5, vectors.Pivots.far_points({64: sample}), step=32)
+        best = vectors.Best(60, 5, np.int64)
+        method.meet(method.asked(m[:60]), m[:60], ids[:60], m, ids, [x.tobytes() for x in method.table(m)], best)
+        exact = np.array(vectors.quantised(m[:60]).astype(np.int64) @ vectors.quantised(m).T.astype(np.int64))
+        for i in range(60):
+            others = np.delete(ids, i)
+            assert best.keys[i].tolist() == others[np.lexsort((others, -exact[i, others]))[:5]].tolist()
+
+
+def test_very_far_rows_are_exact_as_long_as_scores_fit(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.standard_normal(8).tolist(), "r") for i in range(1, 300)] + [(1000, (rng.standard_normal(8) * 1e9).tolist(), "r"), (1001, (rng.standard_normal(8) * 1e11).tolist(), "r")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string").repartition(2)
+    asked = df.where("vec_id < 40")
+    got = sorted(tuple(r) for r in vectors.exact_top_k(df, asked, 5).collect())
+    score = lambda a, b: sum(int(x) * int(y) for x, y in zip(np.floor(256 * a), np.floor(256 * b)))
+    assert got == [r for r in brute(rows, 1, 5, score, True) if r[0] < 40]
+    with pytest.raises(Exception, match="63 bits"):
+        vectors.exact_top_k(df, df.where("vec_id > 1000"), 5).collect()
+
+
+def test_cosines_of_vectors_of_extreme_size(spark):
+    rng = np.random.default_rng(13)
+    plain = [rng.standard_normal(8).tolist() for _ in range(60)]
+    rows = [(i, [x * 10.0 ** [0, 200, -200, 307][i % 4] for x in v], "r") for i, v in enumerate(plain)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
+    got = sorted(tuple(r) for r in vectors.nearest(df, df.where("vec_id % 5 = 0"), 4).collect())
+    want = brute([(i, v, "r") for i, v in enumerate(plain)], 5, 4, lambda a, b: float((a * b).sum() / (np.linalg.norm(a) * np.linalg.norm(b))), False)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert max(abs(g[3] - w[3]) for g, w in zip(got, want)) < 1e-12
+
+
 def test_rows_that_repeat_a_query_hide_no_neighbour(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.standard_normal(8).tolist(), "r") for i in range(1, 60)]

@@ -12,6 +12,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from strandweave.llm import language, mixing, near_duplicates, packing, quality, text as tx  # noqa: E402
 from strandweave.llm.tokens import WordEncoder  # noqa: E402
+from tokenizers import Tokenizer  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, tokens string, score string, `_mix` string, key long"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -58,19 +59,27 @@ def shingle_set(t, width):
 # ------------------------------------------------------------ packing
 
 
-def test_word_encoder_equals_the_tokenizer():
-    coder = WordEncoder(TOKENIZER, True)
+def plain_ids(texts, specials_as_text=False):
+    fresh = Tokenizer.from_file(TOKENIZER)
+    if specials_as_text:
+        fresh.encode_special_tokens = True
+    return [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("specials_as_text", [False, True])
+def test_word_encoder_equals_a_fresh_tokenizer(specials_as_text):
+    coder = WordEncoder(TOKENIZER, True, specials_as_text)
     texts = [t or "" for _, t, *_ in odd_rows()] + ["It's 12½ o'clock—we'LL see!!! ÀÉÞ ß µ", "<|endoftext|> x", "a b\u0085c", "é", "ΑΣ ΑΣ"]
-    plain = coder.tokenizer.encode_batch(texts, add_special_tokens=False)
-    assert [np.frombuffer(b, "<u4").tolist() for b in coder.encode(texts)] == [e.ids for e in plain]
+    texts += ["hello <|endoftext|> world", "a<|startoftext|>b<|endoftext|><|endoftext|>", "<|ENDOFTEXT|>", "<| endoftext |>", "日本<|endoftext|>"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in coder.encode(texts)] == plain_ids(texts, specials_as_text)
 
 
-def check_packing(docs, length):
-    coder = WordEncoder(TOKENIZER, True)
+def check_packing(docs, length, specials_as_text=False):
     want = Counter()
-    for r in docs.select("doc_id", "text").collect():
-        want[(r[0], coder.encode([r[1] or ""])[0] + np.array([2], "<u4").tobytes())] += 1
-    pieces = packing.pack(docs, TOKENIZER, length=length, width=max(1, length // 32), with_ids=True).collect()
+    rows = docs.select("doc_id", "text").collect()
+    for r, ids in zip(rows, plain_ids([r[1] or "" for r in rows], specials_as_text)):
+        want[(r[0], np.array([*ids, 2], "<u4").tobytes())] += 1
+    pieces = packing.pack(docs, TOKENIZER, length=length, width=max(1, length // 32), with_ids=True, specials_as_text=specials_as_text).collect()
     by_sequence = defaultdict(list)
     for p in pieces:
         raw = np.array(p["ids"], "<u4").tobytes()
@@ -106,6 +115,13 @@ def test_packing_keeps_every_token_without_padding(odd, length):
     assert check_packing(odd, length) == 0
 
 
+@pytest.mark.parametrize("specials_as_text", [False, True])
+def test_packing_of_texts_that_hold_special_strings(spark, specials_as_text):
+    texts = ["hello <|endoftext|> world", "<|startoftext|>", "<|endoftext|>" * 70, "plain words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert check_packing(docs, 64, specials_as_text) == 0
+
+
 def test_packing_of_nothing(none):
     assert packing.pack(none, TOKENIZER).count() == 0
 
