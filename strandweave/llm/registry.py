@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandweave.llm import language, mixing, near_duplicates, packing, quality, token_counts, url_filters, vectors, warc
+from strandweave.llm import exact_duplicates, language, mixing, near_duplicates, packing, quality, token_counts, url_filters, vector_codes, vectors, warc
 
 QUERIES = {
     "op1_packing": packing.packing_query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_mixing": mixing.mixing_query,
     "op9_nearest": vectors.nearest_query,
     "op10_language": language.language_query,
+    "op11_exact_duplicates": exact_duplicates.exact_query,
+    "op12_vector_codes": vector_codes.code_query,
 }
 ORACLES = {
     "op2_url_filters": url_filters.URL_FILTER_SQL,
@@ -22,4 +24,6 @@ ORACLES = {
     "op5_minhash": near_duplicates.NEAR_DUPLICATE_SQL,
     "op6_warc_fixity": warc.FIXITY_SQL,
     "op7_exact_top_k": vectors.EXACT_SQL,
+    "op11_exact_duplicates": exact_duplicates.EXACT_DUPLICATE_SQL,
+    "op12_vector_codes": vector_codes.CODE_SQL,
 }
