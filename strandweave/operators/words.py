@@ -71,21 +71,33 @@ def occurrences(seqs: DataFrame, k: int, circular: bool = True, repeated: bool =
     return given.mapInArrow(run, T.StructType([*fields, T.StructField("pos", T.LongType()), T.StructField("kmer", T.StringType())]))
 
 
-def word_counts(seqs: DataFrame, k: int, circular: bool = False, keys: tuple[str, ...] = (), documents: bool = False) -> DataFrame:
+def word_counts(seqs: DataFrame, k: int, circular: bool = False, keys: tuple[str, ...] = (), documents: bool = False, holders: bool = False) -> DataFrame:
     """(keys, kmer, n): multiplicity of each word, counted inside each batch before the shuffle.
 
-    With ``documents`` a word counts once for each sequence that has it.
+    With ``documents`` a word counts once for each sequence that has it.  With
+    ``holders`` both counts come from one pass: n, and ``sequences`` that have
+    the word; the empty word, with n = 0, counts the sequences of k letters or more.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[tuple, list] = {}
         held, kinds = 0, []
 
+        def tallied(key: tuple, parts: list, once: bool) -> pa.RecordBatch:
+            if once:
+                parts = [*(p.unique() for p in parts), pa.array([""] * len(parts), pa.large_string())]
+            tally = pa.chunked_array(parts).value_counts()
+            own = [pa.repeat(pa.scalar(v, t), len(tally)) for v, t in zip(key, kinds)]
+            numbers = [tally.field(1)]
+            if holders:
+                none = pa.repeat(pa.scalar(0, pa.int64()), len(tally))
+                numbers = [none, *numbers] if once else [*numbers, none]
+            return pa.RecordBatch.from_arrays([*own, tally.field(0).cast(pa.string()), *numbers], names=[*keys, "kmer", *counted])
+
         def flush() -> Iterator[pa.RecordBatch]:
             for key, parts in waiting.items():
-                tally = pa.chunked_array(parts).value_counts()
-                own = [pa.repeat(pa.scalar(v, t), len(tally)) for v, t in zip(key, kinds)]
-                yield pa.RecordBatch.from_arrays([*own, tally.field(0).cast(pa.string()), tally.field(1)], names=[*keys, "kmer", "n"])
+                for once in (False, True)[: 1 + holders]:
+                    yield tallied(key, parts, once)
             waiting.clear()
 
         for batch in batches:
@@ -103,8 +115,9 @@ def word_counts(seqs: DataFrame, k: int, circular: bool = False, keys: tuple[str
 
     given = seqs.select(*keys, "seq")
     fields = [given.schema[c] for c in keys]
-    partial = given.mapInArrow(run, T.StructType([*fields, T.StructField("kmer", T.StringType()), T.StructField("n", T.LongType())]))
-    return partial.groupBy(*keys, "kmer").agg(F.sum("n").alias("n"))
+    counted = ["n", "sequences"] if holders else ["n"]
+    partial = given.mapInArrow(run, T.StructType([*fields, T.StructField("kmer", T.StringType()), *(T.StructField(c, T.LongType()) for c in counted)]))
+    return partial.groupBy(*keys, "kmer").agg(*(F.sum(c).alias(c) for c in counted))
 
 
 def both_strands(seqs: DataFrame) -> DataFrame:
