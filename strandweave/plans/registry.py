@@ -553,4 +553,4 @@ def cover_counts(spark, d):
     return counting.cover_counts(part, 4, cap=2000)
 
 
-from strandweave.plans import files, kernels  # noqa: E402,F401  (add their queries)
+from strandweave.plans import files, kernels, large  # noqa: E402,F401  (add their queries)
