@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strandweave.operators import long_sequences
+from strandweave.operators import large_matrices, long_sequences, nerve, paths
 from strandweave.plans import registry as r
 
 #: Every source as one circular sequence: its documents in the order of their ids.
@@ -27,3 +28,81 @@ SELECT seq_id, pos, kmer AS tail, coalesce(lead(kmer) OVER w, first_value(kmer)
 FROM q WINDOW w AS (PARTITION BY seq_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
 def genome_arcs(spark, d):
     return long_sequences.compacted_arcs(genomes(spark, d), 31).drop("strand")
+
+
+# ---------------------------------------------------------------- matrices and nerves
+
+_SIDES = "2 * l_orderkey AS a, 2 * l_partkey + 1 AS b"
+_MADE = "2 * l_suppkey AS a, 2 * l_partkey + 1 AS b"
+#: Least vertex of each component, as a fixpoint that keeps one row a vertex; s is (a, b) in both directions.
+_LEAST = """l(v, c) USING KEY (v) AS (SELECT DISTINCT a, a FROM s
+  UNION SELECT s.b, min(n.c) FROM l n JOIN s ON s.a = n.v JOIN recurring.l o ON o.v = s.b WHERE n.c < o.c GROUP BY s.b)"""
+
+
+@r.query("order_part_rank", f"""
+WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT {_SIDES} FROM lineitem), s AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e), {_LEAST},
+n AS (SELECT count(*) AS vertices, count(*) - count(*) FILTER (WHERE v = c) AS rank FROM l)
+SELECT vertices, (SELECT count(*) FROM e) AS arcs, rank, (SELECT count(*) FROM e) - rank AS cycles FROM n""")
+def order_part_rank(spark, d):
+    """Rank, modulo 2**31 - 1, of the incidence matrix of orders and parts (one row a pair), and the rank of its cycle space."""
+    line = r.table(spark, d, "lineitem").select(F.col("l_orderkey") * 2**31 + F.col("l_partkey"), F.col("l_orderkey") * 2, F.col("l_partkey") * 2 + 1).toDF("i", "a", "b")
+    cells = line.select("i", F.explode(F.map_from_arrays(F.array("a", "b"), F.array(F.lit(1), F.lit(-1)))).alias("j", "value"))
+    rank = large_matrices.rank(cells)
+    sizes = cells.agg(F.count_distinct("j").alias("vertices"), F.count_distinct("i").alias("arcs"))
+    return sizes.select("vertices", "arcs", F.lit(rank).cast("long").alias("rank"), (F.col("arcs") - rank).alias("cycles"))
+
+
+@r.query("flag_nerve", f"""
+WITH RECURSIVE m AS MATERIALIZED (SELECT DISTINCT l_returnflag || l_linestatus AS f, {_MADE} FROM lineitem),
+p AS MATERIALIZED (SELECT f, a AS v FROM m UNION SELECT f, b FROM m), f AS (SELECT DISTINCT f FROM m),
+k AS MATERIALIZED (SELECT array_to_string(k, ',') AS k, len(k) AS n, unnest(k) AS f FROM (
+  SELECT [f] AS k FROM f UNION ALL SELECT [x.f, y.f] FROM f x JOIN f y ON x.f < y.f UNION ALL SELECT [x.f, y.f, z.f] FROM f x JOIN f y ON x.f < y.f JOIN f z ON y.f < z.f)),
+s AS MATERIALIZED (WITH t AS (SELECT k, a, b FROM m JOIN k USING (f) GROUP BY k, a, b, n HAVING count(*) = n)
+  SELECT k, a, b FROM t UNION SELECT k, b, a FROM t UNION SELECT k, v, v FROM p JOIN k USING (f) GROUP BY k, v, n HAVING count(*) = n),
+l(k, v, c) USING KEY (k, v) AS (SELECT DISTINCT k, a, a FROM s
+  UNION SELECT s.k, s.b, min(n.c) FROM l n JOIN s ON s.k = n.k AND s.a = n.v JOIN recurring.l o ON o.k = s.k AND o.v = s.b WHERE n.c < o.c GROUP BY s.k, s.b)
+SELECT k AS sigma, count(*) AS vertices, count(*) FILTER (WHERE v = c) AS components FROM l GROUP BY 1""")
+def flag_nerve(spark, d):
+    """Components that sets of up to three flag pairs have in common, in the graph of suppliers and parts; flag pairs are strains."""
+    line = r.table(spark, d, "lineitem").select((F.col("l_suppkey") * 2).alias("u"), (F.col("l_partkey") * 2 + 1).alias("v"), F.concat("l_returnflag", "l_linestatus").alias("f"))
+    arcs = line.groupBy("u", "v").agg(F.collect_set("f").alias("strains"))
+    ends = line.select(F.col("u").alias("v"), "f").unionByName(line.select("v", "f"))
+    vertices = ends.groupBy("v").agg(F.collect_set("f").alias("strains"))
+    return nerve.component_counts(nerve.cells(vertices, arcs)).select(F.array_join("sigma", ",").alias("sigma"), "vertices", "components")
+
+
+# ---------------------------------------------------------------- paths and strong components
+
+_NAMES = "SELECT p_partkey AS seq_id, p_name AS s FROM part"
+_GRAM = f"SELECT seq_id AS graph_id, kmer AS u, coalesce(lead(kmer) OVER w, first_value(kmer) OVER w) AS v FROM ({r.circular(_NAMES, 2)}) WINDOW w AS (PARTITION BY seq_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+
+
+@r.query("labelled_unitigs", f"""
+WITH RECURSIVE a AS MATERIALIZED (SELECT graph_id, u, v, count(*) AS m, right(v, 1) AS label FROM ({_GRAM}) GROUP BY 1, 2, 3),
+g AS (SELECT graph_id, x, sum(o) AS o, sum(i) AS i FROM (SELECT graph_id, u AS x, m AS o, 0 AS i FROM a UNION ALL SELECT graph_id, v, 0, m FROM a) GROUP BY 1, 2),
+n AS MATERIALIZED (SELECT graph_id, x FROM g WHERE o = 1 AND i = 1),
+w AS (SELECT a.graph_id, a.u, a.v, a.m, 1 AS arcs, a.label FROM a LEFT JOIN n ON n.graph_id = a.graph_id AND n.x = a.u WHERE n.x IS NULL
+      UNION ALL SELECT w.graph_id, w.u, a.v, w.m, w.arcs + 1, w.label || a.label FROM w JOIN n ON n.graph_id = w.graph_id AND n.x = w.v JOIN a ON a.graph_id = w.graph_id AND a.u = w.v)
+SELECT w.graph_id, w.u, w.v, CAST(w.m AS BIGINT) AS m, CAST(w.arcs AS BIGINT) AS arcs, w.label FROM w LEFT JOIN n ON n.graph_id = w.graph_id AND n.x = w.v WHERE n.x IS NULL""")
+def labelled_unitigs(spark, d):
+    """Maximal paths of the two-letter word graph of each part name, with the letters that they spell."""
+    from strandweave.operators.words import next_on_circle, occurrences
+
+    part = r.table(spark, d, "part").select(F.col("p_partkey").alias("seq_id"), F.col("p_name").alias("seq"))
+    occ = occurrences(part, 2).withColumn("strand", F.lit(0)).withColumn("n", F.lit(0))
+    arcs = next_on_circle(occ).groupBy(F.col("seq_id").alias("graph_id"), F.col("kmer").alias("u"), F.col("head").alias("v")).agg(F.count("*").alias("m"))
+    return paths.labelled_unitigs(arcs.withColumn("label", F.expr("right(v, 1)")))
+
+
+@r.query("return_circles", """
+WITH RECURSIVE r AS (SELECT l_orderkey, l_partkey, l_linenumber, l_shipdate FROM lineitem WHERE l_returnflag = 'R'),
+a AS MATERIALIZED (SELECT DISTINCT l_partkey AS u, v FROM (SELECT *, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey) AS v FROM r) WHERE v IS NOT NULL),
+n AS (SELECT u AS x FROM a UNION SELECT v FROM a),
+t AS (SELECT x AS o, x AS z FROM n UNION SELECT t.o, a.v FROM t JOIN a ON a.u = t.z)
+SELECT f.o AS part, min(f.z) AS component FROM t f JOIN t b ON b.o = f.z AND b.z = f.o GROUP BY 1""")
+def return_circles(spark, d):
+    """Strong components of parts, where a part leads to the one of the same order that was shipped next and came back as well."""
+    back = r.table(spark, d, "lineitem").where("l_returnflag = 'R'")
+    after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_partkey"))
+    arcs = back.select(F.lit(0).alias("graph_id"), F.col("l_partkey").alias("u"), after.alias("v")).where("v is not null")
+    return paths.strong_components(arcs).select(F.col("v").alias("part"), "component")

@@ -352,7 +352,11 @@ def components(spark, d):
     return graphs.components(customer.select(F.concat(F.lit("c"), "c_custkey").alias("u"), F.concat(F.lit("n"), "c_nationkey").alias("v")))
 
 
-@query("order_part_components")
+@query("order_part_components", """
+WITH RECURSIVE e AS MATERIALIZED (SELECT 'o' || l_orderkey AS a, 'p' || l_partkey AS b FROM lineitem), s AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+l(v, c) USING KEY (v) AS (SELECT DISTINCT a, a FROM s
+  UNION SELECT s.b, min(n.c) FROM l n JOIN s ON s.a = n.v JOIN recurring.l o ON o.v = s.b WHERE n.c < o.c GROUP BY s.b)
+SELECT v AS node, c AS component FROM l""")
 def order_part_components(spark, d):
     """Orders and parts joined by line items (no SQL: the recursion would list all pairs of one large component)."""
     line = table(spark, d, "lineitem")
