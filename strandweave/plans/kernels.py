@@ -174,7 +174,7 @@ def unitigs(spark, d):
 _CHAINS = [("A", 2), ("B", 3), ("C", 5)]
 
 
-@r.query("bundle_chains", values([(n, 6, s, 3) for n, s in _CHAINS], "graph_id, vertices, s, r").replace("SELECT *", "SELECT graph_id, s, r"))
+@r.published("bundle_chains", values([(n, 6, s, 3) for n, s in _CHAINS], "graph_id, vertices, s, r").replace("SELECT *", "SELECT graph_id, s, r"))
 def bundle_chains(spark, d):
     """Chains planted in a small Eulerian graph are found with their lengths and degrees."""
     made = {}
@@ -192,13 +192,13 @@ def bundle_chains(spark, d):
 _WORD_GROUPS = [("AABBCC", "0"), ("AABCBC", "Z/2"), ("ABACBC", "Z/3"), ("ABCABC", "(Z/2)^2"), ("AABACCBBC", "Z/3"), ("AABABCBCC", "Z/4"), ("abcdefacbdfe", "Z/2 + (Z/3)^2"), ("abcfedacbefd", "Z/2 + Z/9")]
 
 
-@r.query("word_groups", values(_WORD_GROUPS, "word, repeat_group"))
+@r.published("word_groups", values(_WORD_GROUPS, "word, repeat_group"))
 def word_groups(spark, d):
     """Critical groups of the connector digraphs of repeat words."""
     return literals(spark, [(w,) for w, _ in _WORD_GROUPS], "word string", lambda w: (exact.group_name(counting.critical_group(counting.connector_digraph(w))),), "repeat_group string")
 
 
-@r.query("group_census", values([(3, 16), (4, 318)], "letters, words"))
+@r.published("group_census", values([(3, 16), (4, 318)], "letters, words"))
 def group_census(spark, d):
     """Cyclic words of n letters twice each (by Burnside: (2n)! / 2^n / 2n and the half-turn words), over all their groups."""
 
@@ -212,17 +212,17 @@ def group_census(spark, d):
 _COLLAPSE = [("AACAC", 3, 3), ("AACACC", 2, 3), ("AAAA", 3, 1)]
 
 
-@r.query("collapse_widths", values(_COLLAPSE, "word, longest_repeat, width"))
+@r.published("collapse_widths", values(_COLLAPSE, "word, longest_repeat, width"))
 def collapse_widths(spark, d):
     return literals(spark, [(w,) for w, *_ in _COLLAPSE], "word string", lambda w: (counting.longest_repeat(w), counting.collapse_width(w)), "longest_repeat long, width long")
 
 
-@r.query("brute_force_circuits", values([("ACACCAAAACCA", 288), ("CCAACAACCAAC", 48), ("CACCAAACCACA", 8), ("CACCCCCAACCA", 576), ("ACCCCAAACACC", 144), ("CCCACAAACAAC", 96)], "word, circuits"))
+@r.published("brute_force_circuits", values([("ACACCAAAACCA", 288), ("CCAACAACCAAC", 48), ("CACCAAACCACA", 8), ("CACCCCCAACCA", 576), ("ACCCCAAACACC", 144), ("CCCACAAACAAC", 96)], "word, circuits"))
 def brute_force_circuits(spark, d):
     return literals(spark, [(w, k) for w, k in r._LITERALS], "word string, k long", lambda w, k: (len(counting.circuits(counting.circular_graph(w, k))),), "circuits long").select("word", "circuits")
 
 
-@r.query("rotor_orbits", values([("ACACCAAAACCA", 12, 12), ("CCAACAACCAAC", 12, 12), ("CACCAAACCACA", 4, 4), ("CACCCCCAACCA", 6, 6), ("ACCCCAAACACC", 6, 6), ("CCCACAAACAAC", 6, 6)], "word, trees, orbit"))
+@r.published("rotor_orbits", values([("ACACCAAAACCA", 12, 12), ("CCAACAACCAAC", 12, 12), ("CACCAAACCACA", 4, 4), ("CACCCCCAACCA", 6, 6), ("ACCCCAAACACC", 6, 6), ("CCCACAAACAAC", 6, 6)], "word, trees, orbit"))
 def rotor_orbits(spark, d):
     """Arborescences by enumeration, and the orbit of one of them under rotor routing: the same set."""
 
@@ -249,7 +249,7 @@ WITH a AS (SELECT {letters} AS w FROM range({4**n}) t(x)), s AS ({spectrum('SELE
 SELECT g.w AS word, count(DISTINCT least({rotations.replace('(w,', '(s.w,')})) AS reconstructions FROM g JOIN s ON s.key = g.key GROUP BY 1"""
 
 
-@r.query("reconstruction_closures", _reconstruction_sql())
+@r.published("reconstruction_closures", _reconstruction_sql())
 def reconstruction_closures(spark, d):
     """Words reached from each literal by transpositions, inversions and strand reversal, as a fixpoint."""
     words = spark.createDataFrame([(w, w) for w in _WORDS], "seq_id string, seq string")
@@ -259,7 +259,7 @@ def reconstruction_closures(spark, d):
 _SNPS = [1, 2, 3, 4, 5]
 
 
-@r.query("phasing_counts", values([(b, 2 ** (b - 1), str(2**b), 2 ** (b - 1)) for b in _SNPS], "bubbles, decompositions, labelled, unlabelled"))
+@r.published("phasing_counts", values([(b, 2 ** (b - 1), str(2**b), 2 ** (b - 1)) for b in _SNPS], "bubbles, decompositions, labelled, unlabelled"))
 def phasing_counts(spark, d):
     """Two haplotypes that differ at b far sites: 2^(b-1) phasings, twice as many with labels."""
     base = gen.random_sequence(600, 12)
@@ -271,13 +271,13 @@ def phasing_counts(spark, d):
     return literals(spark, [(b,) for b in _SNPS], "bubbles long", run, "decompositions long, labelled string, unlabelled long")
 
 
-@r.query("recombination_groups", values([("sphere", "0"), ("torus", "Z^2"), ("projective plane", "Z/2")], "surface, recombination"))
+@r.published("recombination_groups", values([("sphere", "0"), ("torus", "Z^2"), ("projective plane", "Z/2")], "surface, recombination"))
 def recombination_groups(spark, d):
     surfaces = {"sphere": gen.OCTAHEDRON, "torus": gen.TORUS, "projective plane": gen.PROJECTIVE_PLANE}
     return literals(spark, [(n,) for n in surfaces], "surface string", lambda n: (exact.group_name(*pools.recombination_group(pools.surface_pool(surfaces[n]))),), "recombination string")
 
 
-@r.query("surface_homology", values([("sphere", 0, "0", 1), ("torus", 2, "Z^2", 1), ("projective plane", 0, "Z/2", 0)], "surface, b1, h1, b2"))
+@r.published("surface_homology", values([("sphere", 0, "0", 1), ("torus", 2, "Z^2", 1), ("projective plane", 0, "Z/2", 0)], "surface, b1, h1, b2"))
 def surface_homology(spark, d):
     """First homology and Betti numbers of triangulated surfaces from their boundary matrices."""
     surfaces = {"sphere": gen.OCTAHEDRON, "torus": gen.TORUS, "projective plane": gen.PROJECTIVE_PLANE}
@@ -301,7 +301,7 @@ def squared_laplacians(spark, d):
 _BUBBLES = [[2, 2], [2, 2, 2], [3, 2], [2, 3, 2]]
 
 
-@r.query("splicing_paths", values([("2-2", 4, 3), ("2-2-2", 8, 4), ("3-2", 6, 4), ("2-3-2", 12, 5)], "gene, paths, rank"))
+@r.published("splicing_paths", values([("2-2", 4, 3), ("2-2-2", 8, 4), ("3-2", 6, 4), ("2-3-2", 12, 5)], "gene, paths, rank"))
 def splicing_paths(spark, d):
     """Source-sink paths of bubble chains and the rank of their path-arc matrix (1 + sum of branches less one)."""
 
@@ -313,7 +313,7 @@ def splicing_paths(spark, d):
     return literals(spark, [("-".join(map(str, b)),) for b in _BUBBLES], "gene string", run, "paths long, rank long")
 
 
-@r.query("path_decompositions", """
+@r.published("path_decompositions", """
 WITH f(total, x, y) AS (VALUES (3, 1, 2), (4, 2, 2), (5, 3, 1), (6, 2, 3)),
 w AS (SELECT total, x, y, a, x - a AS b, y - a AS c, total - x - y + a AS d FROM f, range(0, 7) t(a) WHERE a <= x AND a <= y AND total - x - y + a >= 0)
 SELECT CAST(total AS BIGINT) AS total, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, count(*) AS decompositions,
@@ -331,7 +331,7 @@ def path_decompositions(spark, d):
     return literals(spark, [(3, 1, 2), (4, 2, 2), (5, 3, 1), (6, 2, 3)], "total long, x long, y long", run, "decompositions long, sequences_x1000 string")
 
 
-@r.query("three_counts")
+@r.published("three_counts")
 def three_counts(spark, d):
     """Box points and reconstructions of planted genomes by enumeration, frontier elimination and fermions, and by rows of prefixes."""
 

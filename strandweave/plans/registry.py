@@ -19,6 +19,8 @@ from strandweave.sources import generators
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+#: Published values of small literal inputs, by name: (function, SQL of what is known); for tests, not registered.
+PUBLISHED: dict = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -31,6 +33,14 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def published(name: str, sql: str | None = None):
+    def put(f):
+        PUBLISHED[name] = (f, sql)
+        return f
+
+    return put
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -389,12 +399,12 @@ def bundle_steps(spark, d):
     return graphs.bundle_steps(walks(spark, d))
 
 
-@query("complete_de_bruijn", "SELECT CAST(0 AS BIGINT) AS graph_id, CAST(w AS VARCHAR) AS u, CAST((w * 4 + c) % 4096 AS VARCHAR) AS v, CAST(1 AS BIGINT) AS m FROM range(4096) x(w), range(4) y(c)")
+@published("complete_de_bruijn", "SELECT CAST(0 AS BIGINT) AS graph_id, CAST(w AS VARCHAR) AS u, CAST((w * 4 + c) % 4096 AS VARCHAR) AS v, CAST(1 AS BIGINT) AS m FROM range(4096) x(w), range(4) y(c)")
 def complete_de_bruijn(spark, d):
     return graphs.complete_de_bruijn(spark, 4, 6)
 
 
-@query("eulerian_orientations", """
+@published("eulerian_orientations", """
 WITH e(i, a, b) AS (VALUES (0, 0, 1), (1, 0, 1), (2, 1, 2), (3, 1, 2), (4, 2, 3), (5, 2, 3), (6, 3, 0), (7, 3, 0)),
 o AS (SELECT mask, x, sum(s) AS net FROM (SELECT mask, CASE WHEN (mask >> i) & 1 = 1 THEN b ELSE a END AS x, 1 AS s FROM range(256) r(mask), e
       UNION ALL SELECT mask, CASE WHEN (mask >> i) & 1 = 1 THEN a ELSE b END, -1 FROM range(256) r(mask), e) GROUP BY 1, 2)
@@ -512,13 +522,13 @@ def cnn_mean_pool(spark, d):
 _LITERALS = [("ACACCAAAACCA", 2), ("CCAACAACCAAC", 3), ("CACCAAACCACA", 3), ("CACCCCCAACCA", 2), ("ACCCCAAACACC", 2), ("CCCACAAACAAC", 2)]
 
 
-@query("critical_groups", "SELECT * FROM (VALUES ('ACACCAAAACCA', '12', '288'), ('CCAACAACCAAC', '12', '48'), ('CACCAAACCACA', '4', '8'), ('CACCCCCAACCA', '6', '576'), ('ACCCCAAACACC', '6', '144'), ('CCCACAAACAAC', '6', '96')) t(graph_id, trees, circuits)")
+@published("critical_groups", "SELECT * FROM (VALUES ('ACACCAAAACCA', '12', '288'), ('CCAACAACCAAC', '12', '48'), ('CACCAAACCACA', '4', '8'), ('CACCCCCAACCA', '6', '576'), ('ACCCCAAACACC', '6', '144'), ('CCCACAAACAAC', '6', '96')) t(graph_id, trees, circuits)")
 def critical_groups(spark, d):
     arcs = generators.arc_table(spark, {s: counting.circular_graph(s, k) for s, k in _LITERALS})
     return counting.graph_invariants(arcs).select("graph_id", "trees", "circuits")
 
 
-@query("nerve_homology", "SELECT * FROM (VALUES ('sphere', '0'), ('torus', 'Z^2'), ('projective plane', 'Z/2')) t(surface, h1)")
+@published("nerve_homology", "SELECT * FROM (VALUES ('sphere', '0'), ('torus', 'Z^2'), ('projective plane', 'Z/2')) t(surface, h1)")
 def nerve_homology(spark, d):
     from strandweave.operators import exact
 
