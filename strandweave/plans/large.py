@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strandweave.operators import large_matrices, long_sequences, nerve, paths
+from strandweave.operators import frontier, graphs, large_matrices, long_sequences, nerve, paths
 from strandweave.plans import registry as r
 
 #: Every source as one circular sequence: its documents in the order of their ids.
@@ -106,3 +106,25 @@ def return_circles(spark, d):
     after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_partkey"))
     arcs = back.select(F.lit(0).alias("graph_id"), F.col("l_partkey").alias("u"), after.alias("v")).where("v is not null")
     return paths.strong_components(arcs).select(F.col("v").alias("part"), "component")
+
+
+# ---------------------------------------------------------------- frontier
+
+_KIND = "CASE WHEN event_type IN ('click', 'view') THEN 'browse' WHEN event_type = 'error' THEN 'error' ELSE 'trade' END"
+_M = "coalesce(max(m) FILTER (WHERE u = '{0}' AND v = '{1}'), 0) AS {2}".format
+_FREE = ", ".join(_M(u, v, n) for u, v, n in (("browse", "error", "be"), ("error", "browse", "eb"), ("browse", "trade", "bt"), ("trade", "browse", "tb"), ("error", "trade", "et"), ("trade", "error", "te"), ("browse", "browse", "bb"), ("error", "error", "ee"), ("trade", "trade", "tt")))
+
+
+@r.query("balanced_walk_parts", f"""
+WITH k AS (SELECT user_id, ts, event_id, {_KIND} AS kind FROM events),
+a AS (SELECT user_id AS graph_id, kind AS u, coalesce(lead(kind) OVER w, first_value(kind) OVER w) AS v FROM k WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+g AS MATERIALIZED (SELECT graph_id, {_FREE} FROM (SELECT graph_id, u, v, count(*) AS m FROM a GROUP BY 1, 2, 3) GROUP BY 1),
+x AS (SELECT *, unnest(range(be + 1)) AS x1 FROM g), y AS (SELECT *, unnest(range(bt + 1)) AS x2 FROM x), z AS (SELECT *, unnest(range(eb + 1)) AS x3 FROM y), t AS (SELECT *, unnest(range(et + 1)) AS x4 FROM z WHERE x1 + x2 - x3 BETWEEN 0 AND tb),
+n AS (SELECT graph_id, count(*) FILTER (WHERE x3 + x4 - x1 BETWEEN 0 AND te) AS n FROM t GROUP BY 1)
+SELECT graph_id, CAST(n * (bb + 1) * (ee + 1) * (tt + 1) AS VARCHAR) AS choices FROM n JOIN g USING (graph_id)""")
+def balanced_walk_parts(spark, d):
+    """How many parts of each user's walk between kinds of events are balanced: the kinds are vertices, the steps arcs."""
+    kind = F.when(F.col("event_type").isin("click", "view"), "browse").when(F.col("event_type") == "error", "error").otherwise("trade")
+    events = r.table(spark, d, "events").withColumn("kind", kind)
+    arcs = graphs.walk_arcs(events, "user_id", ["ts", "event_id"], "kind", F.to_date("ts"))
+    return frontier.balanced_choices(arcs).select("graph_id", F.col("choices").cast("string").alias("choices"))

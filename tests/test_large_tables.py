@@ -1,13 +1,13 @@
 """Large matrices, nerves and graphs as tables against plain versions."""
 
 import random
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandweave.operators import exact, large_matrices as lm, nerve, paths, pools
+from strandweave.operators import exact, frontier, large_matrices as lm, nerve, paths, pools
 
 
 def table(spark, rows):
@@ -200,3 +200,28 @@ def test_strong_components(spark, trims):
     df = spark.createDataFrame([a[:3] for a in rows], "graph_id int, u long, v long").repartition(3)
     assert {tuple(r) for r in paths.strong_components(df, trims).collect()} == plain_strong(rows)
     assert paths.strong_components(df.where("false")).count() == 0
+
+
+# ------------------------------------------------------------ frontier
+
+
+def plain_choices(arcs):
+    count = 0
+    for choice in product(*(range(m + 1) for _, _, m in arcs)):
+        over = {}
+        for c, (u, v, _) in zip(choice, arcs):
+            over[u] = over.get(u, 0) - c
+            over[v] = over.get(v, 0) + c
+        count += not any(over.values())
+    return count
+
+
+def test_balanced_choices(spark):
+    rng = random.Random(8)
+    graphs = {g: [(rng.randrange(4), rng.randrange(4), rng.randint(1, 3)) for _ in range(rng.randint(1, 7))] for g in range(12)}
+    graphs = {g: [(u, v, m) for n, (u, v, m) in enumerate(a) if (u, v) not in {b[:2] for b in a[:n]}] for g, a in graphs.items()}
+    df = spark.createDataFrame([(g, *a) for g, arcs in graphs.items() for a in arcs], "graph_id int, u int, v int, m long").repartition(3)
+    got = {r["graph_id"]: (int(r["choices"]), r["peak"]) for r in frontier.balanced_choices(df).collect()}
+    assert {g: n for g, (n, _) in got.items()} == {g: plain_choices(a) for g, a in graphs.items()}
+    assert all(p >= 1 for _, p in got.values())
+    assert frontier.balanced_choices(df.where("false")).count() == 0
