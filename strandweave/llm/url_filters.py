@@ -14,7 +14,8 @@ query and fragment are dropped.  It is a map-only operator: no shuffle, and
 memory bounded by one Arrow batch of hosts and paths.
 
 Edge cases: a null URL or one without "://" has an empty host and path, fits
-no rule and gets the default verdict; repeated rows are judged alike; an empty
+no rule and gets the default verdict; of fitting rules of equal length the
+first in the list decides; repeated rows are judged alike; an empty
 table gives no rows; other columns are ignored.
 """
 
