@@ -128,3 +128,13 @@ def balanced_walk_parts(spark, d):
     events = r.table(spark, d, "events").withColumn("kind", kind)
     arcs = graphs.walk_arcs(events, "user_id", ["ts", "event_id"], "kind", F.to_date("ts"))
     return frontier.balanced_choices(arcs).select("graph_id", F.col("choices").cast("string").alias("choices"))
+
+
+@r.query("supplier_part_units", f"""
+WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT {_MADE} FROM lineitem), s AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e), {_LEAST}
+SELECT count(*) - count(*) FILTER (WHERE v = c) AS pivots, CAST(0 AS BIGINT) AS left_over FROM l""")
+def supplier_part_units(spark, d):
+    """Unit pivots of the incidence matrix of suppliers and parts over the integers; a graph leaves nothing over."""
+    pairs = r.table(spark, d, "lineitem").select(F.col("l_suppkey") * 2**31 + F.col("l_partkey"), F.col("l_suppkey") * 2, F.col("l_partkey") * 2 + 1).toDF("i", "a", "b").distinct()
+    pivots, left = large_matrices.unit_pivots(pairs.select("i", F.explode(F.map_from_arrays(F.array("a", "b"), F.array(F.lit(1), F.lit(-1)))).alias("j", "value")))
+    return left.agg(F.lit(pivots).cast("long").alias("pivots"), F.count("*").alias("left_over"))

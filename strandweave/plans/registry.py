@@ -567,4 +567,4 @@ def cover_counts(spark, d):
     return counting.cover_counts(part, 4, cap=2000)
 
 
-from strandweave.plans import files, kernels, large, streams  # noqa: E402,F401  (add their queries)
+from strandweave.plans import checks, files, kernels, large, streams  # noqa: E402,F401  (add their queries)
