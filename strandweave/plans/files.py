@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandweave.plans import registry as r
 from strandweave.session import Scratch
+from strandweave.sources import fasta_ranges as ranges
 from strandweave.sources import sequences as src
 
 
@@ -59,3 +60,12 @@ def resumed_results(spark, d):
     results.add("run", nation.where("batch % 2 = 0").withColumn("resumed", F.lit(False)))
     results.add("run", results.pending("run", nation).withColumn("resumed", F.lit(True)))
     return results.rows().where("sig = 'run'").select("batch", "name", "resumed")
+
+
+@r.query("fasta_ranges", f"SELECT 'd' || seq_id AS name, coalesce(source, '') || '>' || coalesce(lang, '') AS description, s AS seq FROM ({r.SEQS})")
+def fasta_ranges(spark, d):
+    """The same round trip through the source of byte ranges, in small ranges and chunks."""
+    path = f"{Scratch(spark, 'files').root}/fasta"
+    head = F.concat(F.lit("d"), F.col("seq_id").cast("string"), F.lit(" "), F.coalesce("source", F.lit("")), F.lit(">"), F.coalesce("lang", F.lit("")))
+    src.write_fasta(r.dna(spark, d).select(head.alias("name"), F.coalesce("seq", F.lit("")).alias("seq")), path)
+    return ranges.whole_records(ranges.read(spark, path, 1 << 18, 1 << 12)).select("name", "description", "seq")
