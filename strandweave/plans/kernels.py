@@ -345,7 +345,13 @@ def three_counts(spark, d):
 # ---------------------------------------------------------------- encoders and streams
 
 
-@r.query("local_alignments")
+@r.query("local_alignments", """
+WITH RECURSIVE p AS (SELECT * FROM (SELECT p_partkey, p_name AS a, lag(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS b FROM part) WHERE b IS NOT NULL),
+h AS (SELECT p_partkey, a, b, 0 AS i, [0 FOR j IN range(length(b) + 1)] AS row, 0 AS best FROM p
+  UNION ALL SELECT p_partkey, a, b, i + 1, next, greatest(best, list_max(next)) FROM (
+    SELECT *, [list_max([x[t + 1] - 2 * (j - t) FOR t IN range(j + 1)]) FOR j IN range(length(b) + 1)] AS next FROM (
+      SELECT *, [CASE WHEN j = 0 THEN 0 ELSE greatest(0, row[j] + CASE WHEN substr(a, i + 1, 1) = substr(b, j, 1) THEN 2 ELSE -1 END, row[j + 1] - 2) END FOR j IN range(length(b) + 1)] AS x FROM h WHERE i < length(a))))
+SELECT p_partkey, CAST(best AS BIGINT) AS score FROM h WHERE i = length(a)""")
 def local_alignments(spark, d):
     """Smith-Waterman score of each part name with the name of the part before it."""
     from pyspark.sql import Window
