@@ -30,6 +30,21 @@ def walk_arcs(events: DataFrame, graph: str, order: list[str], symbol: str, shar
     return steps.select("graph_id", "u", F.coalesce("v", "after").alias("v")).groupBy("graph_id", "u", "v").agg(F.count("*").alias("m"))
 
 
+def ahead(rows: DataFrame, key: str, order: str, value, shard) -> DataFrame:
+    """Adds ``ahead``: ``value`` of the next row of the same key in the order (null for the last).
+
+    ``shard`` never decreases along the order; a shard is ordered by one task,
+    and only the first row of each shard is ordered by key, so a key that holds
+    most rows does not land in one task.
+    """
+    cut = rows.withColumn("_value", value).withColumn("_s", shard)
+    inside = Window.partitionBy(key, "_s").orderBy(order)
+    heads = cut.groupBy(key, "_s").agg(F.min_by("_value", order).alias("_first"))
+    heads = heads.select(F.col(key).alias("_k"), F.col("_s").alias("_t"), F.lead("_first").over(Window.partitionBy(key).orderBy("_s")).alias("_after"))
+    met = cut.withColumn("_next", F.lead("_value").over(inside)).join(heads, F.col(key).eqNullSafe(F.col("_k")) & F.col("_s").eqNullSafe(F.col("_t")), "left")
+    return met.withColumn("ahead", F.coalesce("_next", "_after")).drop("_value", "_s", "_next", "_k", "_t", "_after")
+
+
 def degrees(arcs: DataFrame) -> DataFrame:
     """(graph_id, v, indegree, outdegree) with multiplicity, loops included."""
     ends = arcs.select("graph_id", F.col("u").alias("v"), F.lit(0).cast("long").alias("i"), F.col("m").alias("o")).unionByName(arcs.select("graph_id", "v", F.col("m").alias("i"), F.lit(0).cast("long").alias("o")))

@@ -354,9 +354,9 @@ h AS (SELECT p_partkey, a, b, 0 AS i, [0 FOR j IN range(length(b) + 1)] AS row,
 SELECT p_partkey, CAST(best AS BIGINT) AS score FROM h WHERE i = length(a)""")
 def local_alignments(spark, d):
     """Smith-Waterman score of each part name with the name of the part before it."""
-    from pyspark.sql import Window
-
-    pairs = r.table(spark, d, "part").select("p_partkey", F.col("p_name").alias("a"), F.lag("p_name").over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("b")).where("b is not null")
+    parts = r.table(spark, d, "part").select("p_brand", "p_partkey", "p_name")
+    pairs = graphs.ahead(parts, "p_brand", "p_partkey", F.struct("p_partkey", "p_name"), F.expr("p_partkey div 10000"))
+    pairs = pairs.where("ahead is not null").select("ahead.p_partkey", F.col("ahead.p_name").alias("a"), F.col("p_name").alias("b"))
 
     def run(batches):
         for pdf in batches:

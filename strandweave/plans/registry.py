@@ -228,8 +228,8 @@ def least_rotations(spark, d):
 WITH p AS (SELECT p_partkey, p_name AS a, lead(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS b FROM part)
 SELECT p_partkey, len([i for i in range(1, least(length(a), length(b)) + 1) if substr(a, i, 1) <> substr(b, i, 1)]) AS n FROM p WHERE b IS NOT NULL""")
 def differing_positions(spark, d):
-    w = Window.partitionBy("p_brand").orderBy("p_partkey")
-    pairs = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("a"), F.lead("p_name").over(w).alias("b")).where("b is not null")
+    parts = table(spark, d, "part").select("p_brand", "p_partkey", F.col("p_name").alias("a"))
+    pairs = graphs.ahead(parts, "p_brand", "p_partkey", F.col("a"), F.expr("p_partkey div 10000")).select("p_partkey", "a", F.col("ahead").alias("b")).where("b is not null")
     return pairs.select("p_partkey", fs.differing_positions("a", "b").alias("n"))
 
 

@@ -28,11 +28,13 @@ def local_session(app: str = "strandweave", cores: int | str = 8, partitions: in
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can see: spark.checkpoint.dir of the session.
 
-    Only where the setting is absent (tests, notebooks on one machine) a
-    temporary folder is chosen and recorded in the session.
+    Only where the setting is absent and the master is local (tests, notebooks
+    on one machine) a temporary folder is chosen and recorded in the session.
     """
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_dir = os.path.join(tempfile.gettempdir(), "strandweave-checkpoints")
         spark.conf.set("spark.checkpoint.dir", set_dir)
     return set_dir.rstrip("/")

@@ -104,7 +104,11 @@ def write_fasta(seqs: DataFrame, path: str, width: int = 70) -> None:
 
 
 class ResultTable:
-    """Batch results that a run can resume from: one row per (sig, batch), never computed twice for one signature."""
+    """Batch results that a run can resume from, a partition for each (sig, batch).
+
+    Adding a batch again, by a retry after a partial write or by a second
+    writer, replaces its partition, so its results are there once.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path, schema
@@ -122,4 +126,5 @@ class ResultTable:
 
     def add(self, sig: str, results: DataFrame) -> None:
         names = [c.strip().split()[0] for c in self.schema.split(",")]
-        results.select(F.lit(sig).alias("sig"), F.col("batch").cast("long").alias("batch"), *names).write.mode("append").parquet(self.path)
+        made = results.select(F.lit(sig).alias("sig"), F.col("batch").cast("long").alias("batch"), *names)
+        made.write.partitionBy("sig", "batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.path)

@@ -254,3 +254,29 @@ def test_walks_in_shards_and_upper_medians(spark):
     for k in ("p", "q", None):
         own = sorted(v for a, v in values if a == k)
         assert got[k] == (len(own), own[len(own) // 2])
+
+
+def test_results_added_again_are_there_once(spark, tmp_path):
+    from strandweave.sources.sequences import ResultTable
+
+    table = ResultTable(spark, str(tmp_path / "results"), "name string, n long")
+    batches = spark.createDataFrame([(i, f"b{i}", 2 * i) for i in range(6)], "batch long, name string, n long")
+    assert table.rows().count() == 0 and table.pending("a/b=c", batches).count() == 6
+    table.add("a/b=c", batches.where("batch < 4"))
+    table.add("a/b=c", batches.where("batch > 1"))  # a second writer, or a retry
+    table.add("other", batches.where("batch = 0"))
+    got = sorted(tuple(r) for r in table.rows().where("sig = 'a/b=c'").select("batch", "name", "n").collect())
+    assert got == [(i, f"b{i}", 2 * i) for i in range(6)] and table.pending("a/b=c", batches).count() == 0
+    assert table.pending("other", batches).count() == 5
+
+
+@pytest.mark.parametrize("shard", [1, 3, 1000])
+def test_next_row_in_shards(spark, shard):
+    rows = [("a", i * 2, f"v{i}") for i in range(20)] + [("b", 5, "x"), (None, 1, "n1"), (None, 9, None), (None, 12, "n3")]
+    df = spark.createDataFrame(rows, "k string, o int, v string").repartition(3)
+    got = {(r["k"], r["o"]): r["ahead"] for r in graphs.ahead(df, "k", "o", F.struct("o", "v"), F.expr(f"o div {shard}")).collect()}
+    assert len(got) == len(rows)
+    for k in ("a", "b", None):
+        own = sorted((o, v) for key, o, v in rows if key == k) if k else [(1, "n1"), (9, None), (12, "n3")]
+        for (o, _), after in zip(own, [*own[1:], None]):
+            assert (tuple(got[k, o]) if got[k, o] else None) == after
