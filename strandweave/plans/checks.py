@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.functions import sequences as fs
-from strandweave.operators import graphs, words
+from strandweave.operators import complements, graphs, words
 from strandweave.plans import registry as r
 
 
@@ -77,3 +77,23 @@ def spectrum_sides(spark, d):
     sides = words.word_counts(seqs.select("lang", "seq"), 9, circular=True, keys=("lang",))
     one = sides.groupBy("kmer").agg(F.count("*").alias("n"), F.min("lang").alias("side"))
     return one.where("n = 1").select("kmer", "side")
+
+
+_STATUS = "[CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT), CAST(sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS BIGINT), CAST(sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) AS BIGINT)]"
+_GOAL = [10, 12, 11]
+
+
+@r.query("complement_triples", f"""
+WITH c AS (SELECT o_custkey AS id, {_STATUS} AS p FROM orders GROUP BY 1),
+g AS MATERIALIZED (SELECT p, count(*) AS n, min(id) AS f FROM c WHERE p[1] <= {_GOAL[0]} AND p[2] <= {_GOAL[1]} AND p[3] <= {_GOAL[2]} GROUP BY 1),
+t AS (SELECT a.p AS a, b.p AS b, c.p AS c, a.n AS na, b.n AS nb, c.n AS nc, a.f AS fa, b.f AS fb, c.f AS fc FROM g a JOIN g b ON a.p <= b.p
+  JOIN g c ON c.p = [{_GOAL[0]} - a.p[1] - b.p[1], {_GOAL[1]} - a.p[2] - b.p[2], {_GOAL[2]} - a.p[3] - b.p[3]] AND b.p <= c.p),
+w AS (SELECT *, CASE WHEN a = c THEN na * (na - 1) * (na - 2) // 6 WHEN a = b THEN na * (na - 1) // 2 * nc WHEN b = c THEN na * (nb * (nb - 1) // 2) ELSE na * nb * nc END AS ways FROM t)
+SELECT array_to_string(a, ',') || ';' || array_to_string(b, ',') || ';' || array_to_string(c, ',') AS vectors, fa || ',' || fb || ',' || fc AS firsts, ways FROM w WHERE ways > 0""")
+def complement_triples(spark, d):
+    """Classes of three customers whose order-status counts add up to (10, 12, 11)."""
+    n = lambda s: F.sum((F.col("o_orderstatus") == s).cast("long"))
+    rows = r.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.array(n("F"), n("O"), n("P")).alias("p"))
+    found = complements.complement_classes(rows, _GOAL, 3)
+    spelled = F.array_join(F.transform("vectors", lambda v: F.array_join(v.cast("array<string>"), ",")), ";")
+    return found.select(spelled.alias("vectors"), F.array_join(F.col("firsts").cast("array<string>"), ",").alias("firsts"), "ways")

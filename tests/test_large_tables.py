@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandweave.operators import exact, frontier, large_matrices as lm, nerve, paths, pools
+from strandweave.operators import complements, exact, frontier, large_matrices as lm, nerve, paths, pools
 
 
 def table(spark, rows):
@@ -225,3 +225,28 @@ def test_balanced_choices(spark):
     assert {g: n for g, (n, _) in got.items()} == {g: plain_choices(a) for g, a in graphs.items()}
     assert all(p >= 1 for _, p in got.values())
     assert frontier.balanced_choices(df.where("false")).count() == 0
+
+
+# ------------------------------------------------------------ complements
+
+
+@pytest.mark.parametrize("members", [2, 3])
+def test_complements(spark, members):
+    rng = random.Random(3)
+    rows = [(i, [rng.randrange(3), rng.randrange(4)]) for i in range(40)] + [(90, None), (91, [1]), (92, [-1, 2]), (93, [9, 9]), (94, [None, 1])]
+    target = [2, 4] if members == 2 else [3, 5]
+    want = {}
+    for combo in combinations([r for r in rows if r[1] and len(r[1]) == 2 and None not in r[1] and min(r[1]) >= 0], members):
+        if [sum(x) for x in zip(*(v for _, v in combo))] == target:
+            key = tuple(sorted(tuple(v) for _, v in combo))
+            want[key] = want.get(key, 0) + 1
+    least = {}
+    for i, v in rows:
+        if v:
+            least.setdefault(tuple(v), i)
+    df = spark.createDataFrame(rows, "id long, p array<long>").repartition(3)
+    got = complements.complement_classes(df, target, members).collect()
+    assert {tuple(tuple(v) for v in r["vectors"]): r["ways"] for r in got} == want and len(got) == len(want)
+    assert all(r["firsts"] == [least[tuple(v)] for v in r["vectors"]] for r in got)
+    with pytest.raises(ValueError):
+        complements.complement_classes(df, [10**4, 10**4], 2)
