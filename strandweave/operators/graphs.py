@@ -296,3 +296,29 @@ def upper_median(values: DataFrame, key: str, value: str, shards: int = 64) -> D
     upto = F.col("before") + F.sum("c").over(Window.partitionBy(key).orderBy(value))
     chosen = chosen.withColumn("upto", upto).where((F.expr("n div 2") < F.col("upto")) & (F.expr("n div 2") >= F.col("upto") - F.col("c")))
     return chosen.select(key, "n", F.col(value).alias("median"))
+
+
+def detachments(arcs: DataFrame) -> DataFrame:
+    """(graph_id, vertex, head, tail, u, v, m): the arcs that change where a vertex of three arcs in and out is split.
+
+    ``arcs`` have text vertices.  For each vertex with three arcs in, three out
+    and no loop, and each choice of one arc in (``head``, from 1) and one out
+    (``tail``): the chosen arc in ends at a new vertex (the name and an
+    apostrophe), from which the other two arcs out now leave, and an arc leads
+    from the old vertex to the new one.  Both then have two arcs in and out.
+    All other arcs of the graph stay; nothing else is copied.
+    """
+    looped = arcs.where("u = v").select("graph_id", F.col("u").alias("vertex")).distinct()
+    split = degrees(arcs).where("indegree = 3 and outdegree = 3").select("graph_id", F.col("v").alias("vertex")).join(looped, ["graph_id", "vertex"], "left_anti")
+    copies = arcs.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m")))).select("graph_id", "u", "v", "_c")
+    number = lambda own, other: F.row_number().over(Window.partitionBy("graph_id", own).orderBy(other, "_c")).cast("int")
+    choice = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))
+    both = split.withColumn("head", choice).withColumn("tail", choice)
+    new = F.concat("vertex", F.lit("'"))
+    ins = copies.join(split, (copies.graph_id == split.graph_id) & (copies.v == split.vertex)).select(copies.graph_id, "u", "v", "_c").withColumn("_i", number("v", "u")).select("graph_id", F.col("v").alias("vertex"), F.col("u").alias("far"), "_i")
+    outs = copies.join(split, (copies.graph_id == split.graph_id) & (copies.u == split.vertex)).select(copies.graph_id, "u", "v", "_c").withColumn("_i", number("u", "v")).select("graph_id", F.col("u").alias("vertex"), F.col("v").alias("far"), "_i")
+    key = ["graph_id", "vertex", "head", "tail"]
+    ends = both.join(ins, ["graph_id", "vertex"]).select(*key, F.col("far").alias("u"), F.when(F.col("_i") == F.col("head"), new).otherwise(F.col("vertex")).alias("v"))
+    starts = both.join(outs, ["graph_id", "vertex"]).select(*key, F.when(F.col("_i") == F.col("tail"), F.col("vertex")).otherwise(new).alias("u"), F.col("far").alias("v"))
+    middle = both.select(*key, F.col("vertex").alias("u"), new.alias("v"))
+    return ends.unionByName(starts).unionByName(middle).groupBy(*key, "u", "v").agg(F.count("*").alias("m"))

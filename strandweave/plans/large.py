@@ -138,3 +138,27 @@ def supplier_part_units(spark, d):
     pairs = r.table(spark, d, "lineitem").select(F.col("l_suppkey") * 2**31 + F.col("l_partkey"), F.col("l_suppkey") * 2, F.col("l_partkey") * 2 + 1).toDF("i", "a", "b").distinct()
     pivots, left = large_matrices.unit_pivots(pairs.select("i", F.explode(F.map_from_arrays(F.array("a", "b"), F.array(F.lit(1), F.lit(-1)))).alias("j", "value")))
     return left.agg(F.lit(pivots).cast("long").alias("pivots"), F.count("*").alias("left_over"))
+
+
+_LABELS = "SELECT p_partkey AS seq_id, p_name || p_brand || p_type AS s FROM part"
+
+
+@r.query("detachments", f"""
+WITH t AS (SELECT graph_id, u, v, row_number() OVER (PARTITION BY graph_id, u, v) AS c FROM (
+  SELECT seq_id AS graph_id, kmer AS u, coalesce(lead(kmer) OVER w, first_value(kmer) OVER w) AS v FROM ({r.circular(_LABELS, 1)}) WINDOW w AS (PARTITION BY seq_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))),
+x AS (SELECT graph_id, v AS vertex FROM t GROUP BY 1, 2 HAVING count(*) = 3 AND count(*) FILTER (WHERE u = v) = 0),
+i AS (SELECT t.graph_id, t.v AS vertex, t.u AS far, row_number() OVER (PARTITION BY t.graph_id, t.v ORDER BY t.u, t.c) AS n FROM t JOIN x ON x.graph_id = t.graph_id AND x.vertex = t.v),
+o AS (SELECT t.graph_id, t.u AS vertex, t.v AS far, row_number() OVER (PARTITION BY t.graph_id, t.u ORDER BY t.v, t.c) AS n FROM t JOIN x ON x.graph_id = t.graph_id AND x.vertex = t.u),
+k AS (SELECT graph_id, vertex, CAST(h AS INTEGER) AS head, CAST(l AS INTEGER) AS tail FROM x, range(1, 4) a(h), range(1, 4) b(l)),
+e AS (SELECT k.*, far AS u, CASE WHEN n = head THEN k.vertex || '''' ELSE k.vertex END AS v FROM k JOIN i ON i.graph_id = k.graph_id AND i.vertex = k.vertex
+  UNION ALL SELECT k.*, CASE WHEN n = tail THEN k.vertex ELSE k.vertex || '''' END, far FROM k JOIN o ON o.graph_id = k.graph_id AND o.vertex = k.vertex
+  UNION ALL SELECT k.*, k.vertex, k.vertex || '''' FROM k)
+SELECT graph_id, vertex, head, tail, u, v, count(*) AS m FROM e GROUP BY ALL""")
+def detachments(spark, d):
+    """Letters that occur three times in a part's name, brand and type, split in nine ways in the graph of which letter follows which."""
+    from strandweave.operators.words import next_on_circle, occurrences
+
+    part = r.table(spark, d, "part").select(F.col("p_partkey").alias("seq_id"), F.concat("p_name", "p_brand", "p_type").alias("seq"))
+    occ = occurrences(part, 1).withColumn("strand", F.lit(0)).withColumn("n", F.lit(0))
+    arcs = next_on_circle(occ).groupBy(F.col("seq_id").alias("graph_id"), F.col("kmer").alias("u"), F.col("head").alias("v")).agg(F.count("*").alias("m"))
+    return graphs.detachments(arcs)

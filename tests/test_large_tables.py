@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandweave.operators import complements, exact, frontier, large_matrices as lm, nerve, paths, pools
+from strandweave.operators import complements, exact, frontier, graphs, large_matrices as lm, nerve, paths, pools
 
 
 def table(spark, rows):
@@ -250,3 +250,30 @@ def test_complements(spark, members):
     assert all(r["firsts"] == [least[tuple(v)] for v in r["vectors"]] for r in got)
     with pytest.raises(ValueError):
         complements.complement_classes(df, [10**4, 10**4], 2)
+
+
+# ------------------------------------------------------------ detachments
+
+
+def test_detachments_keep_balance(spark):
+    rng = random.Random(14)
+    arcs = {}
+    for g in range(6):
+        walk = [rng.choice("ABCDE") for _ in range(14)]
+        for u, v in zip(walk, walk[1:] + walk[:1]):
+            arcs[g, u, v] = arcs.get((g, u, v), 0) + 1
+    df = spark.createDataFrame([(*k, m) for k, m in arcs.items()], "graph_id int, u string, v string, m long").repartition(3)
+    got = {}
+    for r in graphs.detachments(df).collect():
+        got.setdefault((r["graph_id"], r["vertex"]), {}).setdefault((r["head"], r["tail"]), {})[r["u"], r["v"]] = r["m"]
+    candidates = {(g, x) for g in range(6) for x in "ABCDE" if sum(m for (h, u, _), m in arcs.items() if h == g and u == x) == 3 and (g, x, x) not in arcs}
+    assert set(got) == candidates and candidates
+    for (_, x), splits in got.items():
+        assert set(splits) == {(a, b) for a in (1, 2, 3) for b in (1, 2, 3)}
+        for changed in splits.values():
+            for end in (x, x + "'"):
+                assert sum(m for (u, _), m in changed.items() if u == end) == sum(m for (_, v), m in changed.items() if v == end) == 2
+            assert sum(changed.values()) == 7
+    (g, x), splits = sorted(got.items())[0]
+    into = sorted(u for (h, u, v), m in arcs.items() for _ in range(m) if h == g and v == x)
+    assert all(changed[into[a - 1], x + "'"] == 1 for (a, _), changed in splits.items())
