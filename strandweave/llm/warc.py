@@ -12,9 +12,12 @@ Every level groups by (file, node), at most ``fanout`` rows a group, so no
 task gathers a file; everything is built from SQL functions.
 
 Edge cases: nulls in url or html are empty strings; records without a page_id
-are spread over files -1 to -4096 by content; repeated rows are records of their own, ordered by content; a record that
-only one replica has is reported as missing or extra; empty replicas give no
-rows; other columns are ignored.
+are spread over files -1 to -4096 by content; the records of one page_id are
+split by digest; repeated rows are records of their own, ordered by content; a
+record of any length is hashed whole where it is read, and only its digest
+travels; a record that only one replica has is reported as missing or extra;
+empty replicas give no rows; other columns of the pages are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 from strandweave.session import Scratch
 
 FANOUT, RECORDS_PER_FILE = 8, 128
+#: Hex digits of a digest that name a shard of a page_id's records.
+SHARD_DIGITS = 3
 #: Files that records without a page_id are spread over.
 NULL_FILES = 4096
 
@@ -39,10 +44,23 @@ def records(pages: DataFrame, per_file: int = RECORDS_PER_FILE) -> DataFrame:
 
 
 def indexed(made: DataFrame) -> DataFrame:
-    """Records in the order of their files, with ordinal and offset; only the columns given are shuffled."""
-    order = Window.partitionBy("file").orderBy("page_id", "digest")
-    made = made.withColumn("ordinal", F.row_number().over(order).cast("long") - 1)
-    return made.withColumn("offset", F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("length"))
+    """Records in the order of their files (page_id, digest), with ordinal and offset.
+
+    The records of one page_id are cut into shards by the head of their digest:
+    ordinals and offsets are counted inside shards, and over the shards of a
+    file, so a page_id that holds most records is not ordered by one task.
+    """
+    key = ["file", "_page", "_shard"]
+    cut = made.withColumn("_page", F.coalesce("page_id", F.lit(0))).withColumn("_shard", F.substring("digest", 1, SHARD_DIGITS))
+    inside = Window.partitionBy(*key).orderBy("digest")
+    before = Window.partitionBy("file").orderBy("_page", "_shard").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    shards = cut.groupBy(*key).agg(F.count("*").alias("_n"), F.sum("length").alias("_l"))
+    shards = shards.select(*key, F.coalesce(F.sum("_n").over(before), zero).alias("_n"), F.coalesce(F.sum("_l").over(before), zero).alias("_l"))
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = cut.withColumn("_i", F.row_number().over(inside).cast("long") - 1).withColumn("_o", F.sum("length").over(upto) - F.col("length"))
+    placed = cut.join(shards, key)
+    return placed.select(*made.columns, (F.col("_i") + F.col("_n")).alias("ordinal"), (F.col("_o") + F.col("_l")).alias("offset"))
 
 
 def leaves(made: DataFrame) -> DataFrame:
@@ -107,7 +125,9 @@ def fixity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit of a damaged replica of all pages; one row per record that differs."""
     made = records(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     made = made.select("page_id", "file", "length", "digest", F.sha2(F.concat("record", F.lit("!")), 256).alias("hurt"))
-    made = Scratch(spark, "warc").save(indexed(made), "records")
+    scratch = Scratch(spark, "warc")
+    # written once: the index reads the digests twice, the pages are hashed once
+    made = scratch.save(indexed(scratch.save(made, "digests")), "records")
     differing = audit(leaves(made), leaves(damaged(made)))
     names = made.select("file", "ordinal", "page_id")
     return differing.join(names, ["file", "ordinal"], "left").select("page_id", "file", "ordinal", "offset", "length", "expected", "found", "status")

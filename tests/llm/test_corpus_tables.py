@@ -168,6 +168,23 @@ def test_offsets_are_gapless(made):
         by_file[r["file"]] = (at + r["length"], n + 1)
 
 
+def test_one_page_id_for_most_records_and_clashing_names(spark):
+    pages = [(7, f"u{i % 900}", "h" * (i % 13), "f", i, "d") for i in range(2500)] + [(i, "v", None, "f", 1, "d") for i in range(100)] + [(None, f"n{i % 3}", "x", "f", 2, "d") for i in range(50)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, file string, ordinal int, digest string").repartition(5)
+    rows = warc.indexed(warc.records(df).select("page_id", "file", "length", "digest")).collect()
+    assert len(rows) == len(pages)
+    by_file = {}
+    for r in rows:
+        by_file.setdefault(r["file"], []).append(r)
+    for own in by_file.values():
+        own.sort(key=lambda r: r["ordinal"])
+        assert [(r["page_id"] or 0, r["digest"]) for r in own] == sorted((r["page_id"] or 0, r["digest"]) for r in own)
+        at = 0
+        for n, r in enumerate(own):
+            assert (r["ordinal"], r["offset"]) == (n, at)
+            at += r["length"]
+
+
 def test_audit_finds_exactly_what_differs(spark, made):
     base = warc.leaves(made)
     assert warc.audit(base, base).count() == 0
