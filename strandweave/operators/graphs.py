@@ -6,8 +6,13 @@ session's shared folder each round, so lineage stays short.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandweave.session import Scratch
 
@@ -85,17 +90,69 @@ def complete_de_bruijn(spark, letters: int, k: int) -> DataFrame:
 # ---------------------------------------------------------------- components
 
 
+#: Edges that a task joins before the rounds.
+LOCAL = 1 << 20
+
+
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """A vertex of the component of each of n vertices, the same all over the component."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        if not (live := x != y).any():
+            return root
+        a, b, x, y = a[live], b[live], x[live], y[live]
+        up = np.arange(n)
+        up[np.maximum(x, y)] = np.minimum(x, y)  # of several hooks any one will do
+        while (up != (above := up[up])).any():
+            up = above
+        root = up[root]
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with the same components and vertices: each task makes stars of the edges that it reads, ``LOCAL`` at a time.
+
+    Every vertex of a lot is a ``b`` once, with one vertex of its component as ``a``.
+    """
+    return edges.select("a", "b").mapInArrow(_stars_of, edges.select("a", "b").schema)
+
+
+def _stars_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+
+    def star() -> pa.RecordBatch:
+        lot = pa.Table.from_batches(held)
+        names = pa.concat_arrays([c for at in ("a", "b") for c in lot.column(at).chunks]).dictionary_encode(null_encoding="encode")
+        a, b = np.asarray(names.indices).reshape(2, -1)
+        known = np.asarray(names.dictionary.is_valid())
+        live = known[a] & known[b]
+        root = _roots(a[live], b[live], len(known))
+        return pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(root)), names.dictionary], names=["a", "b"])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= LOCAL:
+            yield star()
+            held.clear()
+    if any(x.num_rows for x in held):
+        yield star()
+
+
 def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     """(node, component): weak components, named by their least node.
 
-    Each round hooks every component to the least one next to it and flattens
+    Tasks first make stars of the edges that they read.  Each round hooks every component to the least one next to it and flattens
     the hooks by pointer jumping, so rounds grow with the logarithm of the
     longest chain; a hub only adds rows that a map-side minimum removes.
     """
     scratch = Scratch(edges.sparkSession, "components")
     ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
-    ends = scratch.save(ends.where("a <> b").distinct(), "edges-0")
-    nodes = edges.select(F.col(a).alias("node")).union(edges.select(F.col(b).alias("node"))).distinct()
+    if isinstance(ends.schema["a"].dataType, (T.StringType, T.IntegralType)) and ends.schema["a"].dataType == ends.schema["b"].dataType:
+        stars = scratch.save(_stars(ends), "stars")
+        nodes, ends = stars.select(F.col("b").alias("node")).distinct(), stars.where("a <> b")
+    else:
+        nodes = ends.select(F.col("a").alias("node")).union(ends.select(F.col("b").alias("node"))).distinct()
+        ends = scratch.save(ends.where("a <> b").distinct(), "edges-0")
     label = scratch.save(nodes.select("node", F.col("node").alias("component")), "label-0")
     step = 0
     while ends.limit(1).count():
@@ -157,7 +214,8 @@ def unitigs(arcs: DataFrame) -> DataFrame:
 
     A graph that is a single cycle has no other vertex and gives no arcs.
     """
-    scratch = Scratch(arcs.sparkSession, "unitigs")
+    scratch = Scratch(arcs.sparkSession, "unitigs", merge=True)
+    arcs = scratch.save(arcs.select("graph_id", "u", "v", "m"), "arcs")
     one = degrees(arcs).where("indegree = 1 and outdegree = 1").select("graph_id", F.col("v").alias("x"))
     one = scratch.save(one, "inner")
     # where each inner vertex leads, skipping over inner vertices, by pointer doubling
@@ -240,14 +298,14 @@ def path_counts(arcs: DataFrame, source: str) -> DataFrame:
 # ---------------------------------------------------------------- intervals and runs
 
 
-def gap_clusters(rows: DataFrame, key: str, start: str, end: str, gap: int, strand: str | None = None) -> DataFrame:
+def gap_clusters(rows: DataFrame, key: str, start: str, end: str, gap: int, strand: str | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
     """Clusters of intervals of a key: a new one begins where the start lies more than ``gap`` beyond
-    all ends so far, or the strand changes.  Adds ``cluster`` (from 0)."""
-    w = Window.partitionBy(key).orderBy(start, end)
+    all ends so far, or the strand changes.  Adds ``cluster`` (from 0); intervals with equal ends are taken in the order of ``ties``."""
+    w = Window.partitionBy(key).orderBy(start, end, *ties)
     if strand:
         rows = rows.withColumn("_turn", F.coalesce((F.lag(strand).over(w) != F.col(strand)).cast("int"), F.lit(0)))
         rows = rows.withColumn("_turns", F.sum("_turn").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_turn")
-        inner = Window.partitionBy(key, "_turns").orderBy(start, end)
+        inner = Window.partitionBy(key, "_turns").orderBy(start, end, *ties)
     else:
         rows, inner = rows.withColumn("_turns", F.lit(0)), w
     reach = F.max(end).over(inner.rowsBetween(Window.unboundedPreceding, -1))
@@ -308,8 +366,11 @@ def detachments(arcs: DataFrame) -> DataFrame:
     from the old vertex to the new one.  Both then have two arcs in and out.
     All other arcs of the graph stay; nothing else is copied.
     """
+    scratch = Scratch(arcs.sparkSession, "detachments", merge=True)
+    arcs = scratch.save(arcs.select("graph_id", "u", "v", "m"), "arcs")
     looped = arcs.where("u = v").select("graph_id", F.col("u").alias("vertex")).distinct()
     split = degrees(arcs).where("indegree = 3 and outdegree = 3").select("graph_id", F.col("v").alias("vertex")).join(looped, ["graph_id", "vertex"], "left_anti")
+    split = scratch.save(split, "split")
     copies = arcs.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m")))).select("graph_id", "u", "v", "_c")
     number = lambda own, other: F.row_number().over(Window.partitionBy("graph_id", own).orderBy(other, "_c")).cast("int")
     choice = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))

@@ -1,5 +1,8 @@
 """Ranks of sparse matrices that are tables (i, j, value): elimination in rounds over the whole cluster.
 
+Rows (x, -x), such as those of a graph's incidence matrix, are eliminated first
+and all together: their pivots are a spanning forest (``_contracted``).
+
 A round chooses many pivots at once.  Every row offers its entry in the
 emptiest of its columns, every column takes the offer of the emptiest row, and
 of two pivots that meet (one has an entry in the other's column) the one that
@@ -15,8 +18,7 @@ order of ties.
 Over the integers only entries 1 and -1 are pivots; what has none of them is
 left over.  Sums that leave 63 bits are an error (ANSI arithmetic).
 
-Rounds are few as long as the matrix stays sparse (of a graph's incidence
-matrix a third of the columns goes in a round).  A dense core wider than
+Rounds are few as long as the matrix stays sparse.  A dense core wider than
 ``CORE`` takes a round for each pivot.  Each round is a written table.
 """
 
@@ -29,6 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandweave.operators.graphs import components
 from strandweave.session import Scratch
 
 #: The default modulus; products of two residues stay below 2**62.
@@ -97,10 +100,31 @@ def _round(entries: DataFrame, p: int | None, scratch: Scratch, step: int) -> tu
 
 
 def _prepared(entries: DataFrame, p: int | None) -> DataFrame:
-    cells = entries.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), _reduced(F.col("value").cast("long"), p).alias("value"))
+    cells = entries.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), _reduced(F.col("value").cast("long"), p).alias("value")).repartition("i")
     return cells.groupBy("i", "j").agg(_reduced(F.sum("value"), p).alias("value")).where("value <> 0")
 
 
+def _contracted(entries: DataFrame, p: int | None, scratch: Scratch) -> tuple[int, DataFrame]:
+    """(pivots, entries that are left) after all rows (x, -x) of a unit x have been eliminated at once.
+
+    Such a row makes two columns equal.  A spanning forest of these rows gives
+    its pivots, every other one of them becomes zero, and in all other rows
+    the columns of a component add up at its least column.
+    """
+    whole = F.sum("value") if p is None else F.pmod(F.sum("value"), F.lit(p))
+    pair = (F.count("*") == 2) & (whole == 0)
+    if p is None:
+        pair &= F.max(F.abs("value")) == 1
+    rows = scratch.save(entries.groupBy("i").agg(F.min("j").alias("a"), F.max("j").alias("b"), pair.alias("pair")), "rows")
+    found = components(rows.where("pair").select("a", "b"), "a", "b")
+    done = found.where("node <> component").count()
+    others = rows.where("not pair").select("i")
+    if not others.limit(1).count():
+        return done, scratch.save(entries.limit(0), "entries")
+    left = entries.join(others, "i", "left_semi").join(found.withColumnRenamed("node", "j"), "j", "left").groupBy("i", F.coalesce("component", "j").alias("j")).agg(_reduced(F.sum("value"), p).alias("value"))
+    return done, scratch.save(left.where("value <> 0"), "entries")
+
+
 def _core_rank(entries: DataFrame, p: int, scratch: Scratch) -> int:
     names = sorted(r["j"] for r in entries.select("j").distinct().collect())  # at most CORE
 
@@ -127,8 +151,8 @@ def rank(entries: DataFrame, p: int = PRIME) -> int:
     """Rank modulo the prime p (below 2**31) of the matrix with these entries; equal places are added up."""
     if not 2 <= p < 2**31:
         raise ValueError("the modulus must be a prime below 2**31")
-    scratch, step, done = Scratch(entries.sparkSession, "rank"), 0, 0
-    left = scratch.save(_prepared(entries, p), "entries")
+    scratch, step = Scratch(entries.sparkSession, "rank"), 0
+    done, left = _contracted(_prepared(entries, p), p, scratch)
     while left.select("j").distinct().limit(CORE + 1).count() > CORE:
         n, left = _round(left, p, scratch, step)
         done, step = done + n, step + 1
@@ -141,8 +165,8 @@ def unit_pivots(entries: DataFrame) -> tuple[int, DataFrame]:
     Nothing left shows that the matrix has only 1 as an elementary divisor, so
     that its cokernel is free.
     """
-    scratch, step, done = Scratch(entries.sparkSession, "unit-pivots"), 0, 0
-    left = scratch.save(_prepared(entries, None), "entries")
+    scratch, step = Scratch(entries.sparkSession, "unit-pivots"), 0
+    done, left = _contracted(_prepared(entries, None), None, scratch)
     while left.where("abs(value) = 1").limit(1).count():
         n, left = _round(left, None, scratch, step)
         done, step = done + n, step + 1

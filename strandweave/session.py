@@ -53,17 +53,20 @@ class Scratch:
     """Named Parquet tables below the shared folder; writing one cuts lineage.
 
     A table is complete once its write has committed, so a lost executor costs
-    at most the tasks that had not committed yet.
+    at most the tasks that had not committed yet.  With ``merge`` its tables
+    are joined by sorting: a table of many rows that compresses well looks
+    small to the optimiser, and would be broadcast through the driver.
     """
 
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, label: str, merge: bool = False):
+        self.spark, self.merge = spark, merge
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        saved = self.spark.read.schema(df.schema).parquet(path)
+        return saved.hint("merge") if self.merge else saved
 
     def release(self) -> None:
         """Let Spark delete the shuffle files of plans that nothing refers to any more."""

@@ -277,3 +277,14 @@ def test_detachments_keep_balance(spark):
     (g, x), splits = sorted(got.items())[0]
     into = sorted(u for (h, u, v), m in arcs.items() for _ in range(m) if h == g and v == x)
     assert all(changed[into[a - 1], x + "'"] == 1 for (a, _), changed in splits.items())
+
+
+def test_a_graph_is_contracted_without_rounds(spark, monkeypatch):
+    edges = [(a, b) for a in range(20) for b in range(20, 330) if (a * b) % 7 == 1]
+    cells = spark.createDataFrame([(e, x, s) for e, ab in enumerate(edges) for x, s in zip(ab, (1, -1))], "i long, j long, value long")
+    monkeypatch.setattr(lm, "_round", None)  # no round is needed
+    monkeypatch.setattr(lm, "CORE", 8)
+    units, left = lm.unit_pivots(cells)
+    found = {r["component"] for r in graphs.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    want = len({x for e in edges for x in e}) - len(found)
+    assert units == want == lm.rank(cells) and not left.count()
