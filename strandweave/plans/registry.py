@@ -428,8 +428,9 @@ t AS (SELECT *, sum(turn) OVER (PARTITION BY user_id ORDER BY lo, hi ROWS UNBOUN
 n AS (SELECT *, CASE WHEN reach IS NULL OR lo - reach > 20000 THEN 1 ELSE 0 END AS new FROM (SELECT *, max(hi) OVER (PARTITION BY user_id, turns ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM t))
 SELECT user_id, event_id, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS cluster FROM n""")
 def gap_clusters(spark, d):
-    e = table(spark, d, "events").select("user_id", "event_id", "event_type", F.unix_seconds(F.col("ts").cast("timestamp")).alias("lo"))
-    return graphs.gap_clusters(e.withColumn("hi", F.col("lo") + 600), "user_id", "lo", "hi", 20000, "event_type").select("user_id", "event_id", "cluster")
+    second = F.rint(F.col("ts").cast("timestamp").cast("double")).cast("long")
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type", second.alias("lo"))
+    return graphs.gap_clusters(e.withColumn("hi", F.col("lo") + 600), "user_id", "lo", "hi", 20000, "event_type", ("event_id",)).select("user_id", "event_id", "cluster")
 
 
 @query("interval_overlaps", """
