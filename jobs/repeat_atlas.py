@@ -34,11 +34,7 @@ POOLS = "pool string, sequences long, repetitive long, letters long, vertices lo
 
 def atlas(seqs: DataFrame, k: int) -> DataFrame:
     """One row for each of (seq_id, pool, seq); sequences without a repeated word have an empty graph."""
-    arcs = words.compacted_arcs(seqs, k).groupBy("seq_id", "tail", "head").agg(F.count("*").alias("m"), F.max("span").alias("span"))
-    vertices = arcs.groupBy("seq_id", "tail").agg(F.sum("m").alias("m"), F.count("*").alias("heads"), F.max("span").alias("span"))
-    graphs = vertices.groupBy("seq_id").agg(
-        F.count("*").alias("vertices"), F.sum("heads").alias("arcs"), F.sum("m").alias("occurrences"), F.max("m").alias("most"),
-        F.count_if(F.col("heads") > 1).alias("branches"), F.max("span").alias("longest"))
+    graphs = words.arc_summary(seqs, k)
     whole = seqs.select("seq_id", "pool", F.length("seq").cast("long").alias("letters"))
     numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("vertices", "arcs", "occurrences", "most", "branches", "longest")]
     return whole.join(graphs, "seq_id", "left").select("seq_id", "pool", "letters", *numbers)

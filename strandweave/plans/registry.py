@@ -51,6 +51,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A table of short rows dealt out evenly, four lots a core: a small file may hold millions of them in one split."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def dna(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
     return docs.select(F.col("doc_id").alias("seq_id"), "source", "lang", fs.pseudo_dna("text").alias("seq"))
@@ -94,7 +99,7 @@ def kmer_document_frequency(spark, d):
 
 @query("circular_kmers", circular("SELECT p_partkey AS seq_id, p_name AS s FROM part", 4).replace("SELECT *", "SELECT seq_id, CAST(i AS BIGINT) AS pos, kmer FROM (SELECT *", 1) + ")")
 def circular_kmers(spark, d):
-    return words.occurrences(table(spark, d, "part").select(F.col("p_partkey").alias("seq_id"), F.col("p_name").alias("seq")), 4)
+    return words.occurrences(dealt(table(spark, d, "part").select(F.col("p_partkey").alias("seq_id"), F.col("p_name").alias("seq"))), 4)
 
 
 @query("repeated_kmers", f"SELECT seq_id, kmer, count(*) AS n FROM ({circular(SEQS, 12)}) GROUP BY 1, 2 HAVING count(*) > 1")
@@ -122,7 +127,7 @@ c AS (SELECT seq_id, content, substr(content, 1, 12) AS tail, right(content, 12)
 
 @query("double_cover", f"WITH {COVER} SELECT seq_id, content, tail, head, m, {BIG('m0')} AS m0, partner, partner = content AS fixed FROM c")
 def double_cover(spark, d):
-    return words.double_cover(dna(spark, d), 12).withColumn("m0", F.col("m0").cast("long"))
+    return words.double_cover(dna(spark, d), 12)
 
 
 @query("double_cover_invariants", f"""
@@ -141,12 +146,7 @@ b AS (SELECT seq_id, x, sum(o) = sum(i) AS ok FROM e GROUP BY 1, 2),
 p AS (SELECT c.seq_id, bool_and(coalesce(q.m, 0) = c.m AND (c.content <> c.partner OR c.m % 2 = 0)) AS paired FROM c LEFT JOIN c q ON q.seq_id = c.seq_id AND q.content = c.partner GROUP BY 1)
 SELECT b.seq_id, bool_and(ok) AS balanced, bool_and(paired) AS paired FROM b JOIN p USING (seq_id) GROUP BY 1""")
 def double_cover_balance(spark, d):
-    c = words.double_cover(dna(spark, d), 12)
-    even = graphs.balance(c.select(F.col("seq_id").alias("graph_id"), F.col("tail").alias("u"), F.col("head").alias("v"), "m"))
-    q = c.select("seq_id", F.col("content").alias("partner"), F.col("m").alias("m2"))
-    ok = (F.coalesce("m2", F.lit(0)) == F.col("m")) & (~F.col("fixed") | (F.col("m") % 2 == 0))
-    paired = c.join(q, ["seq_id", "partner"], "left").groupBy("seq_id").agg(F.bool_and(ok).alias("paired"))
-    return even.select(F.col("graph_id").alias("seq_id"), "balanced").join(paired, "seq_id")
+    return words.cover_balance(dna(spark, d), 12)
 
 
 @query("signed_quotient", f"""
@@ -512,7 +512,7 @@ SELECT seq_id, CAST(f AS INTEGER) AS filter, CAST(sum(y) AS BIGINT) AS total, co
 
 @query("cnn_mean_pool", _pool_sql())
 def cnn_mean_pool(spark, d):
-    part = table(spark, d, "part").select(F.col("p_partkey").alias("seq_id"), F.concat("p_name", "p_brand").alias("seq"))
+    part = dealt(table(spark, d, "part").select(F.col("p_partkey").alias("seq_id"), F.concat("p_name", "p_brand").alias("seq")))
     weights = spark.createDataFrame([(f, o, c, x) for f, cells in _FILTERS.items() for (o, c), x in cells.items()], "filter int, offset int, letter string, weight long")
     return pools.mean_pool(part, weights, spark.createDataFrame(list(_BIAS.items()), "filter int, bias long"), 3)
 
@@ -557,14 +557,14 @@ def fibre_sizes(spark, d):
 @query("spectral_resolution")
 def spectral_resolution(spark, d):
     """Word length from which each customer name, brand and type of a part is alone in its fibre."""
-    part = table(spark, d, "part").select(F.col("p_partkey").alias("seq_id"), F.concat("p_name", "p_brand", "p_type").alias("seq"))
+    part = dealt(table(spark, d, "part").select(F.col("p_partkey").alias("seq_id"), F.concat("p_name", "p_brand", "p_type").alias("seq")))
     return counting.resolutions(part)
 
 
 @query("cover_counts")
 def cover_counts(spark, d):
     """Lattice counts of the double covers of part names as circular sequences, four-letter words."""
-    part = spread(table(spark, d, "part")).select(F.col("p_partkey").alias("seq_id"), fs.pseudo_dna(F.concat("p_name", "p_brand", "p_type")).alias("seq"))
+    part = dealt(table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type")).select(F.col("p_partkey").alias("seq_id"), fs.pseudo_dna(F.concat("p_name", "p_brand", "p_type")).alias("seq"))
     return counting.cover_counts(part, 4, cap=2000)
 
 

@@ -4,6 +4,7 @@ import gzip
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -280,3 +281,53 @@ def test_next_row_in_shards(spark, shard):
         own = sorted((o, v) for key, o, v in rows if key == k) if k else [(1, "n1"), (9, None), (12, "n3")]
         for (o, _), after in zip(own, [*own[1:], None]):
             assert (tuple(got[k, o]) if got[k, o] else None) == after
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_arcs_and_covers_of_a_sequence_are_made_in_its_row(seqs):
+    df, rows = seqs
+    df = df.where("seq_id <> 92")
+    for made in (words.compacted_arcs, words.double_cover, words.inverted_repeats, words.arc_summary):
+        assert shuffles(made(df, 4)) == shuffles(df)
+    got = {r["seq_id"]: tuple(r)[1:] for r in words.inverted_repeats(df, 4).collect()}
+    for i, s in rows.items():
+        if i != 92 and len(s or "") >= 4:
+            at = [(s + s[:3])[x : x + 4] for x in range(len(s))]
+            hits = {w for w in at if ct.rc(w) in at}
+            assert got.get(i) == ((len(hits), sum(w == ct.rc(w) for w in hits), min(map(at.index, hits))) if hits else None)
+
+
+def test_clusters_of_equal_intervals_follow_the_ties(spark):
+    rows = [(1, n, "ab"[n % 2], 5, 9) for n in range(6)]
+    for turned in (rows, rows[::-1]):
+        df = spark.createDataFrame(turned, "k int, id int, kind string, lo long, hi long").coalesce(1)
+        got = graphs.gap_clusters(df, "k", "lo", "hi", 10, "kind", ("id",)).collect()
+        assert sorted((r["id"], r["cluster"]) for r in got) == [(n, n) for n in range(6)]
+
+
+@pytest.mark.parametrize("local", [2, 1 << 20])
+def test_components_of_stars(spark, monkeypatch, local):
+    monkeypatch.setattr(graphs, "LOCAL", local)
+    edges = [(f"v{a}", f"v{a + d}") for a in range(0, 60, 10) for d in (0, 1, 3, 7)] + [("v9", "v10"), ("v59", None)]
+    lot = next(graphs._stars_of([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*edges)], names=["a", "b"])]))
+    assert lot.num_rows == len({x for e in edges for x in e})  # one row a vertex
+    got = {r["node"]: r["component"] for r in graphs.components(spark.createDataFrame(edges, "u string, v string").repartition(3)).collect()}
+    assert got["v17"] == "v10" and got["v9"] == "v10" and got["v3"] == "v0" and got["v59"] == "v59"
+
+
+def test_scratch_tables_are_merged_where_asked(spark):
+    arcs = spark.createDataFrame([(1, "a", "b", 1), (1, "b", "c", 1), (1, "c", "a", 1), (1, "a", "c", 1)], "graph_id int, u string, v string, m long")
+    for made in (graphs.unitigs, graphs.detachments):
+        assert "BroadcastHashJoin" not in made(arcs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_mean_pool_shuffles_no_windows(spark):
+    weights = spark.createDataFrame([(0, 0, "a", 2), (0, 1, "b", -1)], "filter int, offset int, letter string, weight long")
+    seqs = spark.createDataFrame([(1, "aab"), (2, ""), (3, None)], "seq_id long, seq string")
+    made = pools.mean_pool(seqs, weights, spark.createDataFrame([(0, 1)], "filter int, bias long"), 2)
+    # windows ^a aa ab b$ score 1, 3, 2, 1; of an empty sequence ^$ scores 1
+    assert sorted(tuple(r) for r in made.collect()) == [(1, 0, 7, 4), (2, 0, 1, 1)]
+    assert "seq_id" not in "".join(x for x in made._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hash" in x)
