@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.functions import sequences as fs
-from strandweave.operators import complexes, counting, exact, graphs, moves, pools
+from strandweave.operators import complexes, counting, exact, graphs, moves, pools, words
 from strandweave.plans import registry as r
 from strandweave.session import shared_dir
 from strandweave.sources import generators as gen
@@ -163,12 +163,8 @@ w AS (SELECT a.graph_id, a.u, a.v, a.m FROM a LEFT JOIN n ON n.graph_id = a.grap
 SELECT w.graph_id, w.u, w.v, CAST(sum(w.m) AS BIGINT) AS m FROM w LEFT JOIN n ON n.graph_id = w.graph_id AND n.x = w.v WHERE n.x IS NULL GROUP BY 1, 2, 3""")
 def unitigs(spark, d):
     """Unitig contraction of the two-letter word graph of each part name."""
-    from strandweave.operators.words import next_on_circle, occurrences
-
-    part = r.table(spark, d, "part").select(F.col("p_partkey").alias("seq_id"), F.col("p_name").alias("seq"))
-    occ = occurrences(part, 2).withColumn("strand", F.lit(0)).withColumn("n", F.lit(0))
-    arcs = next_on_circle(occ).groupBy(F.col("seq_id").alias("graph_id"), F.col("kmer").alias("u"), F.col("head").alias("v")).agg(F.count("*").alias("m"))
-    return graphs.unitigs(arcs)
+    part = r.dealt(r.table(spark, d, "part").select(F.col("p_partkey").alias("seq_id"), F.col("p_name").alias("seq")))
+    return graphs.unitigs(words.word_arcs(part, 2))
 
 
 _CHAINS = [("A", 2), ("B", 3), ("C", 5)]

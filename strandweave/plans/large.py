@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strandweave.operators import frontier, graphs, large_matrices, long_sequences, nerve, paths
+from strandweave.operators import frontier, graphs, large_matrices, long_sequences, nerve, paths, words
 from strandweave.plans import registry as r
 
 #: Every source as one circular sequence: its documents in the order of their ids.
@@ -86,11 +86,8 @@ w AS (SELECT a.graph_id, a.u, a.v, a.m, 1 AS arcs, a.label FROM a LEFT JOIN n ON
 SELECT w.graph_id, w.u, w.v, CAST(w.m AS BIGINT) AS m, CAST(w.arcs AS BIGINT) AS arcs, w.label FROM w LEFT JOIN n ON n.graph_id = w.graph_id AND n.x = w.v WHERE n.x IS NULL""")
 def labelled_unitigs(spark, d):
     """Maximal paths of the two-letter word graph of each part name, with the letters that they spell."""
-    from strandweave.operators.words import next_on_circle, occurrences
-
-    part = r.table(spark, d, "part").select(F.col("p_partkey").alias("seq_id"), F.col("p_name").alias("seq"))
-    occ = occurrences(part, 2).withColumn("strand", F.lit(0)).withColumn("n", F.lit(0))
-    arcs = next_on_circle(occ).groupBy(F.col("seq_id").alias("graph_id"), F.col("kmer").alias("u"), F.col("head").alias("v")).agg(F.count("*").alias("m"))
+    part = r.dealt(r.table(spark, d, "part").select(F.col("p_partkey").alias("seq_id"), F.col("p_name").alias("seq")))
+    arcs = words.word_arcs(part, 2)
     return paths.labelled_unitigs(arcs.withColumn("label", F.expr("right(v, 1)")))
 
 
@@ -156,9 +153,5 @@ e AS (SELECT k.*, far AS u, CASE WHEN n = head THEN k.vertex || '''' ELSE k.vert
 SELECT graph_id, vertex, head, tail, u, v, count(*) AS m FROM e GROUP BY ALL""")
 def detachments(spark, d):
     """Letters that occur three times in a part's name, brand and type, split in nine ways in the graph of which letter follows which."""
-    from strandweave.operators.words import next_on_circle, occurrences
-
-    part = r.table(spark, d, "part").select(F.col("p_partkey").alias("seq_id"), F.concat("p_name", "p_brand", "p_type").alias("seq"))
-    occ = occurrences(part, 1).withColumn("strand", F.lit(0)).withColumn("n", F.lit(0))
-    arcs = next_on_circle(occ).groupBy(F.col("seq_id").alias("graph_id"), F.col("kmer").alias("u"), F.col("head").alias("v")).agg(F.count("*").alias("m"))
-    return graphs.detachments(arcs)
+    part = r.dealt(r.table(spark, d, "part").select(F.col("p_partkey").alias("seq_id"), F.concat("p_name", "p_brand", "p_type").alias("seq")))
+    return graphs.detachments(words.word_arcs(part, 1))
