@@ -30,17 +30,17 @@ def arc_order(arcs: DataFrame) -> DataFrame:
     when the first of its ends comes; ``closed`` are the vertices of which it
     is the last arc.  An end with several arcs only meets them in its own graph.
     """
-    arcs = arcs.groupBy("graph_id", "u", "v").agg(F.sum("m").alias("m")).where("m > 0")
+    arcs = arcs.groupBy("graph_id", "u", "v").agg(F.sum("m").alias("m")).where("m > 0").hint("merge")
     ends = arcs.select("graph_id", F.col("u").alias("x"), F.col("v").alias("y")).unionByName(arcs.select("graph_id", F.col("v").alias("x"), F.col("u").alias("y")))
     degree = ends.groupBy("graph_id", "x").agg(F.count_distinct("y").alias("d"))
-    place = degree.select("graph_id", "x", (F.row_number().over(Window.partitionBy("graph_id").orderBy("d", "x")) - 1).alias("at"))
+    place = degree.select("graph_id", "x", (F.row_number().over(Window.partitionBy("graph_id").orderBy("d", "x")) - 1).alias("at")).hint("merge")
     at = lambda c, name: place.select("graph_id", F.col("x").alias(c), F.col("at").alias(name))
     numbered = arcs.join(at("u", "a"), ["graph_id", "u"]).join(at("v", "b"), ["graph_id", "v"])
     order = Window.partitionBy("graph_id").orderBy(F.least("a", "b"), F.greatest("a", "b"), "a")
     numbered = numbered.select("graph_id", F.row_number().over(order).alias("level"), "a", "b", "m")
     last = numbered.select("graph_id", "level", F.explode(F.array("a", "b")).alias("x")).groupBy("graph_id", "x").agg(F.max("level").alias("level"))
     closed = last.groupBy("graph_id", "level").agg(F.array_sort(F.collect_list("x")).alias("closed"))
-    return numbered.join(closed, ["graph_id", "level"], "left")
+    return numbered.join(closed.hint("merge"), ["graph_id", "level"], "left")
 
 
 def balanced_choices(arcs: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def balanced_choices(arcs: DataFrame) -> DataFrame:
     The empty choice and the whole of a balanced graph are among them.  Counts
     are decimals of 38 digits; one that does not fit is an error.
     """
-    scratch = Scratch(arcs.sparkSession, "frontier")
+    scratch = Scratch(arcs.sparkSession, "frontier", merge=True)
     ordered = scratch.save(arc_order(arcs), "order")
     levels = ordered.agg(F.max("level")).first()[0] or 0
     parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
@@ -77,4 +77,4 @@ def balanced_choices(arcs: DataFrame) -> DataFrame:
     for p in peaks[1:]:
         peak = peak.unionByName(p)
     total = total.groupBy("graph_id").agg(big(F.sum("n")).alias("choices"))
-    return total.join(peak.groupBy("graph_id").agg(F.max("s").alias("peak")), "graph_id")
+    return total.join(peak.groupBy("graph_id").agg(F.max("s").alias("peak")).hint("merge"), "graph_id")

@@ -30,7 +30,7 @@ def walk_arcs(events: DataFrame, graph: str, order: list[str], symbol: str, shar
     heads = cut.groupBy("graph_id", "_s").agg(F.min_by("u", F.struct(*order)).alias("first"))
     ring = Window.partitionBy("graph_id").orderBy("_s")
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = heads.select("graph_id", "_s", F.coalesce(F.lead("first").over(ring), F.first("first").over(whole)).alias("after"))
+    heads = heads.select("graph_id", "_s", F.coalesce(F.lead("first").over(ring), F.first("first").over(whole)).alias("after")).hint("merge")
     steps = cut.withColumn("v", F.lead("u").over(inside)).join(heads, ["graph_id", "_s"])
     return steps.select("graph_id", "u", F.coalesce("v", "after").alias("v")).groupBy("graph_id", "u", "v").agg(F.count("*").alias("m"))
 

@@ -48,7 +48,7 @@ def labelled_unitigs(arcs: DataFrame, cycles: bool = False) -> DataFrame:
     With ``cycles``, circles of such vertices alone are given too, cut at their
     least vertex; a graph that is one circle has no paths otherwise.
     """
-    scratch = Scratch(arcs.sparkSession, "labelled-unitigs")
+    scratch = Scratch(arcs.sparkSession, "labelled-unitigs", merge=True)
     arcs = scratch.save(arcs.select("graph_id", "u", "v", "m", "label"), "arcs")
     one = degrees(arcs).where("indegree = 1 and outdegree = 1").select("graph_id", F.col("v").alias("x"))
     one = scratch.save(one, "inner")
@@ -84,7 +84,7 @@ def strong_components(arcs: DataFrame, trims: int = 3) -> DataFrame:
     what reaches that vertex inside the colour.  Arcs between colours join no
     component and are dropped.  Colours spread along changed vertices only.
     """
-    scratch = Scratch(arcs.sparkSession, "strong")
+    scratch = Scratch(arcs.sparkSession, "strong", merge=True)
     left = scratch.save(arcs.where("u <> v").select("graph_id", "u", "v").distinct(), "arcs-0")
     ends = arcs.select("graph_id", F.col("u").alias("x")).unionByName(arcs.select("graph_id", F.col("v").alias("x"))).distinct()
     nodes, turn = scratch.save(ends, "nodes-0"), 0

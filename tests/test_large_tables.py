@@ -288,3 +288,8 @@ def test_a_graph_is_contracted_without_rounds(spark, monkeypatch):
     found = {r["component"] for r in graphs.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     want = len({x for e in edges for x in e}) - len(found)
     assert units == want == lm.rank(cells) and not left.count()
+
+
+def test_arcs_are_ordered_without_broadcasts(spark):
+    arcs = spark.createDataFrame([(1, "a", "b", 2), (1, "b", "a", 2), (2, "a", "c", 1)], "graph_id int, u string, v string, m long")
+    assert "BroadcastHashJoin" not in frontier.arc_order(arcs)._jdf.queryExecution().executedPlan().toString()
