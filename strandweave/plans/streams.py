@@ -27,7 +27,7 @@ def _sql(spark, df, text: str):
 def sql_word_counts(spark, d):
     """Word counts of all texts in SQL alone."""
     docs = r.spread(r.table(spark, d, "documents").select("text"))
-    return _sql(spark, docs, "SELECT w.kmer, sum(w.n) AS n FROM {table} t, LATERAL sw_words(t.text, 5) w GROUP BY w.kmer")
+    return _sql(spark, docs, "SELECT kmer, sum(n) AS n FROM sw_word_counts(TABLE(SELECT text FROM {table}), 5) GROUP BY kmer")
 
 
 @r.query("sql_walk_arcs", r.ARCS)
