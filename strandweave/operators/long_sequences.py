@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.functions.sequences import reverse_complement
+from strandweave.session import Scratch
 
 #: Places of a block; places of a stretch that one task orders.
 BLOCK, STRETCH = 1 << 16, 1 << 20
@@ -34,6 +35,8 @@ BLOCK, STRETCH = 1 << 16, 1 << 20
 LONGEST, WORDS = 256, 1 << 17
 #: Letters in one 64-bit code.
 LETTERS = 31
+#: The four letters of each byte of a code.
+FOUR = np.frombuffer(b"ACGT", np.uint8)[np.arange(256)[:, None] >> np.array([6, 4, 2, 0]) & 3]
 CHUNK = "seq_id long, strand int, n long, start long, seq string"
 
 
@@ -103,12 +106,17 @@ def _letters(raw: bytes) -> np.ndarray:
 
 def _codes(letters: np.ndarray, k: int) -> np.ndarray:
     """Two-bit codes of the k letters from each place on, as columns of at most ``LETTERS`` letters."""
-    n = len(letters) - k + 1
+    n = max(len(letters) - k + 1, 0)
+    powers = [letters.astype(np.int64)]  # of 1, 2, 4, ... letters, each from two of the power below
+    for i in range(min(k, LETTERS).bit_length() - 1):
+        powers.append(powers[i][: -(1 << i)] << (2 << i) | powers[i][1 << i :])
     columns = []
     for lo in range(0, k, LETTERS):
-        code = np.zeros(max(n, 0), np.int64)
-        for j in range(lo, min(lo + LETTERS, k)):
-            code = code << 2 | letters[j : j + n]
+        code, at = np.zeros(n, np.int64), lo
+        for i, power in reversed(list(enumerate(powers))):
+            if min(LETTERS, k - lo) >> i & 1:
+                code = code << (2 << i) | power[at : at + n]
+                at += 1 << i
         columns.append(code)
     return np.stack(columns)
 
@@ -169,8 +177,10 @@ class _Seen:
     def add(self, rows: pa.RecordBatch) -> pa.RecordBatch:
         now = [np.concatenate(x) for x in zip(self.held, self.words(rows))]
         last = now[0][-1], now[1][-1]  # the rows are sorted, so only words of the last minimizer can come again
-        word = [now[0], *now[2 : 2 + self.columns]]
-        order = np.lexsort(word[::-1])
+        word = now[2 : 2 + self.columns]
+        if now[0][0] != last[0]:  # words of several sequences
+            word = [now[0], *word]
+        order = np.lexsort(word[::-1]) if len(word) > 1 else np.argsort(word[0])
         now, word = [x[order] for x in now], [x[order] for x in word]
         new = np.ones(len(order), bool)
         new[1:] = np.any([x[1:] != x[:-1] for x in word], axis=0)
@@ -186,11 +196,8 @@ class _Seen:
 
     def _given(self, rows: list[np.ndarray]) -> pa.RecordBatch:
         n = len(rows[0])
-        letters = np.zeros((n, self.k), np.uint8)
-        for j in range(self.k):
-            column, at = divmod(j, LETTERS)
-            width = min(LETTERS, self.k - column * LETTERS)
-            letters[:, j] = np.frombuffer(b"ACGT", np.uint8)[rows[2 + column] >> 2 * (width - 1 - at) & 3]
+        spelt = [FOUR[rows[2 + c].astype(">i8").view(np.uint8).reshape(n, 8)].reshape(n, 32)[:, 32 - min(LETTERS, self.k - c * LETTERS) :] for c in range(self.columns)]
+        letters = np.concatenate(spelt, axis=1)
         kmer = pa.StringArray.from_buffers(n, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * self.k), pa.py_buffer(letters.tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[-3].astype(np.int32)), pa.array(rows[-2]), kmer], names=["seq_id", "strand", "pos", "kmer"])
 
@@ -223,14 +230,16 @@ def next_on_circle(found: DataFrame, sizes: DataFrame, stretch: int | None = Non
 
     A stretch of places is ordered by one task; the first occurrence of the
     next stretch that has one follows its last.  ``sizes`` is (seq_id, n).
+    Of the first occurrences, a row a stretch, only the places are broadcast.
     """
     stretch = stretch or STRETCH
-    cut = found.withColumn("_s", F.expr(f"pos div {stretch}"))
     key = ["seq_id", "strand", "_s"]
+    cut = Scratch(found.sparkSession, "occurrences").save(found, "found").withColumn("_s", F.expr(f"pos div {stretch}"))  # found once, read three times
     ahead = F.lead(F.struct("pos", "kmer")).over(Window.partitionBy(*key).orderBy("pos"))
     ring = Window.partitionBy("seq_id", "strand").orderBy("_s")
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = cut.groupBy(*key).agg(F.min_by(F.struct("pos", "kmer"), "pos").alias("first")).join(sizes, "seq_id")
+    least = cut.groupBy(*key).agg(F.min("pos").alias("pos"))
+    heads = cut.join(F.broadcast(least), [*key, "pos"]).select(*key, F.struct("pos", "kmer").alias("first")).join(sizes, "seq_id")
     wrapped = F.struct((F.first("first.pos").over(whole) + F.col("n")).alias("pos"), F.first("first.kmer").over(whole).alias("kmer"))
     heads = heads.select(*key, F.coalesce(F.lead("first").over(ring), wrapped).alias("_after"))
     out = cut.withColumn("_ahead", ahead).join(heads, key).withColumn("_next", F.coalesce("_ahead", "_after"))

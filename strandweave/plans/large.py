@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from strandweave.functions import sequences as fs
 from strandweave.operators import frontier, graphs, large_matrices, long_sequences, nerve, paths, words
 from strandweave.plans import registry as r
+from strandweave.session import Scratch
 
 #: Every source as one circular sequence: its documents in the order of their ids.
 GENOMES = f"SELECT source AS seq_id, string_agg(s, '' ORDER BY seq_id) AS s FROM ({r.SEQS}) GROUP BY 1"
 
 
 def genomes(spark, d):
-    """The same as chunks; the source's name becomes a number by its digits."""
-    docs = r.dna(spark, d).select(F.regexp_extract("source", r"(\d+)$", 1).cast("long").alias("seq_id"), F.col("seq_id").alias("doc_id"), "seq")
+    """The same as chunks; the source's name becomes a number by its digits.  The letters are made once and saved."""
+    letters = F.udf(fs.pseudo_dna_of, "string", useArrow=True)
+    docs = r.spread(r.table(spark, d, "documents").select("doc_id", "source", "text"))
+    docs = docs.select(F.regexp_extract("source", r"(\d+)$", 1).cast("long").alias("seq_id"), "doc_id", letters("text").alias("seq"))
+    docs = Scratch(spark, "genomes").save(docs, "letters")
     return long_sequences.joined(docs, "doc_id", F.expr("doc_id div 10000"))
 
 
