@@ -73,22 +73,33 @@ def normalised_isolates(records: DataFrame, reference: str, k: int = 12, low: in
     return out.limit(most) if most else out
 
 
-def read_features(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("rRNA", "CDS", "mobile_element", "repeat_region")) -> DataFrame:
+def read_features(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("rRNA", "CDS", "mobile_element", "repeat_region"), shard: int = 1 << 16) -> DataFrame:
     """Feature tables of tab-separated lines (start, end, kind, attribute, value): start, end, strand, kind, product.
 
     A line with a kind opens a feature; the lines below it carry attributes, of
     which the first product, mobile_element_type, rpt_family or gene names it.
     The strand is "-" where start is beyond end; coordinates are 1-based closed.
+    Lines are ordered in shards of ``shard`` lines of a split, so no task orders
+    a file; a shard begins with the feature that the shards before it left open.
     """
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"), F.split("value", "\t").alias("c"))
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.input_file_block_start().alias("split"), F.monotonically_increasing_id().alias("line"), F.split("value", "\t").alias("c"))
     cell = lambda i: F.get("c", F.lit(i))
-    parsed = lines.select("file", "line", *(F.regexp_replace(cell(i), "[<>]", "").alias(n) for i, n in enumerate(("a", "b"))), cell(2).alias("kind"), cell(3).alias("key"), cell(4).alias("value"))
-    opens = F.col("kind").isNotNull() & (F.col("kind") != "")
-    w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    parsed = parsed.withColumn("feature", F.last(F.when(opens, F.col("line")), ignorenulls=True).over(w))
-    names = parsed.where(F.col("key").isin("product", "mobile_element_type", "rpt_family", "gene")).groupBy("file", "feature").agg(F.min_by("value", "line").alias("product"))
-    heads = parsed.where(opens & F.col("kind").isin(*kinds) & F.col("a").rlike(r"^\d+$") & F.col("b").rlike(r"^\d+$")).select("file", "feature", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "kind")
-    return heads.join(names, ["file", "feature"], "left").select(F.least("a", "b").alias("start"), F.greatest("a", "b").alias("end"), F.when(F.col("a") > F.col("b"), "-").otherwise("+").alias("strand"), "kind", F.coalesce("product", F.lit("")).alias("product"))
+    named = cell(3).isin("product", "mobile_element_type", "rpt_family", "gene")
+    opens = F.coalesce(cell(2) != "", F.lit(False))
+    parsed = lines.where(opens | named).select("file", "split", F.expr(f"line div {shard}").alias("shard"), "line", opens.alias("opens"), named.alias("named"), *(F.when(opens, F.regexp_replace(cell(i), "[<>]", "")).alias(n) for i, n in enumerate(("a", "b"))), F.when(opens, cell(2)).alias("kind"), F.when(named, cell(4)).alias("value"))
+    key = ["file", "split", "shard"]
+    opened = F.when(F.col("opens"), F.col("line"))
+    inside = Window.partitionBy(*key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("file").orderBy("split", "shard").rowsBetween(Window.unboundedPreceding, -1)
+    shards = parsed.groupBy(*key).agg(F.max(opened).alias("last")).select(*key, F.last("last", ignorenulls=True).over(before).alias("last"))
+    placed = parsed.withColumn("feature", F.last(opened, ignorenulls=True).over(inside)).join(shards, key)
+    whole = placed.withColumn("feature", F.coalesce("feature", "last")).groupBy("file", "feature")
+    # a feature has one line that opens it, so any aggregate of its cells is that line's
+    heads = [F.max(c).alias(c) for c in ("a", "b", "kind")]
+    found = whole.agg(*heads, F.min_by("value", F.when(F.col("named"), F.col("line"))).alias("product"))
+    number = F.col("kind").isin(*kinds) & F.col("a").rlike(r"^\d+$") & F.col("b").rlike(r"^\d+$")
+    made = found.where(number).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "kind", "product")
+    return made.select(F.least("a", "b").alias("start"), F.greatest("a", "b").alias("end"), F.when(F.col("a") > F.col("b"), "-").otherwise("+").alias("strand"), "kind", F.coalesce("product", F.lit("")).alias("product"))
 
 
 def read_proteins(spark: SparkSession, path: str) -> DataFrame:
