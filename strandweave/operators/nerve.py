@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandweave.operators import graphs, large_matrices
 from strandweave.session import Scratch
@@ -26,12 +27,54 @@ def subsets(strains: str, most: int = 3) -> Column:
     return F.concat(*[one, two, three][:most])
 
 
+def gathered(rows: DataFrame, strain: str, *keys: str) -> DataFrame:
+    """(keys, strains): the strains of the rows that have the same keys.
+
+    Up to 63 different strains travel as bits of a number, which a task can
+    sum up by hashing; more are collected.
+    """
+    few = [x[0] for x in rows.select(strain).where(F.col(strain).isNotNull()).distinct().limit(64).collect()]
+    if len(few) > 63:
+        return rows.groupBy(*keys).agg(F.collect_set(strain).alias("strains"))
+    named = [(F.lit(1 << i), F.lit(x)) for i, x in enumerate(sorted(few))]
+    bit = F.coalesce(*(F.when(F.col(strain) == x, b) for b, x in named), F.lit(0).cast("long")).cast("long")
+    held = F.array_compact(F.array(*(F.when(F.col("_bits").bitwiseAND(b) != 0, x) for b, x in named)))
+    return rows.select(*keys, bit.alias("_bit")).groupBy(*keys).agg(F.bit_or("_bit").alias("_bits")).select(*keys, held.alias("strains"))
+
+
 def cells(vertices: DataFrame, arcs: DataFrame) -> DataFrame:
     """(sigma, v, cell): for each set of strains and vertex that all of them have, the least vertex of its component."""
+    scratch = Scratch(vertices.sparkSession, "nerve-cells")
+    arcs, vertices = scratch.save(arcs.select("u", "v", "strains"), "arcs"), scratch.save(vertices.select("v", "strains"), "vertices")
+    # sets of one to three are made once for each different array of strains
+    sigmas = arcs.select("strains").union(vertices.select("strains")).distinct()
+    sigmas = scratch.save(sigmas.select("strains", F.explode(subsets("strains")).alias("sigma")), "sigmas")
+    if not all(isinstance(df.schema[c].dataType, T.IntegralType) for df, c in ((arcs, "u"), (arcs, "v"), (vertices, "v"))):
+        return _cells_of_structs(vertices.join(sigmas, "strains"), arcs.join(sigmas, "strains"))
+    # the set's number and the vertex make one number; of the vertices of a set their order stays
+    sets = sigmas.select("sigma").distinct().rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
+    sets = scratch.save(vertices.sparkSession.createDataFrame(sets, T.StructType([T.StructField("s", T.LongType()), sigmas.schema["sigma"]])), "sets")
+    ends = arcs.agg(F.least(F.min("u"), F.min("v")).alias("low"), F.greatest(F.max("u"), F.max("v")).alias("high")).union(vertices.agg(F.min("v"), F.max("v")))
+    low, high, n = ends.agg(F.min("low"), F.max("high")).join(sets.agg(F.count("*"))).first()
+    if low is None or (high - low + 1) * n >= 2**63:
+        return _cells_of_structs(vertices.join(sigmas, "strains"), arcs.join(sigmas, "strains"))
+    wide = high - low + 1
+    node = lambda v: F.col("s") * wide + (F.col(v).cast("long") - low)
+    numbers = scratch.save(sigmas.join(sets, "sigma").select("strains", "s"), "numbers")
+    points, sides = (df.join(numbers, "strains") for df in (vertices, arcs))
+    touched = graphs.components(sides.select(node("u").alias("a"), node("v").alias("b")), "a", "b")
+    # a vertex that no arc touches is its own component
+    every = points.select(node("v").alias("node")).select("node", F.col("node").alias("component")).union(touched.select("node", "component"))
+    found = every.groupBy("node").agg(F.min("component").alias("component"))
+    place = lambda c: (F.col(c) % wide + low).cast(vertices.schema["v"].dataType)
+    return found.withColumn("s", F.expr(f"node div {wide}")).join(sets, "s").select("sigma", place("node").alias("v"), place("component").alias("cell"))
+
+
+def _cells_of_structs(points: DataFrame, sides: DataFrame) -> DataFrame:
+    """The cells where sets and vertices do not fit into one number."""
     node = lambda v: F.struct("sigma", F.col(v).alias("v"))
-    points = vertices.select(F.explode(subsets("strains")).alias("sigma"), "v").select(node("v").alias("a"), node("v").alias("b"))
-    sides = arcs.select(F.explode(subsets("strains")).alias("sigma"), "u", "v").select(node("u").alias("a"), node("v").alias("b"))
-    found = graphs.components(points.unionByName(sides), "a", "b")
+    loops = points.select(node("v").alias("a"), node("v").alias("b"))
+    found = graphs.components(loops.unionByName(sides.select(node("u").alias("a"), node("v").alias("b"))), "a", "b")
     return found.select("node.sigma", "node.v", F.col("component.v").alias("cell"))
 
 

@@ -70,9 +70,8 @@ SELECT k AS sigma, count(*) AS vertices, count(*) FILTER (WHERE v = c) AS compon
 def flag_nerve(spark, d):
     """Components that sets of up to three flag pairs have in common, in the graph of suppliers and parts; flag pairs are strains."""
     line = r.table(spark, d, "lineitem").select((F.col("l_suppkey") * 2).alias("u"), (F.col("l_partkey") * 2 + 1).alias("v"), F.concat("l_returnflag", "l_linestatus").alias("f"))
-    arcs = line.groupBy("u", "v").agg(F.collect_set("f").alias("strains"))
-    ends = line.select(F.col("u").alias("v"), "f").unionByName(line.select("v", "f"))
-    vertices = ends.groupBy("v").agg(F.collect_set("f").alias("strains"))
+    arcs = nerve.gathered(line, "f", "u", "v")
+    vertices = nerve.gathered(line.select("f", F.explode(F.array("u", "v")).alias("v")), "f", "v")
     return nerve.component_counts(nerve.cells(vertices, arcs)).select(F.array_join("sigma", ",").alias("sigma"), "vertices", "components")
 
 
